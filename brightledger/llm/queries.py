@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from brightledger.llm import mixing, preferences, quality, rollups
+import public_tokenizers
+
+from brightledger.llm import bpe, mixing, preferences, quality, rollups
 from brightledger.llm.common import read
 
 QUERIES = {
     "op2_preferences": lambda spark, sf: preferences.query(read(spark, sf, "conversations")),
     "op4_token_rollups": lambda spark, sf: rollups.query(read(spark, sf, "documents")),
+    "op7_bpe": lambda spark, sf: bpe.query(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op9_quality_rules": lambda spark, sf: quality.query(read(spark, sf, "documents")),
     "op10_source_mix": lambda spark, sf: mixing.query(read(spark, sf, "documents")),
 }

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brightledger.llm import bpe, mixing, preferences, quality, rollups
+from brightledger.llm import bpe, mixing, preferences, quality, rollups, toxicity
 from brightledger.llm.common import read
 
 QUERIES = {
+    "op1_toxicity": lambda spark, sf: toxicity.query(read(spark, sf, "documents"), read(spark, sf, "labels")),
     "op2_preferences": lambda spark, sf: preferences.query(read(spark, sf, "conversations")),
     "op4_token_rollups": lambda spark, sf: rollups.query(read(spark, sf, "documents")),
     "op7_bpe": lambda spark, sf: bpe.query(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brightledger.llm import bpe, mixing, preferences, quality, rollups, toxicity
+from brightledger.llm import bpe, mixing, near, preferences, quality, rollups, toxicity
 from brightledger.llm.common import read
 
 QUERIES = {
     "op1_toxicity": lambda spark, sf: toxicity.query(read(spark, sf, "documents"), read(spark, sf, "labels")),
     "op2_preferences": lambda spark, sf: preferences.query(read(spark, sf, "conversations")),
     "op4_token_rollups": lambda spark, sf: rollups.query(read(spark, sf, "documents")),
+    "op6_near_duplicates": lambda spark, sf: near.near_duplicates(read(spark, sf, "documents")),
     "op7_bpe": lambda spark, sf: bpe.query(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op9_quality_rules": lambda spark, sf: quality.query(read(spark, sf, "documents")),
     "op10_source_mix": lambda spark, sf: mixing.query(read(spark, sf, "documents")),
@@ -18,6 +19,7 @@ QUERIES = {
 SQL = {
     "op2_preferences": preferences.ORACLE_SQL,
     "op4_token_rollups": rollups.ORACLE_SQL,
+    "op6_near_duplicates": near.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
     "op10_source_mix": mixing.ORACLE_SQL,
 }

@@ -20,14 +20,22 @@ LOWER[65:91] += 32
 ODD = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(ODD, -1, 1 << 64)
 #: Bytes of text that are worked on at once; a longer text is one part.
-PART = 1 << 22
+PART = 1 << 19
+
+
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)[:n]
+    """base**0 ... base**(n-1) modulo 2**64; those of usual parts are kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, PART + 2), base, dtype=np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= PART + 2:
+            _POWERS[base] = known
+    return known[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brightledger.llm import bpe, mixing, near, preferences, quality, rollups, suffix, toxicity
+from brightledger.llm import bpe, lm, mixing, near, preferences, quality, rollups, suffix, toxicity
 from brightledger.llm.common import read
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op5_repeated_strings": lambda spark, sf: suffix.query(read(spark, sf, "documents")),
     "op6_near_duplicates": lambda spark, sf: near.near_duplicates(read(spark, sf, "documents")),
     "op7_bpe": lambda spark, sf: bpe.query(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+    "op8_lm_scores": lambda spark, sf: lm.score(read(spark, sf, "documents")),
     "op9_quality_rules": lambda spark, sf: quality.query(read(spark, sf, "documents")),
     "op10_source_mix": lambda spark, sf: mixing.query(read(spark, sf, "documents")),
 }

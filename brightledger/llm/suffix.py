@@ -26,45 +26,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightledger.llm import wordhash
-from brightledger.llm.common import materialize, new_path
+from brightledger.llm.chunks import chunks, each_chunk
+from brightledger.llm.common import materialize
 from brightledger.llm.wordhash import INVERSE, ODD, mixed, powers
 
 LENGTH = 200
-#: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 1 << 20
-
-
-def chunks(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Texts and the kept columns in chunks, written to the shared folder in buckets by ``chunk``, so that joins on it need not
-    move texts: ``chunk, text`` and ``c0, c1, ...``, all but the first arrays."""
-    spark = docs.sparkSession
-    kept = [T.StructField(f"c{i}", T.ArrayType(docs.schema[c].dataType)) for i, c in enumerate(keep)]
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("text", T.ArrayType(T.StringType())), *kept])
-    names = schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for b in batches:
-            offsets, _ = wordhash.buffers(b.column(0))
-            for first, last in wordhash.parts(offsets, CHUNK):
-                at = pa.array([0, last - first], pa.int32())
-                part = [pa.ListArray.from_arrays(at, c.slice(first, last - first)) for c in b.columns]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *part], names=names)
-                number += 1
-
-    path = new_path(spark, "chunks")
-    name = path.rpartition("/")[2].replace("-", "_")
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
-    out = rows.mapInArrow(run, schema).write.format("parquet").option("path", path).option("compression", "zstd")
-    out.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name)
-    return spark.table(name)
-
 
 class Levels:
     """A logarithmic family of sorted arrays of distinct values, each with the first id that had it."""
@@ -247,13 +218,6 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, pa.Array]]:
-    for b in batches:
-        texts = b.column("text")
-        for i in range(b.num_rows):
-            yield b, i, b.column("chunk")[i].as_py(), texts[i].values
-
-
 def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: int = LENGTH) -> DataFrame:
     """The ``keep`` columns and ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row."""
     spark = docs.sparkSession
@@ -261,7 +225,7 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: i
     stored = chunks(docs, keep)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, chunk, texts in _chunks(batches):
+        for _, _, chunk, texts in each_chunk(batches):
             offsets, raw = wordhash.buffers(texts)
             runs = Runs(raw, offsets, length)
             yield Asked(runs.whole, runs.core, buckets).rows(chunk)
@@ -276,7 +240,7 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: i
         return offsets, raw, runs, (marks & REPEATED)[asked.entry] > 0, at, Asked(prints, None, buckets)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, i, chunk, texts in _chunks(batches):
+        for b, i, chunk, texts in each_chunk(batches):
             yield sorted_out(texts, b.column("answers")[i].as_py())[-1].rows(chunk)
 
     fields = [docs.schema[c] for c in keep]
@@ -284,7 +248,7 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: i
     names, carried = out.names, len(fields)
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, i, _, texts in _chunks(batches):
+        for b, i, _, texts in each_chunk(batches):
             offsets, raw, runs, whole, at, asked = sorted_out(texts, b.column("answers")[i].as_py())
             again = at[(asked.marks(b.column("more")[i].as_py()) & REPEATED)[asked.entry] > 0]
             gone = covered(len(raw), np.concatenate([runs.start[whole], again]), np.concatenate([runs.stop[whole] + length, again + length]))

@@ -210,7 +210,7 @@ def verified(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     members = materialize(members, "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     # rows of one doc_id may differ in text: those of another set are told by their shingles
-    rows = members.join(texts, members["rep"].eqNullSafe(texts["rep"])).select("label", "cid", members["n"], "text")
+    rows = members.hint("merge").join(texts, members["rep"].eqNullSafe(texts["rep"])).select("label", "cid", members["n"], "text")
     sizes = members.groupBy("label").agg(F.ceil(F.sum("n") / TEXT_BLOCK).cast("int").alias("parts"))
     dealt = rows.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("cid"), F.greatest("parts", F.lit(1))).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (j != F.col("own")) | (F.col("parts") == 1))

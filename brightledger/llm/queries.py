@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brightledger.llm import bpe, lm, mixing, near, preferences, quality, rollups, suffix, toxicity
+from brightledger.llm import ann, bpe, lm, mixing, near, preferences, quality, rollups, suffix, toxicity
 from brightledger.llm.common import read
 
 QUERIES = {
     "op1_toxicity": lambda spark, sf: toxicity.query(read(spark, sf, "documents"), read(spark, sf, "labels")),
     "op2_preferences": lambda spark, sf: preferences.query(read(spark, sf, "conversations")),
+    "op3_nearest_vectors": lambda spark, sf: ann.query(read(spark, sf, "embeddings")),
     "op4_token_rollups": lambda spark, sf: rollups.query(read(spark, sf, "documents")),
     "op5_repeated_strings": lambda spark, sf: suffix.query(read(spark, sf, "documents")),
     "op6_near_duplicates": lambda spark, sf: near.near_duplicates(read(spark, sf, "documents")),

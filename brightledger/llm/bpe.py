@@ -295,9 +295,20 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     )
 
 
+def _digests() -> list:
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return [F.col("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def query(docs: DataFrame, path: str) -> DataFrame:
     """Digests of what ``encode`` returns for every text."""
-    return encode(docs, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return encode(docs, path).select(*_digests())
+
+
+def stage(path: str):
+    """A pipeline stage: every document's ``doc_id, n_tokens, ids`` and digests of the ids and the decoded text."""
+
+    def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return encode(docs, path).select(*_digests(), "ids")
+
+    return run

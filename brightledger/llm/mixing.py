@@ -61,30 +61,26 @@ def boundary(hist: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     )
 
 
-def mix(
-    docs: DataFrame,
-    weights: Sequence[float] = WEIGHTS,
-    share: float = SHARE,
-    most: int = MOST,
-    size: Column | None = None,
-) -> DataFrame:
-    """Each document with ``size, source_size, target, copies``: how often the mix takes it, ``most`` times at most.
+def source_key() -> Column:
+    """The source as a string that is never null."""
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
 
-    Weights go to the sources in code-point order, nulls last, and repeat; together the sources get ``share`` of all sizes.
-    Joins are on source and bucket, so that a source with a third of all rows is spread over its buckets.
+
+def thresholds(docs: DataFrame, weights: Sequence[float], share: float, most: int, size: Column | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sized and hashed documents, their first histogram, and a row for each source: ``key, source_size, target, whole, threshold``.
+
+    Every document of a source is taken ``whole`` times, and those with a hash below the threshold once more. Joins are on
+    source and bucket, so that a source with a third of all rows is spread over its buckets.
     """
     b1, b2, b3 = BITS
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long") if size is None else size
     base = materialize(
-        docs.select(
-            "doc_id", "source", size.alias("size"), document_hash().alias("hash"),
-            F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("key"),
-        )
+        docs.select("doc_id", "source", size.alias("size"), document_hash().alias("hash"), source_key().alias("key"))
         .withColumn("one", F.shiftright("hash", b2 + b3))
         .withColumn("two", F.shiftright("hash", b3).bitwiseAND((1 << b2) - 1))
         .withColumn("three", F.col("hash").bitwiseAND((1 << b3) - 1)),
         "mix",
-    )
+    )
     first = materialize(base.groupBy("key", "one").agg(F.sum("size").alias("size"), F.first("source").alias("source")), "mix-histogram")
     sizes = first.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     share_of = targets(sizes, weights, share, most)
@@ -107,10 +103,22 @@ def mix(
         ).alias("threshold"),
     )
     rules = plan.join(last, "key", "left").select("key", "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    return base, first, materialize(rules, "mix-thresholds")
+
+
+def copies() -> Column:
+    """How often the mix takes a document, from its hash and its source's row."""
+    return F.col("whole") + (F.col("hash") < F.col("threshold")).cast("int")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, size: Column | None = None) -> DataFrame:
+    """Each document with ``size, source_size, target, copies``: how often the mix takes it, ``most`` times at most.
+
+    Weights go to the sources in code-point order, nulls last, and repeat; together the sources get ``share`` of all sizes.
+    """
+    base, first, rules = thresholds(docs, weights, share, most, size)
     by_bucket = first.select("key", "one").join(rules, "key")
-    return base.join(by_bucket, ["key", "one"]).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("hash") < F.col("threshold")).cast("int")).alias("copies"), "hash"
-    )
+    return base.join(by_bucket, ["key", "one"]).select("doc_id", "source", "size", "source_size", "target", copies().alias("copies"))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -119,14 +127,11 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns."""
-    keyed = docs.withColumn("__hash", document_hash())
-    taken = mix(docs).filter("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("hash").alias("__of"), F.col("copies").alias("__copies")
-    )
-    taken = taken.groupBy("__id", "__source", "__of").agg(F.max("__copies").alias("__copies"))
-    same = keyed["doc_id"].eqNullSafe(taken["__id"]) & (keyed["__hash"] == taken["__of"]) & keyed["source"].eqNullSafe(taken["__source"])
-    return keyed.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    """The documents as often as the mix takes them, with their own columns; a row for each source decides."""
+    _, _, rules = thresholds(docs, WEIGHTS, SHARE, MOST, None)
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("own")
+    taken = docs.select(own, document_hash().alias("hash"), source_key().alias("key")).join(rules, "key").select("own", copies().alias("copies"))
+    return taken.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("own.*")
 
 
 _CASES = " ".join(f"WHEN {i} THEN {float(w)}" for i, w in enumerate(WEIGHTS))

@@ -218,8 +218,9 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: int = LENGTH) -> DataFrame:
-    """The ``keep`` columns and ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row."""
+def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """The ``keep`` columns and ``n_bytes, n_removed, n_spans, kept`` of every row: kept are the remaining bytes, or as text
+    what they spell, without characters of which only some bytes are left."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = chunks(docs, keep)
@@ -244,7 +245,7 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: i
             yield sorted_out(texts, b.column("answers")[i].as_py())[-1].rows(chunk)
 
     fields = [docs.schema[c] for c in keep]
-    out = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType())])
+    out = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     names, carried = out.names, len(fields)
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +261,8 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: i
             removed, size = count(gone), np.diff(offsets)
             left = np.concatenate([[0], np.cumsum(size - removed)]).astype(np.int32)
             kept = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(left), pa.py_buffer(raw[~gone].tobytes())])
+            if as_text:
+                kept = pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
             own = [b.column(f"c{k}")[i].values for k in range(carried)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(size), pa.array(removed), pa.array(count(opens)), kept], names=names)
 
@@ -277,8 +280,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their repeated strings; characters of which only some bytes are left go, and ``n_chars`` is set anew."""
-    rows = remove_repeats(docs, keep=[c for c in docs.columns if c != "text"])
-    text = F.decode(F.col("kept"), "UTF-8")
-    changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return rows.withColumn("text", text).withColumns(changed).select(*docs.columns)
+    """The documents without their repeated strings, their ``n_chars`` set anew."""
+    others = {c: f"own{i}" for i, c in enumerate(docs.columns) if c != "text"}  # other names than the result's
+    rows = remove_repeats(docs.select("text", *[F.col(c).alias(n) for c, n in others.items()]), keep=list(others.values()), as_text=True)
+    columns = {c: F.col("kept") if c == "text" else F.col(others[c]) for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[v.alias(c) for c, v in columns.items()])

@@ -132,13 +132,50 @@ class Centroids:
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of one vector with rows, added up in order of the components, so that equal rows get equal sums."""
+    """Inner products of rows with rows, added up in order of the components, so that equal rows get equal sums."""
     out = np.zeros(len(x))
-    for k in range(len(q)):
-        out += q[k] * x[:, k]
+    for k in range(q.shape[1]):
+        out += q[:, k] * x[:, k]
     return out
 
 
+class Best:
+    """The best candidates of queries that a task has met so far."""
+
+    def __init__(self, top: int):
+        self.top, self.parts, self.rows, self.kept = top, [], 0, 0
+        self.least: dict[int, float] = {}
+
+    def add(self, query: np.ndarray, have: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((query, have, score))
+        self.rows += len(query)
+        if self.rows > 2 * self.kept + 50_000:
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.parts:
+            return
+        query, have, score = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((have, -score, query))
+        query, have, score = query[order], have[order], score[order]
+        new = np.ones(len(query), dtype=bool)  # a vector that is in two lists is found twice
+        new[1:] = (query[1:] != query[:-1]) | (have[1:] != have[:-1]) | (score[1:] != score[:-1])
+        query, have, score = query[new], have[new], score[new]
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, dtype=np.int64)
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        full = rank == self.top - 1
+        self.least.update(zip(query[full].tolist(), score[full].tolist(), strict=True))
+        keep = rank < self.top
+        self.parts = [(query[keep], have[keep], score[keep])]
+        self.rows = self.kept = int(keep.sum())
+
+    def take(self) -> pa.RecordBatch:
+        self.merge()
+        query, have, score = self.parts[0] if self.parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        self.__init__(self.top)
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(have), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: of each row with ``is_query`` (on ``vec_id``) the ``top`` rows of largest inner product."""
     spark = vectors.sparkSession
@@ -188,25 +225,27 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, id_column: str
     query_rows = asked.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(top)
         for t in groups(batches, ["list", "block"]):
             asks = t.column("asks").to_numpy()
             ids, v = t.column("id").to_numpy(), matrix(t.column("v").combine_chunks())
             have, x = ids[~asks], v[~asks]
             if not len(have):
                 continue
+            few = min(top, len(have))
             for lo in range(0, int(asks.sum()), 500):
                 q, who = v[asks][lo : lo + 500], ids[asks][lo : lo + 500]
                 rough = q @ x.T
                 rough[who[:, None] == have[None, :]] = -np.inf
-                least = np.partition(rough, -min(top, len(have)), axis=1)[:, -min(top, len(have))]
-                least = least - 1e-9 * np.maximum(np.abs(least), 1)
-                out = []
-                for i in range(len(q)):
-                    some = np.flatnonzero((rough[i] >= least[i]) & (rough[i] > -np.inf))
-                    score = exact(q[i], x[some])
-                    best = np.lexsort((have[some], -score))[:top]
-                    out.append((np.full(len(best), who[i]), have[some][best], score[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                known = np.array([best.least.get(i, -np.inf) for i in who.tolist()])
+                least = np.maximum(np.partition(rough, -few, axis=1)[:, -few], known)
+                with np.errstate(invalid="ignore"):
+                    least = np.fmax(least - 1e-9 * np.maximum(np.abs(least), 1), np.finfo(float).min)
+                i, j = np.nonzero(rough >= least[:, None])
+                best.add(who[i], have[j], exact(q[i], x[j]))
+            if best.kept > 1_000_000:
+                yield best.take()
+        yield best.take()
 
     laid = vector_rows.unionByName(query_rows).repartition("list", "block").sortWithinPartitions("list", "block")
     found = laid.mapInArrow(compare, "query_id long, vec_id long, score double").distinct()

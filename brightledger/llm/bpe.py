@@ -41,9 +41,11 @@ SPACES = re.compile(f"[{WHITE}]+")
 #: Fixed value: the file's word pattern, with white space spelled out.
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
 #: Longer words are encoded one by one.
-LONG = 96
+LONG = 48
+#: So many words are encoded at once, and so many texts.
+WORDS, TEXTS = 16_000, 250
 #: So many distinct words of a task's texts are remembered.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def byte_symbols() -> list[str]:
@@ -108,8 +110,8 @@ class Automaton:
                 at = ways[at][s]
             token[at] = t
         count = len(ways)
-        inner = [0] + [w[s] for w in ways for s in w if s < 256]
-        row = np.zeros(count, dtype=np.int32)  # nodes inside words get a row of the dense tables
+        inner = [i for i, w in enumerate(ways) if w]
+        row = np.zeros(count, dtype=np.int32)  # what goes on has a row of the dense tables, other nodes use their suffix's
         row[inner] = np.arange(len(inner))
         step = np.zeros((len(inner), 256), dtype=np.int32)
         end = np.zeros((len(inner), 256), dtype=np.int32)
@@ -119,8 +121,9 @@ class Automaton:
             for node in level:
                 f = fail[node]
                 found[node] = token[node] if token[node] >= 0 else found[f]
-                if node and not ways[node] and row[node] == 0:
-                    continue  # a word's end: nothing follows
+                if not ways[node]:
+                    row[node] = row[f]
+                    continue
                 if node:
                     step[row[node]], end[row[node]] = step[row[f]], end[row[f]]
                 for s, to in ways[node].items():
@@ -139,7 +142,7 @@ class Automaton:
         """Whether state x has an arc y, for arrays of both."""
         ok = np.ones(len(x), dtype=bool)
         at, when = np.arange(len(x)), np.full(len(x), 1 << 40)
-        x, y = x.copy(), y.copy()
+        x, y = x.astype(np.int64), y.astype(np.int64)
         while len(at):
             key = x * self.n + y
             i = np.searchsorted(self.pairs, key)
@@ -156,21 +159,27 @@ class Automaton:
         """The same for one arc."""
         return bool(self.arcs(np.array([x]), np.array([y]))[0])
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Labels of each word; no word is empty."""
-        out: list[np.ndarray | None] = [None] * len(words)
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The labels of all words, one after another, and how many each has; no word is empty."""
         sizes = np.array([len(w) for w in words])
         short = np.flatnonzero(sizes <= LONG)
+        labels, owner, place = [], [], []
         for i in np.flatnonzero(sizes > LONG):
-            out[i] = self._long(words[i])
+            labels.append(self._long(words[i]))
+            owner.append(np.full(len(labels[-1]), i))
+            place.append(np.arange(len(labels[-1])))
         order = short[np.argsort(-sizes[short], kind="stable")]
-        if not len(order):
-            return out
-        sizes = sizes[order]
+        if len(order):
+            self._short(words, order, sizes[order], labels, owner, place)
+        labels, owner = np.concatenate(labels), np.concatenate(owner)
+        return labels[np.lexsort((np.concatenate(place), owner))], np.bincount(owner, minlength=len(words))
+
+    def _short(self, words: list[bytes], order: np.ndarray, sizes: np.ndarray, labels: list, owner: list, place: list) -> None:
+        """All words of ``order``, the longest first, in step."""
         width = int(sizes[0])
         text = np.zeros((len(order), width), dtype=np.uint8)
         text[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join([words[i] for i in order]), dtype=np.uint8)
-        last = np.full((len(order), width + 1), -1, dtype=np.int64)
+        last = np.full((len(order), width + 1), -1, dtype=np.int32)
         node = np.zeros(len(order), dtype=np.int64)
         for i in range(width):
             n = int(np.searchsorted(-sizes, -i, side="left"))  # words longer than i come first
@@ -186,19 +195,14 @@ class Automaton:
                 todo = todo[bad]
                 found[todo] = self.shorter[found[todo]]
             last[:n, i + 1] = found
-        back, at, rows = [], sizes.copy(), np.arange(len(order))
-        marks = []
-        while len(rows):
+        at, rows = sizes.copy(), np.arange(len(order))
+        while len(rows):  # from each word's end to its beginning
             t = last[rows, at[rows]]
-            back.append(t)
-            marks.append(rows)
+            labels.append(t)
+            owner.append(order[rows])
             at[rows] -= self.length[t]
+            place.append(at[rows])
             rows = rows[at[rows] > 0]
-        labels, owner = np.concatenate(back), np.concatenate(marks)
-        sort = np.argsort(owner * (width + 1) + width - np.repeat(np.arange(len(back)), [len(b) for b in back]), kind="stable")
-        for i, found in zip(order, np.split(labels[sort], np.cumsum(np.bincount(owner, minlength=len(order)))[:-1]), strict=True):
-            out[i] = found
-        return out
 
     def _long(self, word: bytes) -> np.ndarray:
         known: dict[tuple[int, int], bool] = {}
@@ -243,17 +247,32 @@ class Encoder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return text.split() if not NOT_WHITE.search(text) else [x for x in SPACES.split(text) if x]
 
+    @staticmethod
+    def _words(run: str) -> list[str]:
+        if run.isalpha():
+            return [run]
+        if run[-1] in ".,;:!?" and run[:-1].isalpha():
+            return [run[:-1], run[-1]]
+        return [run] if run[0] == " " else PIECE.findall(run)
+
     def learn(self, runs: set[str]) -> None:
-        split = {r: [r] if r[0] == " " else PIECE.findall(r) for r in runs}
-        words = list({w for r, found in split.items() if r[0] != " " for w in found})
-        a, known = self.automaton, {}
-        for w, labels in zip(words, a.encode_words([w.encode() for w in words]), strict=True):
-            known[w] = a.ids[labels].tobytes(), " ".join([a.names[i] for i in labels.tolist()])
-        for s, i in self.special.items():
-            known[" " + s] = np.int32(i).tobytes(), s
-        for r, found in split.items():
-            both = [known[w] for w in found]
-            self.chunks[r] = both[0] if len(both) == 1 else (b"".join([x for x, _ in both]), " ".join([x for _, x in both]))
+        split = [(r, self._words(r)) for r in runs]
+        words = list({w for _, found in split for w in found if w[0] != " "})
+        a, known = self.automaton, {" " + s: (np.int32(i).tobytes(), s) for s, i in self.special.items()}
+        for lo in range(0, len(words), WORDS):
+            part = words[lo : lo + WORDS]
+            labels, count = a.encode_words([w.encode() for w in part])
+            ids, names = a.ids[labels].tobytes(), [a.names[i] for i in labels.tolist()]
+            at = 0
+            for w, n in zip(part, count.tolist(), strict=True):
+                known[w] = ids[4 * at : 4 * (at + n)], names[at] if n == 1 else " ".join(names[at : at + n])
+                at += n
+        for r, found in split:
+            if len(found) == 1:
+                self.chunks[r] = known[found[0]]
+            else:
+                both = [known[w] for w in found]
+                self.chunks[r] = b"".join([x for x, _ in both]), " ".join([x for _, x in both])
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
         """Of each text its ids as bytes of 32-bit numbers, and the decoded text."""
@@ -270,7 +289,7 @@ class Encoder:
         return ids, labels
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(held) -> Encoder:
     return Encoder(held.value)
 
@@ -282,13 +301,14 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 ids, decoded = encoder.encode(part.column(1).to_pylist())
                 offsets = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
                 arrays = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded"])
+        encoder.chunks.clear()  # the worker's process lives on
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>, decoded string"

@@ -26,7 +26,7 @@ def test_like_the_library():
 def test_long_words_take_the_same_path():
     a = bpe.Automaton(bpe.load(PATH))
     word = b"internationalization"
-    assert a._long(word).tolist() == a.encode_words([word])[0].tolist()
+    assert a._long(word).tolist() == a.encode_words([word, b"a"])[0].tolist()[:-1]
 
 
 def test_rows(spark):

@@ -64,12 +64,12 @@ def sum_disclosed(*parts: Column) -> Column:
     return F.when(~none, reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts]))
 
 
-def winning_offset(df: DataFrame, by: Sequence[str], offset: str, page: str, least: int = 3) -> DataFrame:
-    """The offset with the most pages, if it has ``least`` and more than twice the next one's."""
+def winning_offset(df: DataFrame, by: Sequence[str], offset: str, page: str, least: int = 3, margin: float = 2) -> DataFrame:
+    """The offset with the most pages, if it has ``least`` and more than ``margin`` times the next one's."""
     votes = df.groupBy(*by, offset).agg(F.count_distinct(page).alias("votes"))
     order = Window.partitionBy(*by).orderBy(F.desc("votes"), offset)
     ranked = votes.withColumn("next", F.coalesce(F.lead("votes").over(order), F.lit(0)))
-    return first_rows(ranked, by, [F.desc("votes"), offset]).filter((F.col("votes") >= least) & (F.col("votes") > 2 * F.col("next"))).drop("next")
+    return first_rows(ranked, by, [F.desc("votes"), offset]).filter((F.col("votes") >= least) & (F.col("votes") > margin * F.col("next"))).drop("next")
 
 
 def votes(df: DataFrame, by: Sequence[str], verdict: str = "verdict") -> DataFrame:

@@ -70,7 +70,8 @@ def yoy_badge(y: Column, digits: int = 1) -> Column:
     lost = F.substring(y["label"], 1, 2)
     signed = F.concat(F.when(y["pct"] >= 0, "+").otherwise("-"), size)
     text = F.when(y["na_percent"] | (y["kind"] == "qualitative"), y["label"]).when(y["kind"] == "flat", "持平")
-    return F.coalesce(text.when(lost.isin("减亏", "增亏"), F.concat(lost, F.lit(" "), size)).otherwise(signed), F.lit("暂无同比"))
+    sized = text.when(lost.isin("减亏", "增亏"), F.concat(lost, F.lit(" "), size)).otherwise(signed)
+    return F.when(y.isNull(), "暂无同比").otherwise(sized)
 
 
 def yoy_tone(y: Column) -> Column:

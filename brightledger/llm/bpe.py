@@ -21,11 +21,11 @@ columns than the two named play no part.
 
 from __future__ import annotations
 
+import copy
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 #: White space as the tokenizer's regular expressions see it.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Characters at which Python's split() would cut although they are not white space here.
-NOT_WHITE = re.compile("[\x1c-\x1f]")
+NOT_WHITE = "\x1c\x1d\x1e\x1f"
 SPACES = re.compile(f"[{WHITE}]+")
 #: Fixed value: the file's word pattern, with white space spelled out.
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
@@ -45,7 +45,7 @@ LONG = 48
 #: So many words are encoded at once, and so many texts.
 WORDS, TEXTS = 16_000, 250
 #: So many distinct words of a task's texts are remembered.
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -88,13 +88,39 @@ class Automaton:
         #: When a label came up: 0 for symbols, then 1, 2, ... for merges.
         self.born = np.maximum(np.arange(n) - len(base) + 1, 0)
         pairs = self.left[len(base) :] * n + self.right[len(base) :]
-        order = np.argsort(pairs)
-        self.pairs, self.merged = np.append(pairs[order], 1 << 62), np.append(order + 1, 0)
+        self._hash(pairs)
         names = {i: s for s, i in label.items()}
         self.ids = np.array([vocab[names[i]] for i in range(n)], dtype=np.int32)
         self.names = [names[i] for i in range(n)]
         self._symbols(content)
 
+    def _hash(self, pairs: np.ndarray) -> None:
+        """A table by which merges are found by their two halves: keys and ranks, each near the slot of its key."""
+        size = 1 << 18
+        self.keys, self.ranks = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        left, ranks, slot = pairs, np.arange(1, len(pairs) + 1), self._slot(pairs)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = left[free]  # of several for one slot the last stays
+            won = self.keys[slot] == left
+            self.ranks[slot[won]] = ranks[won]
+            left, ranks, slot = left[~won], ranks[~won], (slot[~won] + 1) & (size - 1)
+
+    @staticmethod
+    def _slot(pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+
+    def rank(self, pairs: np.ndarray) -> np.ndarray:
+        """When each pair merges, from 1; 0 if it never does."""
+        out, todo, slot = np.zeros(len(pairs), dtype=np.int64), np.arange(len(pairs)), self._slot(pairs)
+        while len(todo):
+            have, want = self.keys[slot], pairs[todo]
+            hit = have == want
+            out[todo[hit]] = self.ranks[slot[hit]]
+            on = ~hit & (have >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out
+
     def _symbols(self, content: list[tuple[int, ...]]) -> None:
         """step and end: from node and byte to the node of the longest suffix that begins a token, inside and at the end of a
         word; found: the longest token that ends there; shorter: the next shorter token that ends where a token does."""
@@ -115,9 +141,9 @@ class Automaton:
         row[inner] = np.arange(len(inner))
         step = np.zeros((len(inner), 256), dtype=np.int32)
         end = np.zeros((len(inner), 256), dtype=np.int32)
-        fail, found, level = np.zeros(count, dtype=np.int32), np.full(count, -1), [0]
+        fail, found, level, self.levels = np.zeros(count, dtype=np.int32), np.full(count, -1), [0], []
         while level:
-            after = []
+            after, taken, ways_in = [], [], []
             for node in level:
                 f = fail[node]
                 found[node] = token[node] if token[node] >= 0 else found[f]
@@ -126,17 +152,38 @@ class Automaton:
                     continue
                 if node:
                     step[row[node]], end[row[node]] = step[row[f]], end[row[f]]
+                    taken.append((row[node], row[f]))
                 for s, to in ways[node].items():
                     table = step if s < 256 else end
                     fail[to] = table[row[f], s & 255] if node else 0
                     table[row[node], s & 255] = to
+                    ways_in.append((row[node], s, to))
                     after.append(to)
+            self.levels.append((np.array(taken, dtype=np.int32).reshape(-1, 2), np.array(ways_in, dtype=np.int32).reshape(-1, 3)))
             level = after
-        self.step, self.end, self.row, self.found = step, end, row, found
+        self.rows, self.row, self.found = len(inner), row, found
         self.shorter = np.full(self.n, -1)
         for node in range(count):
             if token[node] >= 0:
                 self.shorter[token[node]] = found[fail[node]]
+        self.step, self.end = step, end
+
+    def __getstate__(self) -> dict:
+        """Without the dense tables, which ``ready`` makes where they are used."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("step", "end")}
+
+    def ready(self) -> Automaton:
+        """A copy with the dense tables: level by level, a node begins with its suffix's row and gets its own ways."""
+        out = copy.copy(self)
+        out.step = np.zeros((self.rows, 256), dtype=np.int32)
+        out.end = np.zeros((self.rows, 256), dtype=np.int32)
+        for taken, ways in self.levels:
+            for table in (out.step, out.end):
+                table[taken[:, 0]] = table[taken[:, 1]]
+            inside = ways[:, 1] < 256
+            for table, some in ((out.step, ways[inside]), (out.end, ways[~inside])):
+                table[some[:, 0], some[:, 1] & 255] = some[:, 2]
+        return out
 
     def arcs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether state x has an arc y, for arrays of both."""
@@ -144,9 +191,8 @@ class Automaton:
         at, when = np.arange(len(x)), np.full(len(x), 1 << 40)
         x, y = x.astype(np.int64), y.astype(np.int64)
         while len(at):
-            key = x * self.n + y
-            i = np.searchsorted(self.pairs, key)
-            gone = (self.pairs[i] == key) & (self.merged[i] <= when)
+            merged = self.rank(x * self.n + y)
+            gone = (merged > 0) & (merged <= when)
             ok[at[gone]] = False
             bx, by = self.born[x], self.born[y]
             more = ~gone & ((bx > 0) | (by > 0))
@@ -227,11 +273,12 @@ class Automaton:
 class Encoder:
     """Texts to ids and back; remembers what runs between white space became."""
 
-    def __init__(self, spec: dict):
-        self.automaton = Automaton(spec)
-        self.special = spec["special"]
+    def __init__(self, automaton: Automaton, special: dict[str, int]):
+        self.automaton, self.special = automaton.ready(), special
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        #: What runs became: ids as bytes, and labels.
+        self.ids: dict[str, bytes] = {}
+        self.labels: dict[str, str] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Normalised runs between white space, and special tokens' contents with a leading space to tell them apart."""
@@ -245,7 +292,8 @@ class Encoder:
             text = text.lower()
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return text.split() if not NOT_WHITE.search(text) else [x for x in SPACES.split(text) if x]
+        odd = any(c in text for c in NOT_WHITE)
+        return [x for x in SPACES.split(text) if x] if odd else text.split()
 
     @staticmethod
     def _words(run: str) -> list[str]:
@@ -256,50 +304,55 @@ class Encoder:
         return [run] if run[0] == " " else PIECE.findall(run)
 
     def learn(self, runs: set[str]) -> None:
-        split = [(r, self._words(r)) for r in runs]
-        words = list({w for _, found in split for w in found if w[0] != " "})
-        a, known = self.automaton, {" " + s: (np.int32(i).tobytes(), s) for s, i in self.special.items()}
+        """Encodes the words of new runs; a word is a run of itself, and longer runs are put together."""
+        whole, mixed = [], []
+        for r in runs:
+            found = self._words(r)
+            if len(found) == 1:
+                whole.append(r)
+            else:
+                mixed.append((r, found))
+        for s, i in self.special.items():
+            self.ids[" " + s], self.labels[" " + s] = np.int32(i).tobytes(), s
+        words = {w for _, found in mixed for w in found}.difference(self.ids)
+        words.update(w for w in whole if w[0] != " ")
+        words, a, all_ids, all_labels = list(words), self.automaton, self.ids, self.labels
         for lo in range(0, len(words), WORDS):
             part = words[lo : lo + WORDS]
             labels, count = a.encode_words([w.encode() for w in part])
             ids, names = a.ids[labels].tobytes(), [a.names[i] for i in labels.tolist()]
             at = 0
             for w, n in zip(part, count.tolist(), strict=True):
-                known[w] = ids[4 * at : 4 * (at + n)], names[at] if n == 1 else " ".join(names[at : at + n])
-                at += n
-        for r, found in split:
-            if len(found) == 1:
-                self.chunks[r] = known[found[0]]
-            else:
-                both = [known[w] for w in found]
-                self.chunks[r] = b"".join([x for x, _ in both]), " ".join([x for _, x in both])
+                to = at + n
+                all_ids[w] = ids[4 * at : 4 * to]
+                all_labels[w] = names[at] if n == 1 else " ".join(names[at:to])
+                at = to
+        for r, found in mixed:
+            all_ids[r] = b"".join([all_ids[w] for w in found])
+            all_labels[r] = " ".join([all_labels[w] for w in found])
+
+    def forget(self) -> None:
+        self.ids.clear()
+        self.labels.clear()
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
         """Of each text its ids as bytes of 32-bit numbers, and the decoded text."""
         runs = [self.pieces(t or "") for t in texts]
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if new := set().union(*runs).difference(self.chunks):
+        if len(self.ids) > REMEMBERED:
+            self.forget()
+        if new := set().union(*runs).difference(self.ids):
             self.learn(new)
-        ids, labels = [], []
-        for r in runs:
-            both = list(map(self.chunks.__getitem__, r))
-            ids.append(b"".join([x for x, _ in both]))
-            labels.append(" ".join([x for _, x in both]))
-        return ids, labels
-
-
-@lru_cache(maxsize=1)
-def _encoder(held) -> Encoder:
-    return Encoder(held.value)
+        ids, labels = self.ids.__getitem__, self.labels.__getitem__
+        return [b"".join(map(ids, r)) for r in runs], [" ".join(map(labels, r)) for r in runs]
 
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, ids`` (array of int) and ``decoded``, for each row. The vocabulary, of fixed size, is broadcast."""
-    held = docs.sparkSession.sparkContext.broadcast(load(path))
+    spec = load(path)
+    held = docs.sparkSession.sparkContext.broadcast((Automaton(spec), spec["special"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(held)
+        encoder = Encoder(*held.value)  # its tables go with the task
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
@@ -308,7 +361,6 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
                 values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
                 arrays = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded"])
-        encoder.chunks.clear()  # the worker's process lives on
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>, decoded string"

@@ -1,5 +1,7 @@
 """Encoding against the library that defines it, on texts that hold all its odd cases."""
 
+import pickle
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -14,8 +16,13 @@ TEXTS = [
 ]
 
 
+def encoder_of(path):
+    spec = bpe.load(path)
+    return bpe.Encoder(pickle.loads(pickle.dumps(bpe.Automaton(spec))), spec["special"])
+
+
 def test_like_the_library():
-    encoder, library = bpe.Encoder(bpe.load(PATH)), Tokenizer.from_file(PATH)
+    encoder, library = encoder_of(PATH), Tokenizer.from_file(PATH)
     ids, decoded = encoder.encode(TEXTS)
     for text, mine, back in zip(TEXTS, ids, decoded, strict=True):
         want = library.encode(text, add_special_tokens=False).ids

@@ -30,8 +30,9 @@ from brightledger.llm.common import materialize
 from brightledger.llm.graphs import components
 
 WORDS, PERCENT, K, LEAST = 5, 75, 32, 12
-#: Classes in a block of a list, and shingles in a block of whole texts.
-BLOCK, TEXT_BLOCK = 400, 250_000
+#: Classes in a block of a list. Whole texts are dealt to as many blocks as the root of their shingles by TEXT_BLOCK, so that
+#: neither tasks nor copies of texts grow as fast as a group, and to more where a block would hold over TEXT_MOST.
+BLOCK, TEXT_BLOCK, TEXT_MOST = 400, 8000, 2_000_000
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -211,8 +212,10 @@ def verified(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     # rows of one doc_id may differ in text: those of another set are told by their shingles
     rows = members.hint("merge").join(texts, members["rep"].eqNullSafe(texts["rep"])).select("label", "cid", members["n"], "text")
-    sizes = members.groupBy("label").agg(F.ceil(F.sum("n") / TEXT_BLOCK).cast("int").alias("parts"))
-    dealt = rows.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("cid"), F.greatest("parts", F.lit(1))).cast("int"))
+    total = F.sum("n")
+    parts = F.greatest(F.lit(1), F.floor(F.sqrt(total / TEXT_BLOCK)), F.ceil(total / TEXT_MOST)).cast("int")
+    sizes = members.groupBy("label").agg(parts.alias("parts"))
+    dealt = rows.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (j != F.col("own")) | (F.col("parts") == 1))
     dealt = dealt.withColumn("other", F.explode(others)).select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "text")
     sort = ["label", "i", "j"]

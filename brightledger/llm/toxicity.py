@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from brightledger.llm import wordhash
 from brightledger.llm.common import materialize, read
 
-SAMPLE, FEATURES, FOLDS, BITS = 3000, 1500, 3, 20
+SAMPLE, FEATURES, FOLDS, BITS = 2000, 1500, 3, 20
 #: The verdict's threshold on the last probability is learned between these.
 LIMITS = (0.2, 0.6)
-PREFIXES = (3, 4, 5)
+PREFIXES = (4, 5)
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

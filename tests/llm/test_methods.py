@@ -93,7 +93,7 @@ def test_near_duplicates(docs, texts):
 def test_near_duplicates_in_one_group(spark, monkeypatch):
     """A group of near copies that spans several blocks of lists and of texts, and a passage that all share."""
     monkeypatch.setattr(near, "BLOCK", 20)
-    monkeypatch.setattr(near, "TEXT_BLOCK", 2000)
+    monkeypatch.setattr(near, "TEXT_BLOCK", 500)
     random = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
     passage = " ".join(f"p{i}" for i in range(40))

@@ -1,12 +1,13 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
-``MEASURES`` names what can be measured, ``RULES`` bounds measures, and ``apply_rules`` turns both into columns; nothing
-leaves the JVM. Nulls count as empty texts, an empty text has no words and fails the base rule, repeated rows are judged
+``measured`` names what can be measured, ``RULES`` bounds measures, and ``apply_rules`` turns both into columns; nothing
+leaves the JVM. Measures leave a generator, so that later filters on them are not pushed below and do not count twice. Nulls count as empty texts, an empty text has no words and fails the base rule, repeated rows are judged
 alike one by one, and columns of the input other than ``doc_id``, ``text`` and ``lang`` play no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,14 +44,18 @@ RULES = (
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once: a lambda is computed for each element with all it mentions, so the value is
+    bound as the only element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     """How many positions lie in a window of words that occurs twice or more; words are given by their hashes.
 
     Windows are told apart by a 64-bit hash. Texts whose windows all differ, the usual case, stop at a set size.
     """
     n = F.size(hashes)
-    # a lambda is computed for each element with all it mentions, so each step is bound as the only element of an array
-    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     grams = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(hashes, i, window)))
 
     def starts(ranked: Column) -> Column:
@@ -86,27 +91,26 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "text", words(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n"), lambda line: ~line.rlike(blank)).alias("lines"),
     )
-    counted = split.select(
-        "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count("text", F.lit(r"!")).cast("long").alias("n_shouts"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        stop.cast("long").alias("n_stop_words"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
-    )
+    counts = {
+        "n_words": F.size("words"),
+        "word_chars": F.length(F.array_join("words", "")),
+        "n_symbols": F.regexp_count("text", F.lit(r"[#*$%&|<>]")),
+        "n_shouts": F.regexp_count("text", F.lit(r"!")),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_stop_words": stop,
+        "n_repeat_words": bound(F.transform("words", lambda w: F.xxhash64(w)), repeated_words),
+    }
+    counted = split.select("doc_id", F.inline(F.array(F.struct(*[c.cast("long").alias(k) for k, c in counts.items()]))))
     per_word = lambda c: F.try_divide(F.col(c).cast("double"), F.col("n_words"))
     return counted.select(
         "*",
-        repeated_words(F.col("hashes")).alias("n_repeat_words"),
         per_word("word_chars").alias("mean_word_chars"),
         per_word("n_symbols").alias("symbols_per_word"),
         per_word("n_shouts").alias("shouts_per_word"),
         per_word("n_stop_words").alias("stop_words_per_word"),
         F.try_divide(F.col("n_dup_lines").cast("double"), F.col("n_lines")).alias("dup_line_share"),
-    ).drop("hashes")
+    )
 
 
 def verdict(rules: tuple[Rule, ...]) -> Column:

@@ -99,7 +99,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_lines": F.size("lines"),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_stop_words": stop,
-        "n_repeat_words": bound(F.transform("words", lambda w: F.xxhash64(w)), repeated_words),
+        "n_repeat_words": bound(F.transform("words", lambda w: F.xxhash64(w)), lambda h: repeated_words(h)),
     }
     counted = split.select("doc_id", F.inline(F.array(F.struct(*[c.cast("long").alias(k) for k, c in counts.items()]))))
     per_word = lambda c: F.try_divide(F.col(c).cast("double"), F.col("n_words"))

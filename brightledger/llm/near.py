@@ -139,7 +139,8 @@ def forest(n: int, linked) -> list[tuple[int, int]]:
 
 
 def alike(sketch: np.ndarray, size: np.ndarray, shared: np.ndarray):
-    """The filter of step 3 for ``forest``; sketch: a row of sorted values for each class, filled up with the largest number."""
+    """The filter of step 3 for ``forest``; sketch: a row of sorted values for each class, filled up with the largest number.
+    Values are unsigned, as in the order that chose the smallest."""
     full = np.minimum(size, K)
 
     def linked(i: int, js: np.ndarray) -> np.ndarray:
@@ -151,7 +152,7 @@ def alike(sketch: np.ndarray, size: np.ndarray, shared: np.ndarray):
         ask = np.flatnonzero(ok & ~whole)
         if len(ask):  # of the smallest K values of the union, those in both
             both = np.sort(np.concatenate([np.broadcast_to(sketch[i], (len(ask), K)), sketch[js[ask]]], axis=1), axis=1)
-            twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != np.iinfo(np.int64).max)
+            twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != np.iinfo(np.uint64).max)
             rank = np.arange(1, 2 * K)[None, :] - np.cumsum(twice, axis=1) + 1
             ok[ask] = (twice & (rank <= K)).sum(axis=1) >= LEAST
         return ok
@@ -194,8 +195,8 @@ def candidates(classes: DataFrame) -> DataFrame:
             flat = t.column("sketch").combine_chunks()
             count = np.minimum(size, K)
             of = np.repeat(np.arange(len(cid)), count)
-            values = flat.flatten().to_numpy()
-            sketch = np.full((len(cid), K), np.iinfo(np.int64).max)
+            values = flat.flatten().to_numpy().view(np.uint64)
+            sketch = np.full((len(cid), K), np.iinfo(np.uint64).max, dtype=np.uint64)
             sketch[of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)] = values
             edges = forest(len(cid), alike(sketch, size, common(of, values, len(cid))))
             if edges:

@@ -108,6 +108,18 @@ def test_near_duplicates_in_one_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(dict(rows))
 
 
+@pytest.mark.parametrize("size, of", [(36, 48), (45, 60), (60, 80)])
+def test_near_duplicates_of_nested_texts(spark, size, of):
+    """Pairs at exactly 0.75, one text the beginning of the other, whose sketches reach past the middle of all hashes."""
+    rows = []
+    for p in range(3000):
+        w = [f"{p}-{k}" for k in range(of + 4)]
+        rows += [(2 * p, " ".join(w)), (2 * p + 1, " ".join(w[: size + 4]))]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
 def test_scores(docs, texts, monkeypatch):
     learned = {}
     monkeypatch.setattr(lm, "learn_shares", lambda cells, f=lm.learn_shares: learned.setdefault("shares", f(cells)))

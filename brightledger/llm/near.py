@@ -262,9 +262,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, with the documents' own columns."""
-    found = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(materialize(found, "near"), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each group, that of the smallest doc_id, with the documents' own columns. Rows are told apart by a stored
+    number: ids may be null or repeat."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
+    named = materialize(found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row"), "named")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = named.join(first, "group").filter("__row <> first").select("__row")
+    return rows.join(materialize(gone, "near"), "__row", "left_anti").select(*docs.columns)
 
 
 #: Exact links for a small table: every pair of documents with a common shingle, and what they reach.

@@ -120,6 +120,24 @@ def test_near_duplicates_of_nested_texts(spark, size, of):
     assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
 
 
+def test_near_duplicates_stage_goes_by_rows(spark):
+    """Repeated rows, null ids and one id with several texts, against plain Python: each group keeps one row, others stay."""
+    a, b, c, d, e, f, g = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg")
+    rows = [
+        (1, a), (1, a), (2, a), (None, b), (None, b), (3, c), (None, c + " more"), (None, d), (None, e), (4, f), (4, g), (-1, f),
+        (None, ""), (None, None), (None, ""), (5, e + " more"), (5, e + " more"),
+    ]
+    groups = defaultdict(list)
+    for i, (n, top) in linked({i: t for i, (_, t) in enumerate(rows)}).items():
+        groups[top if n else -1 - i].append(rows[i])
+    want = Counter(min(own, key=lambda r: (r[0] is None, r[0])) for own in groups.values())
+    docs = spark.createDataFrame([(i, t, "own") for i, t in rows], "doc_id long, text string, lang string")
+    for d in (docs, docs.repartition(3)):
+        got = near.stage(spark, d, "").collect()
+        assert Counter((r.doc_id, "" if r.text is None else r.text) for r in got) == Counter((i, "" if t is None else t) for i, t in want.elements())
+        assert {r.lang for r in got} == {"own"}
+
+
 def test_scores(docs, texts, monkeypatch):
     learned = {}
     monkeypatch.setattr(lm, "learn_shares", lambda cells, f=lm.learn_shares: learned.setdefault("shares", f(cells)))

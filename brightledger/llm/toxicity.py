@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from brightledger.llm import wordhash
-from brightledger.llm.common import materialize, read
+from brightledger.llm.common import read
 
 SAMPLE, FEATURES, FOLDS, BITS = 2000, 1500, 3, 20
 #: The verdict's threshold on the last probability is learned between these.
@@ -179,11 +180,12 @@ def sampled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], m
     return rows.select("text", *columns).mapInArrow(run, ", ".join(f"{c} int" for c in columns) + ", features array<int>")
 
 
-def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, most: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, most: int = SAMPLE, own: list[str] | None = None) -> DataFrame:
     """``doc_id``, ``p_<category>`` and the verdict ``rejected`` for every document.
 
     ``categories`` are Columns of labels, in the chain's order; the last one decides, by a threshold that out-of-fold
-    predictions of the sample give.
+    predictions of the sample give. With ``own``, ``text`` among them, rows are these columns of the documents and the
+    verdict as ``__rejected``.
     """
     categories = categories or {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     names = list(categories)
@@ -203,16 +205,24 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
             weights[where] = value
             chain.append(Linear(weights, chained, base))
         for b in batches:
-            for first, n, of, feature in features(b.column(1)):
+            for first, n, of, feature in features(b.column(place)):
                 earlier = np.zeros((n, 0))
                 for m in chain:
                     earlier = np.column_stack([earlier, np.clip(m.odds(n, of, feature, earlier), -10, 10)])
                 p = [pa.array(probability(earlier[:, k])) for k in range(len(names))]
-                out = [b.column(0).slice(first, n), *p, pa.array(probability(earlier[:, -1]) > limit)]
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", *[f"p_{c}" for c in names], "rejected"])
+                verdict = pa.array(probability(earlier[:, -1]) > limit)
+                part = b.slice(first, n)
+                out = [part.column(0), *p, verdict] if own is None else [*part.columns, verdict]
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in names) + ", rejected boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    place = 1 if own is None else own.index("text")
+    if own is None:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        schema = StructType([StructField("doc_id", LongType()), *[StructField(f"p_{c}", DoubleType()) for c in names], StructField("rejected", BooleanType())])
+    else:
+        rows = docs.select(*own)
+        schema = StructType([*rows.schema.fields, StructField("__rejected", BooleanType())])
+    return rows.mapInArrow(run, schema)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -222,5 +232,4 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not toxic, with their own columns."""
-    found = score(docs, read(spark, sf_dir, "labels")).filter("rejected").select(F.col("doc_id").alias("__toxic")).distinct()
-    return docs.join(materialize(found, "toxic"), docs["doc_id"].eqNullSafe(F.col("__toxic")), "left_anti")
+    return score(docs, read(spark, sf_dir, "labels"), own=docs.columns).filter("NOT __rejected").drop("__rejected")

@@ -183,6 +183,20 @@ def test_toxicity_on_held_out_labels(spark):
     assert n.get((True, 0), 0) / (n[False, 0] + n.get((True, 0), 0)) < 0.03
 
 
+def test_toxicity_stage_goes_by_rows(spark, tmp_path):
+    """A toxic row takes away no other row of its id, nor other rows without an id."""
+    bad, good = (lambda i: f"you idiot and moron number {i}"), (lambda i: f"a fair and calm note number {i}")
+    known = [(i, bad(i) if i % 2 else good(i)) for i in range(80)]
+    rows = [*known, (None, bad(90)), (None, good(91)), (None, good(91)), (100, bad(92)), (100, good(93)), (101, bad(94)), (101, bad(94)), (102, good(95)), (None, None)]
+    base = f"file://{tmp_path}"
+    spark.createDataFrame([(i, 1 - i % 2, i % 2) for i, _ in known], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    docs = spark.createDataFrame([("own", i, t) for i, t in rows], "lang string, doc_id long, text string")
+    got = toxicity.stage(spark, docs, base)
+    assert got.columns == docs.columns
+    left = Counter((r.lang, r.doc_id, r.text) for r in got.collect() if r.text is not None)
+    assert left == Counter(("own", i, t) for i, t in rows if t is not None and "idiot" not in t)
+
+
 def test_recall(spark):
     v = read(spark, "/root/testdata/sf0.1", "embeddings")
     p = v.select("vec_id", "embedding").toPandas()

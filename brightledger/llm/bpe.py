@@ -13,15 +13,18 @@ ends, and ``Automaton.arcs`` looks it up along them, for many arcs at once.
 
 A second table, over symbols, gives for each position the tokens that end there, the longest first. Prefixes have one
 accepted sequence each, so one pass from left to right finds the token by which each prefix ends, and going back from the
-word's end reads off the arc labels. Words are split as the tokenizer's file says; white space is dropped.
+word's end reads off the arc labels. Words are split as the tokenizer's file says; white space is dropped. Where the library
+knows another Unicode version than the packages used here, its character classes and normal form count (``unlike``).
 
-Null texts count as empty; empty texts have no tokens. Rows are encoded one by one, so repeated rows give equal rows. Other
-columns than the two named play no part.
+Null texts count as empty; empty texts have no tokens; an empty table gives an empty result. Very long texts are one row, with
+some 100 bytes of memory a word of the 250 texts encoded at once. Rows are encoded one by one, so repeated rows give equal rows.
+Other columns than the two named play no part.
 """
 
 from __future__ import annotations
 
 import copy
+import functools
 import json
 import re
 import unicodedata
@@ -32,6 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 #: White space as the tokenizer's regular expressions see it.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -40,6 +44,10 @@ NOT_WHITE = "\x1c\x1d\x1e\x1f"
 SPACES = re.compile(f"[{WHITE}]+")
 #: Fixed value: the file's word pattern, with white space spelled out.
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
+#: The same with other letters and numbers put in.
+PIECE_OF = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+"
+#: A mark of each of the usual combining classes: marks of other classes change places with some of them.
+MARKS = "\u0334\u3099\u094d\u05b0\u0321\u0323\u0300\u0307\u0345"
 #: Longer words are encoded one by one.
 LONG = 48
 #: So many words are encoded at once, and so many texts.
@@ -55,6 +63,36 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def ranges(points: set[int]) -> str:
+    """Code points as the inside of a character class."""
+    at = np.array(sorted(points))
+    cut = np.flatnonzero(np.diff(at) != 1) + 1
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ((x[0], x[-1]) for x in np.split(at, cut)))
+
+
+@functools.cache
+def unlike() -> dict[str, str]:
+    """Classes ``odd``, the characters that the tokenizers library and the packages used here see differently (they know other
+    Unicode versions), and ``letters`` and ``numbers`` as the library's expressions see them. Whatever versions are installed,
+    texts without odd characters take the usual path, others the library's classes and normal form."""
+    every = [c for c in (*range(0x40000), *range(0xE0000, 0xE1000)) if not 0xD800 <= c < 0xE000]  # other planes are not assigned
+    whole = "".join(map(chr, every))
+    seen, odd = {}, set()
+    for kind in "LNM":
+        runs = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(whole)
+        seen[kind] = {ord(c) for run, _ in runs for c in run}
+        own = {ord(c) for c in regex.findall(rf"\p{{{kind}}}", whole)}
+        odd |= seen[kind] ^ own
+    solid = [chr(c) for c in every if not chr(c).isspace()]
+    nfc, lower = lambda x: unicodedata.normalize("NFC", x), lambda x: x.replace("Σ", "σ").lower()
+    asked = [(normalizers.Lowercase(), lower, solid), *[(normalizers.NFC(), nfc, [f"a{c}{m}a{m}{c}" for c in solid]) for m in MARKS]]
+    for theirs, own, texts in asked:
+        lines = "\n".join(texts)
+        pairs = zip(theirs.normalize_str(lines).split("\n"), own(lines).split("\n"), strict=True)
+        odd |= {ord(c) for c, (a, b) in zip(solid, pairs, strict=True) if a != b}
+    return {"odd": ranges(odd | {0xFFFF}), "letters": ranges(seen["L"]), "numbers": ranges(seen["N"])}
+
+
 def load(path: str) -> dict:
     """What the automaton needs of a tokenizer's JSON file; raises ValueError for files of another kind."""
     with open(path, encoding="utf-8") as f:
@@ -63,7 +101,7 @@ def load(path: str) -> dict:
     kind = (model["type"], model["end_of_word_suffix"], model["unk_token"], model["ignore_merges"], whole["decoder"], names)
     if kind != ("BPE", "</w>", None, False, None, ["NFC", "Replace", "Lowercase"]):
         raise ValueError(f"{path} is not a BPE with word ends: {kind}")
-    return {"vocab": model["vocab"], "merges": [tuple(x) for x in model["merges"]], "special": {x["content"]: x["id"] for x in whole["added_tokens"]}}
+    return {"vocab": model["vocab"], "merges": [tuple(x) for x in model["merges"]], "special": {x["content"]: x["id"] for x in whole["added_tokens"]}, "unlike": unlike()}
 
 
 class Automaton:
@@ -273,8 +311,11 @@ class Automaton:
 class Encoder:
     """Texts to ids and back; remembers what runs between white space became."""
 
-    def __init__(self, automaton: Automaton, special: dict[str, int]):
+    def __init__(self, automaton: Automaton, special: dict[str, int], unlike: dict[str, str]):
         self.automaton, self.special = automaton.ready(), special
+        self.odd = re.compile(f"[{unlike['odd']}]")
+        self.odd_piece = re.compile(PIECE_OF.format(white=WHITE, **unlike))
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         #: What runs became: ids as bytes, and labels.
         self.ids: dict[str, bytes] = {}
@@ -286,17 +327,19 @@ class Encoder:
             return self._runs(text)
         return [r for x in self.split.split(text) for r in ([" " + x] if x in self.special else self._runs(x))]
 
-    @staticmethod
-    def _runs(text: str) -> list[str]:
+    def _runs(self, text: str) -> list[str]:
         if text.isascii():
             text = text.lower()
+        elif self.odd.search(text):
+            text = self.normal.normalize_str(text)
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         odd = any(c in text for c in NOT_WHITE)
         return [x for x in SPACES.split(text) if x] if odd else text.split()
 
-    @staticmethod
-    def _words(run: str) -> list[str]:
+    def _words(self, run: str) -> list[str]:
+        if not run.isascii() and self.odd.search(run):
+            return self.odd_piece.findall(run)
         if run.isalpha():
             return [run]
         if run[-1] in ".,;:!?" and run[:-1].isalpha():
@@ -349,7 +392,7 @@ class Encoder:
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, ids`` (array of int) and ``decoded``, for each row. The vocabulary, of fixed size, is broadcast."""
     spec = load(path)
-    held = docs.sparkSession.sparkContext.broadcast((Automaton(spec), spec["special"]))
+    held = docs.sparkSession.sparkContext.broadcast((Automaton(spec), spec["special"], spec["unlike"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*held.value)  # its tables go with the task

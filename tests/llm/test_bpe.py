@@ -7,6 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from brightledger.llm import bpe
+from brightledger.llm.common import read
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -18,7 +19,7 @@ TEXTS = [
 
 def encoder_of(path):
     spec = bpe.load(path)
-    return bpe.Encoder(pickle.loads(pickle.dumps(bpe.Automaton(spec))), spec["special"])
+    return bpe.Encoder(pickle.loads(pickle.dumps(bpe.Automaton(spec))), spec["special"], spec["unlike"])
 
 
 def test_like_the_library():
@@ -30,6 +31,29 @@ def test_like_the_library():
         assert back == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_like_the_library():
+    """Between letters, alone, before a mark, and twice. Of planes without characters some; surrogates are no characters."""
+    encoder, library = encoder_of(PATH), Tokenizer.from_file(PATH)
+    points = (*range(0x40000), *range(0xE0000, 0xE1000), *range(0x40000, 0x110000, 997))
+    every = [chr(c) for c in points if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(every), 1 << 15):
+        part = every[lo : lo + (1 << 15)]
+        texts = [" ".join(f"a{c}b {c} {c}\u0307 {c}{c}" for c in part[k : k + 32]) for k in range(0, len(part), 32)]
+        ids, decoded = encoder.encode(texts)
+        for text, mine, back, want in zip(texts, ids, decoded, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(mine, dtype=np.int32).tolist() == want.ids, text
+            assert back == library.decode(want.ids, skip_special_tokens=False)
+
+
+def test_documents_like_the_library(spark):
+    library = Tokenizer.from_file(PATH)
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in bpe.encode(docs, PATH).collect():
+        want = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert list(r.ids) == want and r.decoded == library.decode(want, skip_special_tokens=False)
+
+
 def test_long_words_take_the_same_path():
     a = bpe.Automaton(bpe.load(PATH))
     word = b"internationalization"

@@ -17,10 +17,20 @@ from brightledger.llm.common import new_path
 CHUNK = 1 << 20
 
 
-def chunks(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Texts and the kept columns in chunks, written to the shared folder in buckets by ``chunk``, so that joins on it need not
-    move texts: ``chunk, text`` and ``c0, c1, ...``, all but the first arrays."""
-    spark = docs.sparkSession
+def by_chunk(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets by ``chunk``: such tables are joined on it without moving rows."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    out = df.write.format("parquet").option("path", path).option("compression", "zstd")
+    out.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(table)
+    return spark.table(table)
+
+
+def chunks(docs: DataFrame, keep: Sequence[str], most: int | None = None) -> DataFrame:
+    """Texts and the kept columns in chunks of about ``most`` bytes, stored ``by_chunk``: ``chunk, text`` and ``c0, c1, ...``, all
+    but the first arrays."""
+    most = most or CHUNK
     kept = [T.StructField(f"c{i}", T.ArrayType(docs.schema[c].dataType)) for i, c in enumerate(keep)]
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("text", T.ArrayType(T.StringType())), *kept])
     names = schema.names
@@ -29,18 +39,14 @@ def chunks(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for b in batches:
             offsets, _ = wordhash.buffers(b.column(0))
-            for first, last in wordhash.parts(offsets, CHUNK):
+            for first, last in wordhash.parts(offsets, most):
                 at = pa.array([0, last - first], pa.int32())
                 part = [pa.ListArray.from_arrays(at, c.slice(first, last - first)) for c in b.columns]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), *part], names=names)
                 number += 1
 
-    path = new_path(spark, "chunks")
-    name = path.rpartition("/")[2].replace("-", "_")
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
-    out = rows.mapInArrow(run, schema).write.format("parquet").option("path", path).option("compression", "zstd")
-    out.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name)
-    return spark.table(name)
+    return by_chunk(rows.mapInArrow(run, schema), "chunks")
 
 
 def each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, pa.Array]]:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,28 +139,115 @@ def test_near_duplicates_stage_goes_by_rows(spark):
         assert {r.lang for r in got} == {"own"}
 
 
+def best_share(cells):
+    """The share under which left-out tokens are most probable, by trying shares; cells: how often which factor occurs."""
+    low, high = 0.0, 0.999
+    for _ in range(3):
+        options = np.linspace(low, high, 2001)
+        best = int(np.argmax(sum(n * np.log(1 + options * (f - 1)) for f, n in cells.items())))
+        low, high = options[max(best - 1, 0)], options[min(best + 1, 2000)]
+    return float(options[best])
+
+
+def rounded(ratio):
+    """Factors are told apart by halves of powers of two."""
+    return 2.0 ** (min(80, max(-80, round(2 * math.log2(ratio)))) / 2) if ratio > 0 else 0.0
+
+
+def plain_model(words, learned):
+    """Counts, and the shares of histories by length and size, learned by leaving out each token, in plain Python."""
+    grams = {1: Counter(), 2: Counter(), 3: Counter()}
+    for i in learned:
+        w = ["<s>", *words[i], "</s>"]
+        for k in grams:
+            grams[k].update(tuple(w[p : p + k]) for p in range(len(w) - k + 1))
+    n = sum(c for k, c in grams[1].items() if k != ("<s>",))
+    kinds = len(grams[1]) - (("<s>",) in grams[1])
+    plain = lambda x, less=0: (grams[1][x,] - less + 0.1) / (n - less + 0.1 * (kinds + 1))
+    size = lambda c: int(math.log2(c)) + 1 if c else 0
+    shares = {1: defaultdict(float), 2: defaultdict(float)}
+    found = defaultdict(Counter)
+    for i in learned:
+        w = ["<s>", *words[i], "</s>"]
+        for v, x in zip(w, w[1:], strict=False):
+            h = grams[1][v,]
+            found[size(h)][rounded((grams[2][v, x] - 1) / (h - 1) / plain(x, 1) if h > 1 else 0)] += 1
+    shares[1].update({k: best_share(c) for k, c in found.items()})
+    found = defaultdict(Counter)
+    for i in learned:
+        w = ["<s>", *words[i], "</s>"]
+        for u, v, x in zip(w, w[1:], w[2:], strict=False):
+            h, one = grams[2][u, v], grams[1][v,]
+            if h > 1:
+                s = shares[1][size(one)]
+                shorter = s * (grams[2][v, x] - 1) / (one - 1) + (1 - s) * plain(x, 1)
+                found[size(h)][rounded((grams[3][u, v, x] - 1) / (h - 1) / shorter)] += 1
+    shares[2].update({k: best_share(c) for k, c in found.items()})
+    return grams, n, plain, size, shares
+
+
 def test_scores(docs, texts, monkeypatch):
-    learned = {}
-    monkeypatch.setattr(lm, "learn_shares", lambda cells, f=lm.learn_shares: learned.setdefault("shares", f(cells)))
+    monkeypatch.setattr(lm, "CHUNK", 1 << 15)  # many chunks
+    monkeypatch.setattr(lm, "STRETCH", 7)
     got = {r.doc_id: r for r in lm.score(docs).collect()}
-    one, two, words = Counter(), Counter(), {i: WORD.findall(lowered(t)) for i, t in texts.items()}
-    for i, w in words.items():
-        if zlib.crc32(str(i).encode()) % 10:
-            one.update(["<s>", *w, "</s>"])
-            two.update(zip(["<s>", *w], [*w, "</s>"], strict=True))
-    n = sum(c for k, c in one.items() if k != "<s>")
-    kinds, shares = len(one) - 1, learned["shares"]
+    words = {i: WORD.findall(lowered(t)) for i, t in texts.items()}
+    grams, n, plain, size, shares = plain_model(words, [i for i in words if zlib.crc32(str(i).encode()) % 10])
+    assert any(shares[2].values())
     for i, w in words.items():
         base = score = known = 0
-        for h, x in zip(["<s>", *w], [*w, "</s>"], strict=True):
-            p = (one[x] + 0.1) / (n + 0.1 * (kinds + 1))
+        w = ["<s>", *w, "</s>"]
+        for k in range(1, len(w)):
+            x, v = w[k], w[k - 1]
+            p = plain(x)
             base += math.log10(p)
-            known += one[x] > 0
-            share = shares[int(math.log2(one[h])) + 1] if one[h] else 0
-            score += math.log10((share * two[h, x] / one[h] if one[h] else 0) + (1 - share) * p)
+            known += grams[1][x,] > 0
+            for h in (w[k - 1 : k], w[k - 2 : k] if k > 1 else []):
+                if h and (c := grams[len(h)][tuple(h)]):
+                    s = shares[len(h)][size(c)]
+                    p = s * grams[len(h) + 1][(*h, x)] / c + (1 - s) * p
+            score += math.log10(p)
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(w) + 1, known, n)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-6)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(w) - 1, known, n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=2e-4)
+
+
+def test_stretches_meet_the_states_of_whole_texts(monkeypatch):
+    """Where texts are cut makes no difference, and every state's arcs and failure arcs make a distribution."""
+    random = np.random.default_rng(5)
+    texts = pa.array([" ".join(random.choice(list("abcdefg"), 300, p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05])) for _ in range(6)])
+    g = lm.Grams(texts)
+    words, pairs = g.counts(np.ones(6, dtype=bool))
+    t = lm.Triples(g, pairs)
+    share = np.where(np.arange(64) > 1, 0.5, 0.0)
+    a = lm.Automaton(lm.Model(int(words.sum()) - 6, 8, share, share), g, t, words, pairs, t.counts(g, np.ones(6, dtype=bool)))
+    found = [a.traverse(g)]
+    for stretch in (2, 7, 1 << 20):
+        monkeypatch.setattr(lm, "STRETCH", stretch)
+        found.append(a.traverse(g))
+    assert all(np.array_equal(found[0], x) for x in found)
+    known = np.flatnonzero(np.arange(len(g.words)) != g.begin)
+    unknown = 0.1 / (int(words.sum()) - 6 + 0.1 * 9)
+    stop = int(np.flatnonzero(g.words == lm.STOP)[0])
+    for state in range(len(a.fall)):
+        last = state - 1 if 0 < state <= a.n else g.pairs[state - a.n - 1] % a.n if state else -1
+        if last == stop:
+            continue
+        to, weight = a.step(np.full(len(known), state), known)
+        fall, at = 1.0, state
+        while at:
+            fall, at = fall * 10 ** a.fall[at], a.fail[at]
+        assert math.isclose(float(np.sum(10**weight)) + fall * unknown, 1, rel_tol=1e-9)
+
+
+def test_what_occurs_twice_scores_higher(spark):
+    random = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(random.choice(vocabulary, 120)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:60])]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = [got[i].score for i in range(60) if not got[i].held_out and not got[1000 + i].held_out]
+    once = [got[i].score for i in range(60, 300) if not got[i].held_out]
+    assert min(twice) > max(once)
 
 
 def test_scores_beat_the_base_on_held_out_texts(spark):
@@ -167,13 +255,6 @@ def test_scores_beat_the_base_on_held_out_texts(spark):
     assert held[0] > held[1]
 
 
-def test_shares_sum_to_one():
-    """Arc and failure weights of a state make a distribution."""
-    count, pairs, share = {"a": 6, "b": 3, "c": 1}, {"a": 2, "b": 1}, 0.4
-    plain = {k: (c + 0.1) / (10 + 0.1 * 4) for k, c in count.items()} | {"?": 0.1 / (10 + 0.1 * 4)}
-    assert math.isclose(sum(share * pairs.get(k, 0) / 3 + (1 - share) * p for k, p in plain.items()), 1)
-
-
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
     known = labels.filter(F.xxhash64("doc_id") % 2 == 0)

@@ -5,13 +5,14 @@ is its completion, with a mask of the characters to learn from: the texts of ass
 
 Null roles and texts count as empty. Rows without a conversation or a pair are left out, and so are pairs that lack a side.
 Turns are ordered by number, then role and text, nulls first; repeated rows are turns of their own. Where one conversation is
-the other's prefix its completion is empty. Other columns play no part. A conversation is one row of the result, so its turns
-meet in one task; nothing else does.
+the other's prefix its completion is empty. An empty table gives an empty result. Other columns play no part. A conversation is
+one row of the result, so its turns meet in one task, in time and memory linear in their length; nothing else does.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HEAD, BODY, END = "<|", "|>\n", "<|end|>\n"
@@ -27,18 +28,21 @@ def _one(t: Column) -> Column:
     return F.concat(F.lit(HEAD), t["role"], F.lit(BODY), t["text"], F.lit(END))
 
 
+def _size(t: Column) -> Column:
+    return F.length(t["role"]) + F.length(t["text"]) + F.lit(len(HEAD + BODY + END))
+
+
 def mask(turns: Column) -> Column:
-    """Spans ``start:end`` of learned characters in the rendered text, joined by commas."""
-    head = lambda t: F.length(t["role"]) + F.lit(len(HEAD) + len(BODY))
-    size = lambda t: F.length(_one(t))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    """Spans ``start:end`` of learned characters in the rendered text, joined by commas; turns carry ``upto``, where they end in
+    their whole conversation."""
 
-    def step(acc: Column, t: Column) -> Column:
-        span = F.concat_ws(":", (acc["at"] + head(t)).cast("string"), (acc["at"] + size(t)).cast("string"))
-        spans = F.when(t["role"] == LEARNED, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + size(t)).alias("at"), spans.alias("spans"))
+    def span(t: Column, begin: Column) -> Column:
+        end = t["upto"] - begin
+        return F.concat_ws(":", (end - _size(t) + F.length(t["role"]) + F.lit(len(HEAD + BODY))).cast("string"), end.cast("string"))
 
-    return F.aggregate(turns, start, step, lambda acc: F.array_join(acc["spans"], ","))
+    first = F.get(turns, F.lit(0))
+    learned = F.filter(turns, lambda t: t["role"] == LEARNED)
+    return F.array_join(F.transform(learned, lambda t: span(t, first["upto"] - _size(first))), ",")
 
 
 def format_preferences(turns: DataFrame) -> DataFrame:
@@ -46,9 +50,14 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 
     ``n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask``.
     """
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    side = lambda chosen: F.array_sort(F.collect_list(F.when(F.col("chosen") == chosen, row)))
-    pairs = turns.filter("pair_id IS NOT NULL AND chosen IS NOT NULL").groupBy("pair_id").agg(side(True).alias("a"), side(False).alias("b"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    known = turns.filter("pair_id IS NOT NULL AND chosen IS NOT NULL").select("pair_id", F.col("chosen").alias("side"), "turn", text("role"), text("text"))
+    # one shuffle serves the running ends and the pairs; ends are added up turn by turn, so work is linear in the turns
+    order = W.partitionBy("pair_id", "side").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = known.repartition("pair_id").withColumn("upto", F.sum(F.length("role") + F.length("text") + len(HEAD + BODY + END)).over(order))
+    row = F.struct("turn", "role", "text", "upto")
+    side = lambda chosen: F.array_sort(F.collect_list(F.when(F.col("side") == chosen, row)))
+    pairs = placed.groupBy("pair_id").agg(side(True).alias("a"), side(False).alias("b"))
     same = lambda i: (F.get("a", i)["role"] == F.get("b", i)["role"]) & (F.get("a", i)["text"] == F.get("b", i)["text"])
     shorter = F.least(F.size("a"), F.size("b"))
     differs = F.filter(F.sequence(F.lit(0), shorter - 1), lambda i: ~same(i))

@@ -101,6 +101,20 @@ def test_vectors(spark):
     assert ann.query(v.filter("vec_id < 3")).count() == 2
 
 
+def test_long_conversations(spark):
+    """Work on a conversation is linear in its turns; masks against plain Python."""
+    turns = [(c, k, "assistant" if k % 2 else "user", f"{c if k > 20 else ''} turn {k}") for c in (0, 1) for k in range(4000)]
+    (row,) = preferences.query(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert row.n_prompt_turns == 21
+    at, spans = 0, []
+    for _, k, role, text in turns[21:4000]:
+        end = at + len(f"<|{role}|>\n{text}<|end|>\n")
+        if role == "assistant":
+            spans.append(f"{at + len(role) + 5}:{end}")
+        at = end
+    assert row.chosen_mask == ",".join(spans) and len(row.chosen) == at
+
+
 def test_preferences(spark):
     data = [(0, 1, "assistant", "b"), (0, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "c"), (2, 0, "user", None), (3, 0, None, ""), (None, 0, "user", "x"), (4, 0, "user", "alone"), (6, 0, "user", "q"), (7, 0, "user", "q"), (7, 1, "assistant", "r"), (7, 1, "assistant", "r")]
     c = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumns({"a": F.lit(1), "n": F.lit(2), "p": F.lit(3)})

@@ -4,13 +4,14 @@ Categories are predicted one after the other by linear models; the predicted pro
 log-odds, are features of later ones. So that a later model sees predictions as good as it will get, it is trained with
 out-of-fold ones: each part of the sample predicted by a model that was fitted on the other parts.
 
-Features of a text are its distinct words, prefixes of words and the words' last part (so that unseen forms count), hashed.
-The models are fitted on a bounded sample of labelled documents: up to ``SAMPLE`` rows of each value of the last category, by a hash of
-the id. Every document is scored, whole.
-
-Null texts are empty and get the model's base rate; labels that are null or of unknown documents are left out; repeated
-rows are scored one by one. A category without examples of both kinds gets a constant probability, and without labels no
-document is toxic. Further columns play no part.
+Features of a text are its distinct words and prefixes of words (so that unseen forms count), hashed.
+The models are fitted on a bounded sample of labelled documents: up to ``SAMPLE`` documents of each value of the last category, by a
+hash of the id, and of each of them up to ``MOST`` features, by their hash. Every document is scored, whole.
+
+Null texts are empty and get the model's base rate; labels that are null or of unknown documents are left out before the
+sample is drawn; a document that repeats, or has several labels, is learned from once (the least of its labels and texts).
+Repeated rows are scored one by one. A category without examples of both kinds gets a constant probability, and without labels
+no document is toxic. An empty table gives an empty result. Further columns play no part.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 from brightledger.llm import wordhash
 from brightledger.llm.common import read
 
-SAMPLE, FEATURES, FOLDS, BITS = 2000, 1500, 3, 20
+SAMPLE, MOST, FEATURES, FOLDS, BITS = 2000, 8192, 1500, 3, 20
 #: The verdict's threshold on the last probability is learned between these.
 LIMITS = (0.2, 0.6)
 PREFIXES = (4, 5)
@@ -158,20 +159,30 @@ def train(rows: list[tuple[int, np.ndarray]], values: np.ndarray) -> tuple[list[
     return models, best_limit(probability(held_out), values[:, -1]) if n else LIMITS[1]
 
 
+def fewest(of: np.ndarray, n: int, most: int) -> np.ndarray:
+    """Which features to keep, ``most`` a text: the smallest, as features are hashes; they come in order of text and feature."""
+    begin = np.searchsorted(of, np.arange(n))
+    return np.arange(len(of)) - begin[of] < most
+
+
 def sampled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most: int) -> DataFrame:
-    """``fold``, the categories and ``features`` of up to ``most`` labelled documents of each value of the last category."""
+    """``fold``, the categories and ``features`` of up to ``most`` labelled documents of each value of the last category: at most
+    2 * most rows of MOST numbers, as ids are drawn one by one and only among those of documents."""
     named = labels.select("doc_id", *[c.cast("int").alias(k) for k, c in categories.items()]).na.drop()
     order = F.xxhash64("doc_id")
     last = list(categories)[-1]
-    kinds = [named.filter(F.col(last) == v).orderBy(order, "doc_id").limit(most) for v in (0, 1)]
+    known = named.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*sorted(categories, key=lambda c: c != last))).alias("v"))
+    known = known.select("doc_id", *[F.col(f"v.{c}").alias(c) for c in categories])
+    kinds = [known.filter(F.col(last) == v).orderBy(order, "doc_id").limit(most) for v in (0, 1)]
     some = kinds[0].unionByName(kinds[1]).withColumn("fold", F.pmod(order, F.lit(FOLDS)).cast("int"))
-    # 2 * most rows of a few numbers: a proven bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    columns = ["fold", *categories]
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "fold", *categories).agg(F.min("text").alias("text"))
+    columns, bound = ["fold", *categories], MOST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, n, of, feature in features(b.column("text")):
+                keep = fewest(of, n, bound)
+                of, feature = of[keep], feature[keep]
                 cut = np.searchsorted(of, np.arange(n + 1))
                 part = b.slice(first, n)
                 found = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feature, pa.int32()))
@@ -231,5 +242,6 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not toxic, with their own columns."""
+    """The documents that are not toxic, with their own columns: each row by its own text, whatever its id. Rows without a text
+    are not toxic, and without labels all rows stay."""
     return score(docs, read(spark, sf_dir, "labels"), own=docs.columns).filter("NOT __rejected").drop("__rejected")

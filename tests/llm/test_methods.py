@@ -264,6 +264,17 @@ def test_toxicity_on_held_out_labels(spark):
     assert n.get((True, 0), 0) / (n[False, 0] + n.get((True, 0), 0)) < 0.03
 
 
+def test_sample_is_bounded_and_of_known_documents(spark, monkeypatch):
+    """Labels without a document take no place in the sample, repeated documents and labels count once, long texts are bounded."""
+    monkeypatch.setattr(toxicity, "MOST", 50)
+    docs = spark.createDataFrame([(i % 30, " ".join(f"w{i}-{k}" for k in range(200))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(-500, 30)] + [(3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    got = toxicity.sampled(docs, labels, categories, 10).collect()
+    assert Counter(r.toxic for r in got) == {0: 10, 1: 10}
+    assert all(len(r.features) <= 50 for r in got)
+
+
 def test_toxicity_stage_goes_by_rows(spark, tmp_path):
     """A toxic row takes away no other row of its id, nor other rows without an id."""
     bad, good = (lambda i: f"you idiot and moron number {i}"), (lambda i: f"a fair and calm note number {i}")

@@ -19,9 +19,12 @@ def read(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where a session names none (tests on one machine), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where a session on one machine (tests) names none, one of our own. A cluster must
+    name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -43,3 +46,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text, in order; none for a null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]+"), "")
+
+
+def join_salted(rows: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``rows`` joined with ``small``, which has one row for each ``key``; rows of one key are dealt to ``salts`` parts by the
+    column ``spread``, each of which gets its own copy of the key's row, so that a hot key does not end in one task."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")

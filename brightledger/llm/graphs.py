@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightledger.llm.common import materialize
+from brightledger.llm.common import join_salted, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node is replaced by its smallest neighbour if that is smaller. Nodes should be hashes: in random
     order a round leaves a fraction of the nodes, so rounds grow with the logarithm of their number. Counts per node are
-    combined before they are shuffled, and edges between the same two nodes once replaced are one.
+    combined before they are shuffled, edges between the same two nodes once replaced are one, and a hub's edges are dealt to
+    several tasks.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = materialize(both.filter("a != b").distinct(), "edges")
@@ -21,10 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not now.isEmpty():
         step = materialize(now.groupBy("a").agg(F.min("b").alias("to")).withColumn("to", F.least("a", "to")), "step")
         steps.append(step)
-        one = now.join(step, "a").select("b", F.col("to").alias("a"))
-        two = one.join(step.withColumnRenamed("a", "b"), "b").select("a", F.col("to").alias("b"))
+        one = join_salted(now, step, "a", "b").select("b", F.col("to").alias("a"))
+        two = join_salted(one, step.withColumnRenamed("a", "b"), "b", "a").select("a", F.col("to").alias("b"))
         now = materialize(two.filter("a != b").distinct(), "edges")
     found = nodes.withColumn("label", F.col("node"))
     for step in steps:
-        found = found.join(step.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        found = join_salted(found, step.withColumnRenamed("a", "label"), "label", "node", "left").select("node", F.coalesce("to", "label").alias("label"))
     return materialize(found, "components")

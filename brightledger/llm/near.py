@@ -3,8 +3,10 @@
 1. Every text becomes its set of word shingles, each a 64-bit hash; the ``k`` smallest are its sketch. Texts with one set form
    a class, which goes on as one row however many copies it has.
 2. Inverted lists of retained values find overlaps. Two sets of the similarity asked for share ``least`` values of their
-   sketches (all but 1.5 in a million of pairs just at 0.75), so each class is listed only under its ``k - least + 1`` rarest
-   values: passages that many documents share are looked at only where little else is there.
+   sketches: the smallest ``k`` of their union are a random sample of it, and of 64 such values fewer than 16 are shared in less
+   than 1e-17 of pairs just at 0.75, less often than two shingles have one hash; sets of ``k`` shingles or fewer are held whole,
+   and there the number is exact. So each class is listed only under its ``k - least + 1`` rarest values: passages that many
+   documents share are looked at only where little else is there.
 3. Long lists are dealt out in blocks, each pair of blocks a task of its own. In a block, pairs whose union's sketch shows too
    small an overlap fall; of what remains a spanning forest goes out, never all pairs.
 4. What hangs together is verified on whole texts, again in pairs of blocks: exact counts of common shingles decide each
@@ -26,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightledger.llm import wordhash
-from brightledger.llm.common import materialize
+from brightledger.llm.common import join_salted, materialize
 from brightledger.llm.graphs import components
 
-WORDS, PERCENT, K, LEAST = 5, 75, 32, 12
+WORDS, PERCENT, K, LEAST = 5, 75, 64, 16
 #: Classes in a block of a list. Whole texts are dealt to as many blocks as the root of their shingles by TEXT_BLOCK, so that
 #: neither tasks nor copies of texts grow as fast as a group, and to more where a block would hold over TEXT_MOST.
-BLOCK, TEXT_BLOCK, TEXT_MOST = 400, 8000, 2_000_000
+BLOCK, TEXT_BLOCK, TEXT_MOST = 1000, 8000, 2_000_000
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -210,13 +212,13 @@ def verified(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     """Edges ``a, b`` of forests over the classes whose whole texts are linked; found: components of candidates."""
     members = classes.select("cid", "n", "rep").join(found.select(F.col("node").alias("cid"), "label"), "cid")
     members = materialize(members, "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    # rows of one doc_id may differ in text: those of another set are told by their shingles
-    rows = members.hint("merge").join(texts, members["rep"].eqNullSafe(texts["rep"])).select("label", "cid", members["n"], "text")
     total = F.sum("n")
     parts = F.greatest(F.lit(1), F.floor(F.sqrt(total / TEXT_BLOCK)), F.ceil(total / TEXT_MOST)).cast("int")
-    sizes = members.groupBy("label").agg(parts.alias("parts"))
-    dealt = rows.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    members = join_salted(members, members.groupBy("label").agg(parts.alias("parts")), "label", "cid")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    # rows of one doc_id may differ in text: those of another set are told by their shingles
+    rows = members.hint("merge").join(texts, members["rep"].eqNullSafe(texts["rep"])).select("label", "cid", "parts", "text")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (j != F.col("own")) | (F.col("parts") == 1))
     dealt = dealt.withColumn("other", F.explode(others)).select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "text")
     sort = ["label", "i", "j"]
@@ -253,7 +255,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.select("cid", "rep").join(linked.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.withColumn("label", F.coalesce("label", "cid"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(smallest, "label").select("cid", "component_id")
+    by_class = join_salted(named, smallest, "label", "cid").select("cid", "component_id")
     whole = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(by_class, "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
@@ -263,12 +265,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group, that of the smallest doc_id, with the documents' own columns. Rows are told apart by a stored
-    number: ids may be null or repeat."""
+    number: ids may be null or repeat (of one id the first stored row stays, of null ids one if no other is there). Rows without
+    words all stay."""
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
     named = materialize(found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row"), "named")
     first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = named.join(first, "group").filter("__row <> first").select("__row")
+    gone = join_salted(named, first, "group", "__row").filter("__row <> first").select("__row")
     return rows.join(materialize(gone, "near"), "__row", "left_anti").select(*docs.columns)
 
 

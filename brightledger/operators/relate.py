@@ -37,9 +37,11 @@ def canonical_lookup(df: DataFrame, other: DataFrame, keys: Sequence[str], perio
     same = F.regexp_replace(F.col(period), "Q2$", "H1")
     asked = df.withColumn("__period", same)
     held = other.select(*keys, same.alias("__period"), F.col(period).alias("__written"), value)
-    found = asked.withColumn("__row", F.monotonically_increasing_id()).join(held, [*keys, "__period"], "left")
-    exact = F.when(F.col("__written") == F.col(period), 0).otherwise(1)
-    return first_rows(found, ["__row"], [exact, "__written"]).drop("__row", "__period", "__written")
+    # one candidate for each way of writing, chosen before the join, so that rows need no number
+    written = first_rows(held, [*keys, "__period", "__written"], [value])
+    both = written.groupBy(*keys, "__period").agg(F.map_from_entries(F.collect_list(F.struct("__written", value))).alias("__by"), F.min_by(value, "__written").alias("__any"))
+    found = asked.join(both, [*keys, "__period"], "left")
+    return found.withColumn(value, F.coalesce(F.try_element_at("__by", F.col(period)), F.col("__any"))).drop("__period", "__by", "__any")
 
 
 def longest_contained(df: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
@@ -48,10 +50,10 @@ def longest_contained(df: DataFrame, text: str, names: DataFrame, name: str) ->
     ``names`` is a small dimension: Spark broadcasts it under its size threshold and nest-loops blocks beyond it. An inner
     condition on contained strings has no key to join on.
     """
-    found = df.withColumn("__row", F.monotonically_increasing_id())
-    hits = found.select("__row", text).join(names.select(name), F.col(text).contains(F.col(name)))
-    best = hits.groupBy("__row").agg(F.min_by(name, F.struct(-F.length(name), name)).alias(name))
-    return found.join(best, "__row", "left").drop("__row")
+    texts = df.select(text).distinct()
+    hits = texts.join(names.select(name), F.col(text).contains(F.col(name)))
+    best = hits.groupBy(text).agg(F.min_by(name, F.struct(-F.length(name), name)).alias(name))
+    return df.join(best, text, "left")
 
 
 def expected_but_absent(expected: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFrame:

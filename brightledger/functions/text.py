@@ -119,10 +119,12 @@ STOP_TERMS = ("报告期", "公司", "本期", "上年", "同比", "情况")
 
 def ngrams(text: Column, sizes: Sequence[int] = (3, 4)) -> Column:
     """Distinct runs of Chinese characters of some lengths, without common ones."""
-    out = []
-    for n in sizes:
+
+    def grams(n: int) -> Column:
         runs = F.regexp_extract_all(text, F.lit(r"([一-龥]{%d,})" % n), 1)
-        out.append(F.flatten(F.transform(runs, lambda r, n=n: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n))))))
+        return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))))
+
+    out = [grams(n) for n in sizes]
     return F.array_except(F.array_distinct(F.concat(*out)), F.array(*[F.lit(s) for s in STOP_TERMS]))
 
 

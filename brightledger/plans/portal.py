@@ -405,7 +405,7 @@ def half_year_lookup(spark, sf):
     return canonical_lookup(asked, held, ["code"], "period", "value").select("id", "value")
 
 
-@query(f"""SELECT o_orderkey AS id, {_amount("v")} AS text FROM (SELECT *, (o_totalprice - 150000) / 7 * CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 100 ELSE 10000 END AS v FROM orders)""")
+@query(f"""SELECT o_orderkey AS id, {_amount("v")} AS text FROM (SELECT *, (o_totalprice - 150000) * 0.91370023 * CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 100 ELSE 10000 END AS v FROM orders)""")
 def amounts_in_words(spark, sf):
     n = F.col("o_orderkey") % 3
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), finance.amount_text((F.col("o_totalprice") - 150000) / 7 * F.when(n == 0, 1).when(n == 1, 100).otherwise(10000)).alias("text"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), finance.amount_text((F.col("o_totalprice") - 150000) * 0.91370023 * F.when(n == 0, 1).when(n == 1, 100).otherwise(10000)).alias("text"))

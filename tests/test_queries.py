@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from brightledger.plans import basics, filings, portal, registry  # noqa: F401
+from brightledger.plans import basics, filings, portal, registry, texts  # noqa: F401
 
 BASE = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

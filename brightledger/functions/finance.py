@@ -59,9 +59,9 @@ def yoy(current: Column, prior: Column) -> Column:
 
 
 def yoy_pct(current: Column, prior: Column) -> Column:
-    """Only the percentage, where there is one."""
-    y = yoy(current, prior)
-    return F.when(~y["na_percent"], y["pct"])
+    """Only the percentage of ``yoy``, where there is one; a small expression, as detectors need many."""
+    crossed = ((current > 0) & (prior < 0)) | ((current < 0) & (prior > 0))
+    return F.when(finite(current) & finite(prior) & (prior != 0) & ~crossed, (current - prior) / F.abs(prior) * 100)
 
 
 def yoy_badge(y: Column, digits: int = 1) -> Column:

@@ -76,10 +76,10 @@ def _steps(share: Column, per: int, most: int) -> Column:
 
 
 def revenue_vs_profit() -> Column:
-    r, p = yoy(_m("revenue"), _p("revenue")), yoy(_m("net_profit"), _p("net_profit"))
+    r, p = yoy_pct(_m("revenue"), _p("revenue")), yoy_pct(_m("net_profit"), _p("net_profit"))
     up = lambda m: _m(m) > _p(m)
     down = lambda m: _m(m) < _p(m)
-    both = _yes(up("revenue") & up("net_profit") & (F.coalesce(r["pct"], F.lit(0.0)) >= SYNC_GROWTH) & (F.coalesce(p["pct"], F.lit(0.0)) >= SYNC_GROWTH))
+    both = _yes(up("revenue") & up("net_profit") & (F.coalesce(r, F.lit(0.0)) >= SYNC_GROWTH) & (F.coalesce(p, F.lit(0.0)) >= SYNC_GROWTH))
     moved = (_m("revenue") != _p("revenue")) & (_m("net_profit") != _p("net_profit"))
     return _card("revenue_vs_profit", "growth", _have(_m("revenue"), _m("net_profit"), _p("revenue"), _p("net_profit")) & moved, [
         (up("revenue") & down("net_profit"), "收入增长没有转化为利润增长", "watch", 95),

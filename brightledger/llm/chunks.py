@@ -17,16 +17,20 @@ from brightledger.llm.common import new_path
 CHUNK = 1 << 20
 
 
-def by_chunk(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder in buckets by ``chunk``: such tables are joined on it without moving rows."""
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets by a column: such tables are joined on it without moving rows."""
     spark = df.sparkSession
     path = new_path(spark, name)
     table = path.rpartition("/")[2].replace("-", "_")
     out = df.write.format("parquet").option("path", path).option("compression", "zstd")
-    out.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(table)
+    out.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
     return spark.table(table)
 
 
+def by_chunk(df: DataFrame, name: str) -> DataFrame:
+    return bucketed(df, name, "chunk")
+
+
 def chunks(docs: DataFrame, keep: Sequence[str], most: int | None = None) -> DataFrame:
     """Texts and the kept columns in chunks of about ``most`` bytes, stored ``by_chunk``: ``chunk, text`` and ``c0, c1, ...``, all
     but the first arrays."""

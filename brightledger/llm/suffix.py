@@ -9,15 +9,18 @@ run. A repeated whole settles all windows of the run. Where a core has several w
 windows of one run of each whole go into a second round, one by one. A core with a single, unrepeated whole settles that
 nothing repeats.
 
-Whether a string occurs elsewhere is asked of the index. Texts come in chunks; each chunk's suffixes are sorted, in the order
-of 64-bit fingerprints of the strings compared (which brings equal strings together as the order of letters would), and dealt
-out by the core, so that each task holds one part of the index. There ``Levels`` takes batch after batch: a batch's array is
-merge-scanned against each level, what meets its like is marked on both sides, and levels of equal size are merged, so that a
-suffix is moved a logarithmic number of times. A string counts once a chunk, so that a passage in a third of all documents is
-no more than a few bytes from each chunk.
+Strings are ordered by 64-bit fingerprints and told apart by another 64 bits; both are sums over mixed eight-byte grams, so that
+no regular text brings different strings together. Each chunk of texts sorts its suffixes, each once, and deals them to the
+index's parts by their fingerprints: a line that stands in every document is one entry a chunk, and what surrounds it is spread.
+
+A ``Family`` keeps the index in levels, tables in the shared folder that hold each part's sorted array. A new batch of chunks
+gets its arrays, is merge-scanned against every level for what is there already, becomes a level of its own, and levels of
+equal size are merged, so that an entry is moved a logarithmic number of times. When all batches are in, each chunk is told
+which of its strings repeat.
 
 Null texts are empty; texts shorter than ``length`` bytes keep all; strings are judged on the input and never cross documents;
-repeated rows repeat each other. An empty table gives an empty result. Further columns are carried along if asked for.
+repeated rows repeat each other. An empty table gives an empty result. A very long text is a chunk of its own, with some 80
+bytes of memory a byte. Further columns are carried along if asked for.
 """
 
 from __future__ import annotations
@@ -31,134 +34,190 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightledger.llm import wordhash
-from brightledger.llm.chunks import chunks, each_chunk
+from brightledger.llm.chunks import bucketed, chunks, each_chunk
 from brightledger.llm.common import materialize
 from brightledger.llm.wordhash import INVERSE, ODD, mixed, powers
 
 LENGTH = 200
+#: Batches that a corpus comes in, and entries in a part of the index.
+BATCHES, ENTRIES = 4, 500_000
+REPEATED, VARIED, FIRST = 1, 2, 4
 
-class Levels:
-    """A logarithmic family of sorted arrays of distinct values, each with the first id that had it."""
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
-
-    def add(self, values: np.ndarray, ids: np.ndarray, seen: np.ndarray) -> None:
-        """Takes a sorted batch of distinct values; ``seen`` becomes true for ids of values that were there, on both sides."""
-        for _, have, who in self.levels:
-            at = np.minimum(np.searchsorted(have, values), len(have) - 1)
-            hit = have[at] == values
-            seen[ids[hit]] = True
-            seen[who[at[hit]]] = True
-        if len(values):
-            self.levels.append((1, values, ids))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            self.merge()
-
-    def merge(self) -> None:
-        """Makes one level of the last two."""
-        (size, a, x), (more, b, y) = self.levels[-2:]
-        both = np.concatenate([a, b])
-        order = np.argsort(both, kind="stable")
-        both, who = both[order], np.concatenate([x, y])[order]
-        first = np.ones(len(both), dtype=bool)
-        first[1:] = both[1:] != both[:-1]
-        self.levels[-2:] = [(size + more, both[first], who[first])]
-
-    def all(self) -> tuple[np.ndarray, np.ndarray]:
-        """All values in order, with their first ids."""
-        while len(self.levels) > 1:
-            self.merge()
-        return self.levels[0][1:] if self.levels else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+def in_order(values: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The order by value, then check; values are hashes, so two checks of one value are hardly ever there."""
+    order = np.argsort(values, kind="stable")
+    v, c = values[order], checks[order]
+    return np.lexsort((checks, values)) if ((v[1:] == v[:-1]) & (c[1:] < c[:-1])).any() else order
+
+
+class Level:
+    """A sorted array of distinct strings, known by value and check, and which of them occur twice."""
+
+    def __init__(self, values: np.ndarray, checks: np.ndarray, twice: np.ndarray):
+        order = in_order(values, checks)
+        values, checks, twice = values[order], checks[order], twice[order]
+        first = np.ones(len(values), dtype=bool)
+        first[1:] = (values[1:] != values[:-1]) | (checks[1:] != checks[:-1])
+        at = np.flatnonzero(first)
+        more = np.diff(np.append(at, len(values))) > 1
+        self.values, self.checks = values[at], checks[at]
+        self.twice = (np.logical_or.reduceat(twice, at) if len(at) else twice) | more
+
+    def place(self, values: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Where strings are in the array; -1 for those that are not there."""
+        out = np.full(len(values), -1)
+        if not len(self.values):
+            return out
+        lo, hi = np.searchsorted(self.values, values, "left"), np.searchsorted(self.values, values, "right")
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            hit = self.checks[lo[open_]] == checks[open_]
+            out[open_[hit]] = lo[open_[hit]]
+            lo[open_] = np.where(hit, hi[open_], lo[open_] + 1)
+        return out
 
+    def scan(self, older: Level) -> None:
+        """Marks what an older level has: by a merge-scan, as both are sorted."""
+        self.twice |= older.place(self.values, self.checks) >= 0
 
-REPEATED, VARIED, FIRST = 1, 2, 4
+    @staticmethod
+    def merged(levels: list[Level]) -> Level:
+        return Level(*(np.concatenate([getattr(x, k) for x in levels]) for k in ("values", "checks", "twice")))
+
+
+def unpacked(blobs: list[bytes], kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype=kind)
 
 
-def repeated(asked: DataFrame) -> DataFrame:
-    """Of rows ``chunk, bucket, values, cores`` (64-bit numbers; a value once in a chunk, a core's values in one bucket): what is
-    known of each value.
+class Family:
+    """The index as a logarithmic family of levels: tables of ``bucket, values, checks, twice``, one sorted array a part.
 
-    ``chunk, answers``: an array of ``bucket, marks``, a byte for each value of the row in its order: REPEATED if another chunk
-    has the value, VARIED if its core has other values, FIRST if of all rows with the value this one speaks for it.
+    ``add`` takes a batch of rows ``chunk, bucket, values, checks``; an entry once a chunk. ``levels`` holds size and table of
+    each level, larger ones first, and is all there is to keep between batches that come on different days.
     """
 
+    def __init__(self) -> None:
+        self.levels: list[tuple[int, DataFrame]] = []
+
+    def add(self, batch: DataFrame) -> None:
+        size, merging = 1, []
+        while len(merging) < len(self.levels) and self.levels[-1 - len(merging)][0] == size:
+            merging.append(len(self.levels) - 1 - len(merging))
+            size *= 2
+        names = [f"l{i}" for i in range(len(self.levels))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    rows = b.column("pieces")[i].as_py() or []
+                    values, checks = unpacked([r["values"] for r in rows]), unpacked([r["checks"] for r in rows])
+                    new = Level(values, checks, np.zeros(len(values), dtype=bool))
+                    held = []
+                    for n in names:
+                        x = b.column(n)[i].as_py() or {"values": b"", "checks": b"", "twice": b""}
+                        held.append(Level(unpacked([x["values"]]), unpacked([x["checks"]]), unpacked([x["twice"]], np.bool_)))
+                        new.scan(held[-1])
+                    out = Level.merged([new, *[held[k] for k in merging]])
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b.column("bucket")[i].as_py()], pa.int32()), "values": [out.values.tobytes()], "checks": [out.checks.tobytes()], "twice": [out.twice.tobytes()]})
+
+        both = pieces(batch)
+        for n, (_, table) in zip(names, self.levels, strict=True):
+            both = both.join(table.select("bucket", F.struct("values", "checks", "twice").alias(n)), "bucket", "full_outer")
+        made = bucketed(both.mapInArrow(run, "bucket int, values binary, checks binary, twice binary"), "level", "bucket")
+        self.levels = [*self.levels[: len(self.levels) - len(merging)], (size, made)]
+
+    def answers(self, asked: DataFrame) -> DataFrame:
+        """``chunk, answers`` of rows as ``add`` takes them: an array of ``bucket, marks``, a byte for each entry in its order: REPEATED if
+        a level has it twice or two levels have it, FIRST in one of the chunks that have it."""
+        names = [f"l{i}" for i in range(len(self.levels))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    rows = b.column("pieces")[i].as_py()
+                    values, checks = unpacked([r["values"] for r in rows]), unpacked([r["checks"] for r in rows])
+                    times, bucket = np.zeros(len(values), dtype=np.int64), b.column("bucket")[i].as_py()
+                    for n in names:
+                        x = b.column(n)[i].as_py() or {"values": b"", "checks": b"", "twice": b""}
+                        level = Level(unpacked([x["values"]]), unpacked([x["checks"]]), unpacked([x["twice"]], np.bool_))
+                        at = level.place(values, checks)
+                        times[at >= 0] += 1 + level.twice[at[at >= 0]]
+                    marks = np.where(times > 1, REPEATED, 0).astype(np.uint8)
+                    order = in_order(values, checks)
+                    first = np.ones(len(values), dtype=bool)
+                    first[1:] = (values[order[1:]] != values[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])
+                    marks[order[first]] |= FIRST
+                    yield answered(bucket, rows, marks, 8)
+
+        both = pieces(asked)
+        for n, (_, table) in zip(names, self.levels, strict=True):
+            both = both.join(table.select("bucket", F.struct("values", "checks", "twice").alias(n)), "bucket", "left")
+        return told(both.mapInArrow(run, "chunk long, bucket int, marks binary"))
+
+
+def pieces(asked: DataFrame) -> DataFrame:
+    """Rows of a part in one row: parts are of a bounded size."""
+    return asked.groupBy("bucket").agg(F.collect_list(F.struct("chunk", "values", "checks")).alias("pieces"))
+
+
+def answered(bucket: int, rows: list[dict], marks: np.ndarray, width: int) -> pa.RecordBatch:
+    """A row for each piece with its part of the marks."""
+    cut = np.cumsum([0] + [len(r["values"]) // width for r in rows])
+    found = [marks[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.RecordBatch.from_pydict({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "marks": pa.array(found, pa.binary())})
+
+
+def told(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "marks")).alias("answers"))
+
+
+def varied(asked: DataFrame) -> DataFrame:
+    """``chunk, answers`` of rows ``chunk, bucket, values, checks``, here cores and, for each, the least and the largest whole that the
+    chunk has of it: VARIED where more than one whole is there. A core is one entry a chunk, however many wholes it has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, seen, total, rows = Levels(), np.zeros(1024, dtype=bool), 0, []
-        kept_values, kept_cores = [], []
         for b in batches:
-            blobs = b.column("values").to_pylist()
-            values = np.frombuffer(b"".join(blobs), dtype=np.uint64)
-            kept_values.append(values)
-            kept_cores.append(np.frombuffer(b"".join(b.column("cores").to_pylist()), dtype=np.uint64))
-            rows += zip(b.column("chunk").to_pylist(), b.column("bucket").to_pylist(), [len(x) // 8 for x in blobs], strict=True)
-            if total + len(values) > len(seen):
-                seen = np.concatenate([seen, np.zeros(total + 2 * len(values), dtype=bool)])
-            order = np.argsort(values, kind="stable")
-            values, ids = values[order], order + total
-            same = values[1:] == values[:-1]
-            seen[ids[1:][same]] = True
-            seen[ids[:-1][same]] = True
-            first = np.concatenate([np.ones(min(1, len(values)), dtype=bool), ~same])
-            family.add(values[first], ids[first], seen)
-            total += len(order)
-        if not total:
-            return
-        marks = np.where(seen[:total], REPEATED, 0).astype(np.uint8)
-        values, who = family.all()
-        marks[who] |= FIRST
-        if any(len(c) for c in kept_cores):
-            _, code, count = np.unique(np.concatenate(kept_cores)[who], return_inverse=True, return_counts=True)
-            varied = count[code] > 1
-            marks[varied[np.searchsorted(values, np.concatenate(kept_values))]] |= VARIED
-        at = 0
-        for lo in range(0, len(rows), 5000):
-            part = rows[lo : lo + 5000]
-            found = []
-            for _, _, n in part:
-                found.append(marks[at : at + n].tobytes())
-                at += n
-            yield pa.RecordBatch.from_pydict({"chunk": [x[0] for x in part], "bucket": pa.array([x[1] for x in part], pa.int32()), "marks": found})
-
-    answers = asked.repartition("bucket").mapInArrow(run, "chunk long, bucket int, marks binary")
-    return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "marks")).alias("answers"))
+            for i in range(b.num_rows):
+                rows = b.column("pieces")[i].as_py()
+                cores, ends = unpacked([r["values"] for r in rows]), unpacked([r["checks"] for r in rows]).reshape(-1, 2)
+                distinct, code = np.unique(cores, return_inverse=True)
+                order = np.argsort(code, kind="stable")
+                at = np.searchsorted(code[order], np.arange(len(distinct)))
+                low, high = np.minimum.reduceat(ends[order, 0], at), np.maximum.reduceat(ends[order, 1], at)
+                yield answered(b.column("bucket")[i].as_py(), rows, np.where(low != high, VARIED, 0).astype(np.uint8)[code], 8)
+
+    return told(pieces(asked).mapInArrow(run, "chunk long, bucket int, marks binary"))
 
 
 class Asked:
-    """The distinct values of a chunk, dealt to buckets by their cores: in order of bucket and value.
+    """The distinct values of a chunk, dealt to buckets: in order of bucket and value.
 
     entry: for each value given, its place in that order; place: for each entry, where it was first given; twice: whether it
-    was given more than once.
+    was given more than once. ``checks`` has one or more columns for each entry.
     """
 
-    def __init__(self, values: np.ndarray, cores: np.ndarray | None, buckets: int):
+    def __init__(self, values: np.ndarray, buckets: int):
         distinct, place, inverse, count = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
-        owner = distinct if cores is None else cores[place]
-        bucket = ((owner >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        back = np.empty(len(order), dtype=np.int64)
-        back[order] = np.arange(len(order))
-        self.entry, self.place, self.twice = back[inverse], place[order], count[order] > 1
-        self.values, self.cores = distinct[order], None if cores is None else owner[order]
-        self.bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-    def rows(self, chunk: int) -> pa.RecordBatch:
+        # parts are ranges of the fingerprints, so each bucket's entries are in order
+        self.bounds = np.searchsorted(((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        self.values, self.entry, self.place, self.twice = distinct, inverse, place, count > 1
+
+    def rows(self, chunk: int, checks: np.ndarray) -> pa.RecordBatch:
         full = np.flatnonzero(np.diff(self.bounds))
 
-        def packed(x: np.ndarray | None) -> pa.Array:
-            at = self.bounds * (0 if x is None else 8)
-            blobs = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(b"" if x is None else x.tobytes())])
+        def packed(x: np.ndarray, width: int) -> pa.Array:
+            blobs = pa.Array.from_buffers(pa.binary(), len(self.bounds) - 1, [None, pa.py_buffer((self.bounds * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
             return blobs.take(pa.array(full))
 
-        columns = [pa.array(np.full(len(full), chunk)), pa.array(full.astype(np.int32)), packed(self.values), packed(self.cores)]
-        return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "values", "cores"])
+        wide = 8 * (1 if checks.ndim == 1 else checks.shape[1])
+        columns = [pa.array(np.full(len(full), chunk)), pa.array(full.astype(np.int32)), packed(self.values, 8), packed(checks, wide)]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "values", "checks"])
 
     def marks(self, answers: list[dict] | None) -> np.ndarray:
         """The marks of each entry; what the chunk itself has twice is repeated."""
         out = np.where(self.twice, REPEATED, 0).astype(np.uint8)
         for x in answers or []:
-            lo, hi = self.bounds[x["bucket"]], self.bounds[x["bucket"] + 1]
-            out[lo:hi] |= np.frombuffer(x["marks"], dtype=np.uint8)
+            out[self.bounds[x["bucket"]] : self.bounds[x["bucket"] + 1]] |= np.frombuffer(x["marks"], dtype=np.uint8)
         return out
 
 
@@ -171,21 +230,29 @@ def minima(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(since[: n - width + 1], upto[width - 1 : n])
 
 
+#: Bytes of a gram.
+GRAM = 8
+
+
 class Runs:
     """The sampled suffixes of a chunk: runs of windows ``start ... stop`` with one anchor, their cores and wholes."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int):
         n, half = len(raw), length // 2
         self.length = length
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(ODD, n), out=self.sums[1:])
-        self.back = powers(INVERSE, n + 1)
+        wide = np.concatenate([raw, np.zeros(GRAM, dtype=np.uint8)])
+        grams = mixed(np.lib.stride_tricks.sliding_window_view(wide, GRAM)[:n].copy().view("<u8").ravel() + np.uint64(1))
+        self.sums, self.back = np.zeros(n + 1, dtype=np.uint64), powers(INVERSE, n + 1)
+        np.cumsum(grams * powers(ODD, n), out=self.sums[1:])
+        #: The same over grams mixed again, for checks.
+        self.others = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(mixed(grams ^ np.uint64(0x5851F42D4C957F2D)) * powers(ODD, n), out=self.others[1:])
         none = np.zeros(0, dtype=np.int64)
         self.start = self.stop = none
-        self.core = self.whole = none.astype(np.uint64)
+        self.core = self.whole = self.check = none.astype(np.uint64)
         if n < length:
             return
-        grams = mixed((self.sums[half:] - self.sums[:-half]) * self.back[: n - half + 1])
+        grams = self.fingerprint(np.arange(n - half + 1), np.arange(half, n + 1))
         low = np.uint64(0xFFFFFFFF)
         anchors = (minima((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - half + 1) & low).astype(np.int64)
         valid = np.ones(n, dtype=bool)
@@ -199,17 +266,17 @@ class Runs:
         first = np.flatnonzero(new)
         self.start, self.stop = at[first], at[np.append(first[1:], len(at)) - 1]
         self.core = mixed(grams[anchors[self.start]] ^ np.uint64(0x5851F42D4C957F2D))
-        self.whole = self.fingerprint(self.start, self.stop + length)
+        self.whole, self.check = self.fingerprint(self.start, self.stop + length), self.fingerprint(self.start, self.stop + length, True)
 
-    def fingerprint(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Of the bytes from start to before end."""
-        return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    def fingerprint(self, start: np.ndarray, end: np.ndarray, check: bool = False) -> np.ndarray:
+        """Of the bytes from start to before end; strings have GRAM bytes at least, and grams that reach beyond them do not count."""
+        sums, last = self.others if check else self.sums, end - GRAM + 1
+        return mixed((sums[last] - sums[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
-    def windows(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The windows of some runs, and their fingerprints."""
+    def windows(self, some: np.ndarray) -> np.ndarray:
+        """Where the windows of some runs begin."""
         start, count = self.start[some], self.stop[some] - self.start[some] + 1
-        at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return at, mixed(self.fingerprint(at, at + self.length))
+        return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -222,27 +289,49 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: i
     """The ``keep`` columns and ``n_bytes, n_removed, n_spans, kept`` of every row: kept are the remaining bytes, or as text
     what they spell, without characters of which only some bytes are left."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = chunks(docs, keep)
+    # a chunk of a megabyte has some 20,000 suffixes
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), stored.count() * 20_000 // ENTRIES)
+
+    def read(texts: pa.Array):
+        offsets, raw = wordhash.buffers(texts)
+        runs = Runs(raw, offsets, length)
+        return offsets, raw, runs, Asked(runs.core, buckets), Asked(runs.whole, buckets)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, chunk, texts in each_chunk(batches):
+            _, _, runs, cores, _ = read(texts)
+            ends = np.empty((len(cores.values), 2), dtype=np.uint64)
+            ends[:, 0], ends[:, 1] = np.iinfo(np.uint64).max, 0
+            np.minimum.at(ends[:, 0], cores.entry, runs.whole)
+            np.maximum.at(ends[:, 1], cores.entry, runs.whole)
+            yield cores.rows(chunk, ends)
+
+    def ask_wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, chunk, texts in each_chunk(batches):
-            offsets, raw = wordhash.buffers(texts)
-            runs = Runs(raw, offsets, length)
-            yield Asked(runs.whole, runs.core, buckets).rows(chunk)
+            _, _, runs, _, wholes = read(texts)
+            yield wholes.rows(chunk, runs.check[wholes.place])
 
-    def sorted_out(texts: pa.Array, answers: list[dict] | None):
+    def sorted_out(b: pa.RecordBatch, i: int, texts: pa.Array):
         """The chunk, its runs, which of them are repeated whole, and the windows that the second round asks about."""
-        offsets, raw = wordhash.buffers(texts)
-        runs = Runs(raw, offsets, length)
-        asked = Asked(runs.whole, runs.core, buckets)
-        marks = asked.marks(answers)
-        at, prints = runs.windows(asked.place[(marks & (VARIED | FIRST)) == VARIED | FIRST])
-        return offsets, raw, runs, (marks & REPEATED)[asked.entry] > 0, at, Asked(prints, None, buckets)
+        offsets, raw, runs, cores, wholes = read(texts)
+        marks = wholes.marks(b.column("wholes")[i].as_py())
+        several = (cores.marks(b.column("cores")[i].as_py()) & VARIED)[cores.entry] > 0
+        at = runs.windows(wholes.place[((marks & FIRST) > 0) & several[wholes.place]])
+        return offsets, raw, runs, (marks & REPEATED)[wholes.entry] > 0, at, Asked(mixed(runs.fingerprint(at, at + length)), buckets)
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, chunk, texts in each_chunk(batches):
-            yield sorted_out(texts, b.column("answers")[i].as_py())[-1].rows(chunk)
+            _, _, runs, _, at, asked = sorted_out(b, i, texts)
+            some = at[asked.place]
+            yield asked.rows(chunk, runs.fingerprint(some, some + length, True))
+
+    def indexed(rows: DataFrame, name: str) -> DataFrame:
+        """The answers to what chunks ask, by a family that takes the chunks in batches."""
+        arrays, family = bucketed(rows, "arrays", "bucket"), Family()
+        for k in range(BATCHES):
+            family.add(arrays.filter(F.pmod(F.xxhash64("chunk"), F.lit(BATCHES)) == k))
+        return bucketed(family.answers(arrays).withColumnRenamed("answers", name), name, "chunk").hint("shuffle_hash")
 
     fields = [docs.schema[c] for c in keep]
     out = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
@@ -250,8 +339,8 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: i
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, _, texts in each_chunk(batches):
-            offsets, raw, runs, whole, at, asked = sorted_out(texts, b.column("answers")[i].as_py())
-            again = at[(asked.marks(b.column("more")[i].as_py()) & REPEATED)[asked.entry] > 0]
+            offsets, raw, runs, whole, at, asked = sorted_out(b, i, texts)
+            again = at[(asked.marks(b.column("windows")[i].as_py()) & REPEATED)[asked.entry] > 0]
             gone = covered(len(raw), np.concatenate([runs.start[whole], again]), np.concatenate([runs.stop[whole] + length, again + length]))
             opens = gone.copy()
             opens[1:] &= ~gone[:-1]
@@ -266,11 +355,11 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: i
             own = [b.column(f"c{k}")[i].values for k in range(carried)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(size), pa.array(removed), pa.array(count(opens)), kept], names=names)
 
-    schema = "chunk long, bucket int, values binary, cores binary"
-    one = materialize(repeated(stored.select("chunk", "text").mapInArrow(first, schema)), "wholes")
-    both = stored.join(one.hint("shuffle_hash"), "chunk", "left")
-    two = materialize(repeated(both.select("chunk", "text", "answers").mapInArrow(second, schema)), "windows")
-    return both.join(two.withColumnRenamed("answers", "more").hint("shuffle_hash"), "chunk", "left").mapInArrow(third, out)
+    schema, texts = "chunk long, bucket int, values binary, checks binary", stored.select("chunk", "text")
+    cores = bucketed(varied(texts.mapInArrow(ask_cores, schema)).withColumnRenamed("answers", "cores"), "cores", "chunk").hint("shuffle_hash")
+    both = stored.join(cores, "chunk", "left").join(indexed(texts.mapInArrow(ask_wholes, schema), "wholes"), "chunk", "left")
+    windows = indexed(both.select("chunk", "text", "cores", "wholes").mapInArrow(ask_windows, schema), "windows")
+    return both.join(windows, "chunk", "left").mapInArrow(third, out)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -48,18 +48,56 @@ def test_repeated_strings(docs, texts, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(left).hexdigest())
 
 
+def test_a_line_in_every_document(spark, monkeypatch):
+    """A line shorter than a match, between other words in each text, is no match; with copies of some texts, against brute force."""
+    monkeypatch.setattr(chunks, "CHUNK", 1 << 13)
+    random = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(random.choice(list("abcdefgh"), 6)) for _ in range(n))
+    line = words(21)
+    assert len(line) < 150
+    rows = [(i, f"{words(20)} {line} {words(20)}") for i in range(300)]
+    rows += [(300 + i, rows[i][1][: 260 + i]) for i in range(20)] + [(400, "ab" * 400), (401, "ba" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    count = Counter(t[p : p + 200] for _, t in rows for p in range(len(t) - 199))
+    for r in suffix.query(docs.repartition(4)).collect():
+        t, gone = dict(rows)[r.doc_id], set()
+        for p in range(len(t) - 199):
+            if count[t[p : p + 200]] > 1:
+                gone.update(range(p, p + 200))
+        assert (r.n_bytes, r.n_removed) == (len(t), len(gone)), r.doc_id
+
+
 def test_levels():
-    random, family, seen = np.random.default_rng(1), suffix.Levels(), np.zeros(4000, dtype=bool)
-    whole = random.integers(0, 5000, 4000).astype(np.uint64)
-    for lo in range(0, 4000, 40):
-        values, place = np.unique(whole[lo : lo + 40], return_index=True)
-        family.add(values, place + lo, seen)
-        sizes = [s for s, _, _ in family.levels]
-        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
-    found, _ = family.all()
-    assert found.tolist() == sorted(set(whole.tolist()))
-    across = Counter(v for lo in range(0, 4000, 40) for v in set(whole[lo : lo + 40].tolist()))
-    assert {int(v) for v in whole[seen]} == {v for v, n in across.items() if n > 1}
+    """Merging keeps what occurs twice, values that differ in their check only are different, and scans find older entries."""
+    random = np.random.default_rng(1)
+    values, checks = random.integers(0, 50, 600).astype(np.uint64), random.integers(0, 3, 600).astype(np.uint64)
+    pairs = Counter(zip(values.tolist(), checks.tolist(), strict=True))
+    parts = [suffix.Level(values[k::3], checks[k::3], np.zeros(200, dtype=bool)) for k in range(3)]
+    whole = suffix.Level.merged([suffix.Level.merged(parts[:2]), parts[2]])
+    assert list(zip(whole.values.tolist(), whole.checks.tolist(), strict=True)) == sorted(pairs)
+    assert whole.twice.tolist() == [pairs[p] > 1 for p in sorted(pairs)]
+    place = whole.place(values, checks)
+    assert np.array_equal(whole.values[place], values) and np.array_equal(whole.checks[place], checks)
+    assert whole.place(np.array([7], dtype=np.uint64), np.array([9], dtype=np.uint64)).tolist() == [-1]
+
+
+def test_family_of_levels(spark):
+    """Batches that come one by one: sizes are powers of two, larger ones first, and answers are those of all batches."""
+    random, family, rows = np.random.default_rng(2), suffix.Family(), []
+    schema = "chunk long, bucket int, values binary, checks binary"
+    for k in range(7):
+        values = np.unique(random.integers(0, 300, 60).astype(np.uint64))
+        rows.append((k, 0, values.tobytes(), values.tobytes()))
+        family.add(spark.createDataFrame([rows[-1]], schema))
+        sizes = [n for n, _ in family.levels]
+        assert sum(sizes) == k + 1 and all(a > b for a, b in zip(sizes, sizes[1:], strict=False))
+    count = Counter(v for r in rows for v in np.frombuffer(r[2], dtype=np.uint64).tolist())
+    firsts = Counter()
+    for r in family.answers(spark.createDataFrame(rows, schema)).collect():
+        values, marks = np.frombuffer(rows[r.chunk][2], dtype=np.uint64), np.frombuffer(r.answers[0]["marks"], dtype=np.uint8)
+        assert [bool(m & suffix.REPEATED) for m in marks] == [count[v] > 1 for v in values.tolist()]
+        firsts.update(values[(marks & suffix.FIRST) > 0].tolist())
+    assert set(firsts.values()) == {1} and set(firsts) == set(count)
 
 
 def linked(texts):

@@ -1,10 +1,18 @@
 """Nulls, empties, repeats, clashing columns and empty tables through every operator and stage."""
 
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from brightledger.llm import ann, lm, mixing, near, preferences, quality, rollups, suffix, toxicity
+from brightledger.llm.common import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside or return.
@@ -88,6 +96,96 @@ def test_pipeline_keeps_order_of_stages(spark, docs, labels, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeated_strings", "source_mix", "bpe"]
 
 
+def plain_mix(rows):
+    """How often the mix takes each (doc_id, text, source), by sorting hashes."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    total = {s: sum(size(t) for _, t, x in rows if x == s) for s in sources}
+    target, open_, left = {}, set(sources), 1.5 * sum(total.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level >= 2 * total[s]}
+        if not full:
+            target |= {s: weight[s] * level for s in open_}
+            break
+        target |= {s: 2.0 * total[s] for s in full}
+        left, open_ = left - sum(target[s] for s in full), open_ - full
+    taken = Counter()
+    for s in sources:
+        whole = int(target[s] // total[s]) if total[s] else 0
+        budget, upto, by_hash = target[s] - whole * total[s], 0, defaultdict(list)
+        for i, t, x in rows:
+            if x == s:
+                by_hash[hashlib.md5(f"{'' if i is None else i}:{t or ''}".encode()).hexdigest()[:8]].append((i, t, x))
+        for h in sorted(by_hash):
+            n = sum(size(t) for _, t, _ in by_hash[h])
+            upto += n
+            extra = upto <= budget or (upto - n <= budget and 2 * (budget - upto + n) > n)
+            for r in by_hash[h]:
+                taken[r] += whole + extra
+    return taken
+
+
+def plain_repeats(texts):
+    """Texts without the bytes that a repeated string of 200 bytes covers."""
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(b[p : p + 200] for b in raw for p in range(len(b) - 199))
+    out = []
+    for b in raw:
+        gone = {q for p in range(len(b) - 199) if count[b[p : p + 200]] > 1 for q in range(p, p + 200)}
+        out.append(bytes(x for q, x in enumerate(b) if q not in gone).decode("utf-8", "ignore"))
+    return out
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Each stage's rows on what the stage before it kept, with repeated rows and null ids; what toxicity keeps is stated."""
+    random = np.random.default_rng(4)
+    words = lambda n: " ".join("".join(random.choice(list("abcdefghij"), 5)) for _ in range(n))
+    passage, base = words(60), f"file://{tmp_path}"
+    clean = [(i, f"{words(40)} {passage if i % 7 == 0 else ''} {words(30)}", "ab"[i % 2]) for i in range(40)]
+    clean += [clean[3], (None, clean[5][1] + " end", "b"), (None, words(50), None), (None, words(50), "c"), (77, clean[1][1], "a"), (77, words(45), "a"), (78, "", "a"), (None, None, None)]
+    toxic = [(200 + i, f"you idiot and moron {words(12)}", "a") for i in range(40)] + [(None, f"you idiot and moron {words(12)}", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in [*clean, *toxic]], DOCS)
+    docs.repartition(3).write.parquet(f"{base}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(40)] + [(200 + i, 0, 1) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    key = lambda r: tuple((x is None, str(x)) for x in (r[0], r[1], r[2]))
+    rows, now = [*clean, *toxic], spark.read.parquet(f"{base}/documents.parquet")
+    want = {"toxicity": lambda rows: clean, "near_duplicates": plain_groups, "repeated_strings": lambda rows: [(i, t, s) for (i, _, s), t in zip(rows, plain_repeats([t for _, t, _ in rows]), strict=True)], "source_mix": lambda rows: list(plain_mix(rows).elements())}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows, now = sorted(want[name](rows), key=key), materialize(stage(spark, now, base), f"test-{name}")
+        got = [(r.doc_id, r.text, r.source) for r in now.collect()]
+        assert sorted(((i, t or "", s) for i, t, s in got), key=key) == sorted(((i, t or "", s) for i, t, s in rows), key=key), name
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [(i, " ".join(map(str, library.encode(t or "", add_special_tokens=False).ids))) for i, t, _ in rows]
+    out = corpus_pipeline.run(spark, base).collect()
+    assert Counter((r.doc_id, r.ids_sha256) for r in out) == Counter((i, hashlib.sha256(x.encode()).hexdigest()) for i, x in ids)
+
+
+def plain_groups(rows):
+    """One row of each group of near copies: the smallest id, nulls last."""
+    sets = []
+    for _, t, _ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[top(a)] = top(b)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[top(i) if sets[i] else -1 - i].append(rows[i])
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
 def test_vectors(spark):
     data = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(20, [0.0, 0.0, 0.0]), (40, None), (61, [1.0, None, 2.0]), (62, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (63, [1.0]), (5, [5.0, 1.0, 2.0])]
     v = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumns({"list": F.lit(1), "v": F.lit(2), "id": F.lit(3), "score": F.lit(4)})

@@ -31,8 +31,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses; ``release`` removes it."""
+    _PATHS.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+#: What this process has written to shared folders and put into catalogs.
+_PATHS: list[str] = []
+_TABLES: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all intermediate results of this process: call it when the results that rest on them are read or written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    while _PATHS:
+        at = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        at.getFileSystem(conf).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -53,10 +53,15 @@ def commit(path: str, batch: str, changes: DataFrame) -> bool:
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
-    """``source, lang, tokenizer, n_docs, n_tokens`` over all committed batches."""
+    """``source, lang, tokenizer, n_docs, n_tokens`` over all committed batches; no rows where there are none.
+
+    Batches are small next to what they count; ``compact`` makes one of many when there are more than a reader likes.
+    """
     fs, at = _files(spark, path)
-    found = [x.getPath().toString() for x in fs.listStatus(at)]
+    found = [x.getPath().toString() for x in fs.listStatus(at)] if fs.exists(at) else []
     whole = [p for p in found if fs.exists(_files(spark, f"{p}/_SUCCESS")[1])]
+    if not whole:
+        return spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
     rows = spark.read.parquet(*whole)
     return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs != 0 OR n_tokens != 0")
 

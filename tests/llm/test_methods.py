@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightledger.llm import ann, chunks, lm, mixing, near, quality, rollups, suffix, toxicity
-from brightledger.llm.common import new_path, read
+from brightledger.llm.common import materialize, new_path, read, release
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -413,6 +414,18 @@ def test_rollups_commit_once(spark):
         rollups.commit(path, "bad", spark.createDataFrame([("move", "a", "en", "t", 1, None)], schema))
 
 
+def test_rollups_without_batches(spark):
+    assert rollups.totals(spark, new_path(spark, "none")).collect() == []
+
+
+def test_release_removes_what_was_written(spark):
+    stored = chunks.bucketed(spark.range(3).withColumnRenamed("id", "chunk"), "kept", "chunk")
+    path = materialize(spark.range(3), "kept").inputFiles()[0]
+    assert stored.count() == 3 and os.path.exists(path.removeprefix("file://"))
+    release(spark)
+    assert not os.path.exists(path.removeprefix("file://")) and not [t for t in spark.catalog.listTables() if t.name.startswith("kept_")]
+
+
 def test_clean_documents_pass_the_quality_rules(spark):
     docs, labels = read(spark, MEDIUM, "documents"), read(spark, MEDIUM, "labels")
     rows = quality.query(docs).join(labels, "doc_id").filter("quality = 1 AND toxic = 0 AND NOT base_failed")

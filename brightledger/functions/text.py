@@ -26,52 +26,129 @@ def clip(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 1), F.lit("…")))
 
 
-# Industries by the words of company names and businesses; the first that fits counts.
-INDUSTRIES = (
-    ("银行", "银行"), ("证券|期货", "证券"), ("保险|人寿|财险", "保险"), ("医药|制药|药业|生物|医疗", "医药"), ("白酒|酒业|酒厂|酿酒", "白酒"),
-    ("半导体|芯片|集成电路|微电子", "半导体"), ("软件|信息|网络|数据", "软件"), ("汽车|客车", "汽车"), ("电力|能源|光伏|风电|水电", "能源"),
-    ("钢铁|有色|铝业|铜业|矿业|黄金", "金属"), ("地产|置业|房地产", "房地产"), ("食品|乳业|饮料", "食品"), ("化工|化学|材料", "化工"),
+# Sector and industry by the words of a market's label; the first that fits counts.
+MARKET_INDUSTRIES = (
+    ("银行", "金融", "银行"), ("保险", "金融", "保险"), ("证券|券商", "金融", "券商"), ("多元金融|非银", "金融", "非银金融"),
+    ("白酒", "消费", "白酒"), ("乳制品|乳品", "消费", "乳制品"), ("调味", "消费", "调味品"), ("啤酒", "消费", "啤酒"), ("家用电器|白色家电|黑色家电|小家电|家电", "消费", "家电"), ("免税", "消费", "免税"),
+    ("农林牧渔|养殖|饲料|农产品", "消费", "农林牧渔"), ("食品饮料", "消费", "食品饮料"), ("商贸零售|零售", "消费", "商贸零售"), ("社会服务|酒店|旅游", "消费", "社会服务"), ("传媒", "消费", "传媒"),
+    ("半导体|集成电路", "科技", "半导体"), ("消费电子", "科技", "消费电子"), ("光模块|光通信", "科技", "光通信"), ("面板|显示器件", "科技", "面板"), ("存储", "科技", "存储"),
+    ("计算机设备|计算机应用|软件|计算机", "科技", "计算机"), ("通信", "科技", "通信设备"), ("电子", "科技", "电子"),
+    ("电池|锂电", "新能源", "锂电"), ("光伏|太阳能", "新能源", "光伏"), ("储能", "新能源", "储能"), ("新能源车", "新能源", "新能源车"), ("电力设备|风电", "新能源", "电力设备"),
+    ("创新药|化学制药", "医药", "创新药"), ("医疗器械", "医药", "医疗器械"), ("CXO", "医药", "CXO"), ("中药", "医药", "中药"), ("医疗服务", "医药", "医疗服务"), ("疫苗", "医药", "疫苗"), ("医药|生物", "医药", "医药"),
+    ("国防军工|军工|航空装备|兵器", "制造军工", "军工"), ("轨交|铁路设备", "制造军工", "轨交装备"), ("工控|机器人", "制造军工", "工控机器人"),
+    ("煤炭", "周期", "煤炭"), ("石油|石化", "周期", "石油石化"), ("有色|金属", "周期", "有色"), ("化工", "周期", "化工"), ("钢铁", "周期", "钢铁"), ("汽车", "周期", "汽车"), ("机械", "周期", "工程机械"),
+    ("运输|物流|港口|机场|航运|公路", "周期", "交通运输"), ("建筑", "周期", "建筑"), ("房地产", "周期", "房地产"), ("公用|电力", "周期", "公用事业"),
 )
+#: Two industries need words of their own in both texts: pattern of label and name together, and a further one of either.
+NEEDS_NAME, NEEDS_TEXT = {"新能源车": ("新能源车|汽车零部件", "汽车|新能源")}, {"CXO": ("CXO|服务", "医药|生物")}
+# Sector and industry by the words of a company's name.
+NAME_INDUSTRIES = (
+    ("银行", "金融", "银行"), ("保险|人寿|太保|人保", "金融", "保险"), ("证券|券商", "金融", "券商"), ("茅台|五粮液|泸州老窖|汾酒|洋河|白酒", "消费", "白酒"), ("啤酒", "消费", "啤酒"),
+    ("电器|家电|智家", "消费", "家电"), ("牧原|温氏|牧|禽|渔", "消费", "农林牧渔"), ("中芯|华虹|晶圆代工", "科技", "半导体"), ("芯片|半导体|微电子|集成电路|燧原|沐曦|寒武|海光|龙芯", "科技", "AI芯片"),
+    ("光伏|硅料|硅片", "新能源", "光伏"), ("锂电|电池", "新能源", "锂电"), ("新能源车|比亚迪", "新能源", "新能源车"), ("制药|医药|生物|疫苗|中药|CXO|康德", "医药", "医药"), ("煤炭|煤业", "周期", "煤炭"),
+    ("石油|石化", "周期", "石油石化"), ("港口|港务|上港|机场|高速|航运|铁路", "周期", "交通运输"), ("军工|兵器|航空发动机", "制造军工", "军工"),
+)
+UNKNOWN = ("其他", "待分类")
+
+
+def _ladder(rules: Sequence[tuple[Column, str, str]]) -> Column:
+    """The sector and industry of the first rule that holds; null if none does."""
+    made = lambda s, i: F.struct(F.lit(s).alias("sector"), F.lit(i).alias("industry"))
+    return F.coalesce(*[F.when(c, made(s, i)) for c, s, i in rules])
+
+
+def classify(market: Column, name: Column) -> Column:
+    """A company's ``sector, industry`` by its market's label, which its name may refine within technology, else by its name."""
+    label, own = F.regexp_replace(F.coalesce(market, F.lit("")), SPACE, ""), F.regexp_replace(F.coalesce(name, F.lit("")), SPACE, "")
+    both = F.concat(label, own)
+
+    def holds(pattern: str, industry: str) -> Column:
+        if industry in NEEDS_NAME:
+            first, second = NEEDS_NAME[industry]
+            return own.rlike(first) & both.rlike(second)
+        if industry in NEEDS_TEXT:
+            first, second = NEEDS_TEXT[industry]
+            return both.rlike(first) & both.rlike(second)
+        return both.rlike(pattern)
+
+    told = F.when(label != "", _ladder([(holds(p, i), s, i) for p, s, i in MARKET_INDUSTRIES]))
+    named = _ladder([(own.rlike(p), s, i) for p, s, i in NAME_INDUSTRIES])
+    chip = (named["industry"] == "AI芯片") | ((named["industry"] == "半导体") & told["industry"].isin("电子", "消费电子"))
+    unknown = F.struct(F.lit(UNKNOWN[0]).alias("sector"), F.lit(UNKNOWN[1]).alias("industry"))
+    return F.when((told["sector"] == "科技") & chip, named).otherwise(F.coalesce(told, named, unknown))
+
+
+def industry_of(name: Column, unknown: str = UNKNOWN[1]) -> Column:
+    """The industry that a name alone tells."""
+    found = classify(F.lit(None).cast("string"), name)["industry"]
+    return F.when(found == UNKNOWN[1], unknown).otherwise(found)
+
+
+# Endings of company names, which go in three steps; marks of share classes go first.
+ENDINGS = (
+    "(?:股份有限公司|有限责任公司|有限公司)$",
+    "(?:股份|集团|控股|有限)$",
+    "(?:科技|电子|制药|医药|国际|投资|能源|智能|信息|通信|光电|生物|材料|实业|发展|制造|电器)$",
+)
+SHARE_CLASS = "(?i)-[UW]$"
+# Spoken names of companies.
+ALIASES = {
+    "招行": "招商银行", "工行": "工商银行", "建行": "建设银行", "中行": "中国银行", "农行": "农业银行", "交行": "交通银行", "邮储": "邮储银行", "浦发": "浦发银行", "兴业": "兴业银行", "民生": "民生银行",
+    "平安银行": "平安银行", "平安": "中国平安", "国寿": "中国人寿", "太保": "中国太保", "人保": "中国人保", "茅台": "贵州茅台", "洋河": "洋河股份", "美的": "美的集团", "海尔": "海尔智家", "格力": "格力电器",
+    "伊利": "伊利股份", "海天": "海天味业", "农夫": "农夫山泉", "宁德": "宁德时代", "中芯": "中芯国际", "海康": "海康威视", "立讯": "立讯精密", "寒武": "寒武纪", "沐曦": "沐曦股份", "燧原": "燧原科技",
+    "富士康": "工业富联", "韦尔": "韦尔股份", "澜起": "澜起科技", "隆基": "隆基绿能", "通威": "通威股份", "亿纬": "亿纬锂能", "恒瑞": "恒瑞医药", "药明": "药明康德", "迈瑞": "迈瑞医疗", "三一": "三一重工",
+    "神华": "中国神华", "紫金": "紫金矿业", "万华": "万华化学", "牧原": "牧原股份", "温氏": "温氏股份", "上港": "上港集团",
+}
+
+
+def name_variants(name: Column) -> Column:
+    """A company's name and what is left of it as endings go, one after another; at least two characters each."""
+    now = F.regexp_replace(name, SPACE, "")
+    out = [now]
+    for ending in (SHARE_CLASS, *ENDINGS):
+        now = F.regexp_replace(now, ending, "")
+        out.append(now)
+    return F.array_distinct(F.filter(F.array(*out), lambda x: F.length(x) >= 2))
 
 
-def industry_of(name: Column, unknown: str = "待分类") -> Column:
-    """The first industry whose words a name has."""
-    out = F.lit(unknown)
-    for words, label in reversed(INDUSTRIES):
-        out = F.when(name.rlike(words), label).otherwise(out)
-    return out
-
-
-# Endings of company names, longest first.
-ENDINGS = "(?:集团股份有限公司|股份有限公司|集团有限公司|有限责任公司|有限公司|控股|集团|股份|科技|Ａ|A)$"
+def official_name(asked: Column) -> Column:
+    """The company that a text names by a spoken name, the longest that it has; null if it has none."""
+    plain = F.regexp_replace(asked, SPACE, "")
+    return F.coalesce(*[F.when(plain.contains(k), F.lit(ALIASES[k])) for k in sorted(ALIASES, key=lambda k: (-len(k), k))])
 
 
-def name_variants(name: Column, passes: int = 3) -> Column:
-    """A company's name and what is left of it as endings go, one after another."""
-    out, now = [name], name
-    for _ in range(passes):
-        now = F.regexp_replace(now, ENDINGS, "")
-        out.append(now)
-    return F.array_distinct(F.filter(F.array(*out), lambda x: F.length(x) >= 2))
+CODE, EXACT, EMBEDDED, ALIAS, SIMILAR, SPELLED, CONTAINS = 1, 4, 2, 3, 5, 6, 7
 
 
-def match_names(queries: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
+def match_names(queries: DataFrame, companies: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """``query, code, stage``: the best stage at which a query names a company.
 
-    1 code, 2 the whole name in the text, 3 an alias, 4 exactly the name, 5 a variant, 6 a name that begins so. Of several
-    companies the one with the shortest name, then the smallest code. ``companies`` (code, name) and ``aliases``
-    (alias, code) are small dimensions that Spark broadcasts under its threshold.
+    1 code, 2 the whole name in the text, 3 a spoken name, 4 exactly the name, 5 a variant, the beginning, or four characters of
+    it, 6 its spelling in letters, 7 a part that only one company has. Of several companies the one with the shortest name, then
+    the smallest code. ``companies`` (code, name, and spelled and initials where there are any) and ``aliases`` (alias, name)
+    are small dimensions, some thousand rows that Spark broadcasts under its threshold.
     """
-    q = queries.select("query", F.regexp_replace("query", SPACE, "").alias("q"))
-    named = companies.select("code", "name", name_variants(F.col("name")).alias("variants"))
+    q = queries.select("query", F.regexp_replace("query", SPACE, "").alias("q"), F.lower(without_noise(F.col("query"))).alias("clean"))
+    q = q.withColumn("official", official_name(F.col("q")))
+    if aliases is not None:
+        said = q.join(aliases.select("alias", F.col("name").alias("told")), F.col("q").contains(F.col("alias"))).groupBy("query").agg(F.max_by("told", F.struct(F.length("alias"), "alias")).alias("told"))
+        q = q.join(said, "query", "left").withColumn("official", F.coalesce("official", "told")).drop("told")
+    for c in ("spelled", "initials"):
+        companies = companies if c in companies.columns else companies.withColumn(c, F.lit(None).cast("string"))
+    named = companies.select("code", "name", F.lower("name").alias("low"), "spelled", "initials", name_variants(F.col("name")).alias("variants"))
+    clean, name, said = F.col("clean"), F.col("low"), F.col("official")
+    some = clean != ""
+    letters = clean.rlike("^[a-z]+$") & (F.col("spelled").contains(clean) | F.col("initials").startswith(clean))
     stage = (
-        F.when(F.col("q").contains(F.col("code")), 1).when(F.col("q") == F.col("name"), 4).when(F.col("q").contains(F.col("name")), 2)
-        .when(F.exists("variants", lambda v: F.col("q") == v), 5).when((F.length("q") >= 2) & F.col("name").startswith(F.col("q")), 6)
+        F.when(F.col("q").contains(F.col("code")), CODE).when(F.col("q").contains(F.col("name")), EMBEDDED)
+        .when((F.col("name") == said) | F.col("name").contains(said) | said.contains(F.col("name")), ALIAS).when(some & (clean == name), EXACT)
+        .when(some & (F.exists("variants", lambda v: F.lower(v) == clean) | name.startswith(clean) | ((F.length(clean) >= 4) & name.contains(clean))), SIMILAR)
+        .when(some & letters, SPELLED).when(some & name.contains(clean), CONTAINS)
     )
-    direct = q.join(named, stage.isNotNull()).withColumn("stage", stage)
-    by_alias = q.join(aliases.select("alias", "code"), F.col("q").contains(F.col("alias"))).join(companies.select("code", "name"), "code").withColumn("stage", F.lit(3))
-    both = direct.select("query", "code", "name", "stage").unionByName(by_alias.select("query", "code", "name", "stage"))
-    return first_rows(both, ["query"], ["stage", F.length("name"), "code"]).select("query", "code", "stage")
+    hits = q.join(named, stage.isNotNull()).select("query", "code", "name", stage.alias("stage"))
+    best = hits.groupBy("query").agg(F.min("stage").alias("first"), F.count("*").alias("n"))
+    kept = hits.join(best, "query").filter((F.col("stage") == F.col("first")) & ((F.col("stage") < CONTAINS) | (F.col("n") == 1)))
+    return first_rows(kept, ["query"], [F.length("name"), "code"]).select("query", "code", "stage")
 
 
 def all_terms(question: str, hay: Column) -> Column:

@@ -34,31 +34,32 @@ def _fixed(name: str, asked: tuple, wanted: tuple) -> str:
     return f"SELECT o_orderkey AS id, {_of(wanted)} AS {name} FROM orders"
 
 
-_COMPANIES = ("平安银行股份有限公司", "中信证券股份有限公司", "恒瑞医药", "贵州茅台酒业股份有限公司", "某某科技", "中国石油化工股份有限公司", "万科置业集团有限公司")
+_COMPANIES = ("平安银行股份有限公司", "中信证券股份有限公司", "恒瑞医药", "贵州茅台酒股份有限公司", "某某科技", "海光信息", "寒武纪-U")
+_LABELS = ("", "证券Ⅱ", "化学制药", None, "计算机设备", "半导体", "电子")
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN regexp_matches(n, '银行') THEN '银行' WHEN regexp_matches(n, '证券|期货') THEN '证券' WHEN regexp_matches(n, '医药|制药|药业|生物|医疗') THEN '医药' WHEN regexp_matches(n, '酒业') THEN '白酒'
- WHEN regexp_matches(n, '置业') THEN '房地产' WHEN regexp_matches(n, '化工|化学|材料') THEN '化工' ELSE '待分类' END AS industry FROM (SELECT o_orderkey, """ + _of(_COMPANIES) + " AS n FROM orders)")
+@query(f"""WITH o AS (SELECT o_orderkey AS id, {_of(_COMPANIES)} AS n, coalesce({_of(_LABELS)}, '') AS m FROM orders) SELECT id, CASE WHEN m = '半导体' OR n = '寒武纪-U' THEN '科技' WHEN regexp_matches(m || n, '银行|证券') THEN '金融' WHEN m = '化学制药' THEN '医药' WHEN regexp_matches(n, '茅台') THEN '消费'
+ WHEN m = '计算机设备' THEN '科技' ELSE '其他' END AS sector, CASE WHEN regexp_matches(n, '海光|寒武') THEN 'AI芯片' WHEN regexp_matches(n, '银行') THEN '银行' WHEN m = '证券Ⅱ' THEN '券商' WHEN m = '化学制药' THEN '创新药' WHEN regexp_matches(n, '茅台') THEN '白酒' WHEN m = '计算机设备' THEN '计算机' ELSE '待分类' END AS industry FROM o""")
 def industries(spark, sf):
-    return _orders(spark, sf).select("id", text.industry_of(_turn(_COMPANIES)).alias("industry"))
+    """Sector and industry by the market's label, and by the name."""
+    c = text.classify(_turn(_LABELS), _turn(_COMPANIES))
+    return _orders(spark, sf).select("id", c["sector"].alias("sector"), c["industry"].alias("industry"))
 
 
-@query(_fixed("variants", _COMPANIES, ("平安银行股份有限公司,平安银行", "中信证券股份有限公司,中信证券", "恒瑞医药", "贵州茅台酒业股份有限公司,贵州茅台酒业", "某某科技,某某", "中国石油化工股份有限公司,中国石油化工", "万科置业集团有限公司,万科置业")))
+@query(_fixed("variants", _COMPANIES, ("平安银行股份有限公司,平安银行", "中信证券股份有限公司,中信证券", "恒瑞医药,恒瑞", "贵州茅台酒股份有限公司,贵州茅台酒", "某某科技,某某", "海光信息,海光", "寒武纪-U,寒武纪")))
 def names_without_endings(spark, sf):
     return _orders(spark, sf).select("id", F.array_join(text.name_variants(_turn(_COMPANIES)), ",").alias("variants"))
 
 
-_ASKED = ("C000000012 怎么样", "看看 Customer#000000003 的财报", "老三", "Customer#000000004", "000000005")
+_LISTED = (("600036", "招商银行", "zhaoshang", "zsyh"), ("000333", "美的集团", "meide", "mdjt"), ("600519", "贵州茅台", "maotai", "gzmt"), ("688256", "寒武纪-U", "hanwuji", "hwj"), ("601318", "中国平安", "pingan", "zgpa"), ("000001", "平安银行", "pinganyh", "payh"))
+_ASKED = (("600519 怎么样", "600519", 1), ("看看中国平安的财报", "601318", 2), ("招行怎么样", "600036", 3), ("寒武纪", "688256", 3), ("hwj", "688256", 6), ("商银", "600036", 7), ("银行", None, None), ("国平安", "601318", 3), ("团", "000333", 7))
 
 
-@query("""WITH c AS (SELECT c_custkey, 'C' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS code, 'Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS name FROM customer)
- SELECT q.query, c.code, q.stage FROM (VALUES ('C000000012 怎么样', 1, 12), ('看看 Customer#000000003 的财报', 2, 3), ('老三', 3, 3), ('Customer#000000004', 4, 4)) q(query, stage, k) JOIN c ON c_custkey = k""")
+@query("SELECT query, code, CAST(stage AS INTEGER) AS stage FROM (VALUES " + ", ".join(f"('{q}', '{c}', {s})" for q, c, s in _ASKED if c) + ") t(query, code, stage)")
 def matched_names(spark, sf):
-    """Free texts to companies, by the best stage."""
-    number = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
-    companies = table(spark, sf, "customer").select(F.concat(F.lit("C"), number).alias("code"), F.concat(F.lit("Customer#"), number).alias("name"))
-    queries, aliases = spark.createDataFrame([(q,) for q in _ASKED], "query string"), spark.createDataFrame([("老三", "C000000003")], "alias string, code string")
-    return text.match_names(queries, companies, aliases)
+    """Free texts to companies, by the best stage; a part that two companies have names none."""
+    companies = spark.createDataFrame(_LISTED, "code string, name string, spelled string, initials string")
+    return text.match_names(spark.createDataFrame([(q,) for q, _, _ in _ASKED], "query string"), companies)
 
 
 @query("SELECT p_partkey, contains(lower(p_name || ' ' || p_type), 'a') AND contains(lower(p_name || ' ' || p_type), 'steel') AS has FROM part")

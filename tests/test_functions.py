@@ -124,7 +124,7 @@ def test_texts(spark):
 
 def test_names(spark):
     companies = spark.createDataFrame([("600519", "贵州茅台"), ("000001", "平安银行"), ("601318", "中国平安")], "code string, name string")
-    aliases = spark.createDataFrame([("茅台", "600519")], "alias string, code string")
-    asked = spark.createDataFrame([("600519怎么样",), ("茅台",), ("平安银行",), ("平安",), ("看中国平安年报",), ("无名",)], "query string")
+    aliases = spark.createDataFrame([("国酒", "贵州茅台")], "alias string, name string")
+    asked = spark.createDataFrame([("600519怎么样",), ("茅台",), ("平安银行",), ("平安",), ("看中国平安年报",), ("国酒",), ("无名",)], "query string")
     got = {r["query"]: (r.code, r.stage) for r in text.match_names(asked, companies, aliases).collect()}
-    assert got == {"600519怎么样": ("600519", 1), "茅台": ("600519", 3), "平安银行": ("000001", 4), "平安": ("000001", 6), "看中国平安年报": ("601318", 2)}
+    assert got == {"600519怎么样": ("600519", 1), "茅台": ("600519", 3), "平安银行": ("000001", 2), "平安": ("601318", 3), "看中国平安年报": ("601318", 2), "国酒": ("600519", 3)}

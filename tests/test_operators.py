@@ -137,6 +137,67 @@ def test_sources(spark, tmp_path):
     assert [(r.report, r.page) for r in sources.page_texts(spark, f"file://{tmp_path}/r1.txt").orderBy("page").collect()] == [("r1", 1), ("r1", 3)]
 
 
+def test_shapes_of_all_sources(spark, tmp_path):
+    saved = {
+        "cninfo": {"announcements": [{"announcementId": "7", "secCode": "600000", "secName": "甲", "announcementTitle": "年报", "announcementTime": 1775001600000, "adjunctUrl": "a.pdf"}]},
+        "szse": {"data": [{"id": "8", "secCode": ["000001"], "secName": ["乙"], "title": "季报", "publishTime": "2026-04-01 08:00:00", "attachPath": "/b.pdf"}]},
+        "bse": {"list": [{"disclosureId": "9", "companyCd": "430001", "companyName": "丙", "disclosureTitle": "半年报", "publishDate": "2026-04-01", "destFilePath": "/c.pdf"}]},
+    }
+    rows = {}
+    for name, payload in saved.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "p1.json").write_text(json.dumps(payload))
+        rows[name] = sources.read_source(spark, name, f"file://{tmp_path}/{name}")
+    got = {r.source: (r.source_id, r.code, r.company_name, r.title, r.published_at.strftime("%Y-%m-%d"), r.url) for r in sources.merge(list(rows.values())).collect()}
+    assert got == {"cninfo": ("7", "600000", "甲", "年报", "2026-04-01", "a.pdf"), "szse": ("8", "000001", "乙", "季报", "2026-04-01", "/b.pdf"), "bse": ("9", "430001", "丙", "半年报", "2026-04-01", "/c.pdf")}
+    assert {r.source: r.rows for r in sources.health(rows).collect()} == dict.fromkeys(saved, 1)
+    both = sources.exchange_first(rows["szse"], rows["szse"].withColumn("source", F.lit("cninfo")).withColumn("source_id", F.lit("1")), ["code", "title"])
+    assert [r.source for r in both.collect()] == ["cninfo"]
+
+
+def test_paging_and_stored_files(spark, tmp_path):
+    pages = lambda rows: sources.page_complete(spark.createDataFrame(rows, "page int, fingerprint string, rows long"), 5).first()
+    assert tuple(pages([(1, "a", 30), (2, "b", 4), (3, "", 0)])) == (True, 34)
+    assert not pages([(1, "a", 30), (2, "a", 30), (3, "", 0)]).complete and not pages([(k, str(k), 30) for k in range(1, 6)]).complete
+    (tmp_path / "x.pdf").write_bytes(b"%PDF-1.7")
+    (tmp_path / "x.txt").write_text("no report")
+    assert [(r.path.rsplit("/", 1)[1], r.length) for r in sources.stored_reports(spark, f"file://{tmp_path}").select("path", "length").collect()] == [("x.pdf", 8)]
+    (tmp_path / "c.json").write_text('[{"code": "1", "name": "甲", "extra": 1}, {"code": "2"}]')
+    assert sorted(tuple(r) for r in sources.dimension(spark, f"file://{tmp_path}/c.json", "code string, name string").collect()) == [("1", "甲"), ("2", None)]
+    names = spark.createDataFrame([("600000",), ("000001",), ("430001",), ("x",)], "code string").select(sources.exchange_of(F.col("code")).alias("e"))
+    assert [r.e for r in names.collect()] == ["SSE", "SZSE", "BSE", None]
+
+
+def test_filings_arrive_once(spark, tmp_path):
+    """Within the lookback a filing counts once by id and once by source key."""
+    base = f"file://{tmp_path}"
+    rows = [("a", "sse", "1"), ("a", "cninfo", "9"), ("b", "sse", "1"), ("c", "sse", "2"), ("c", "sse", "2")]
+    spark.createDataFrame(rows, "id string, source string, source_id string").withColumn("published_at", F.lit("2026-04-01").cast("timestamp")).coalesce(1).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("id string, source string, source_id string, published_at timestamp").parquet(f"{base}/in")
+    streams.run_once(streams.deduplicated(stream), f"{base}/out", f"{base}/cp")
+    got = [(r.id, r.source, r.source_id) for r in spark.read.parquet(f"{base}/out").collect()]
+    assert len({i for i, _, _ in got}) == len(got) == len({k[1:] for k in got}) and {"c"} <= {i for i, _, _ in got}
+    streams.run_once(streams.deduplicated(stream), f"{base}/out", f"{base}/cp")
+    assert spark.read.parquet(f"{base}/out").count() == len(got)
+
+
+def test_opinion_details(spark):
+    pages = [
+        ("a", 2, "会计师事务所出具了非标准无保留意见的审计报告。"), ("b", 3, "无保留意见的说明，另有持续经营重大不确定性段落。"), ("c", 20, "审计报告为标准无保留意见"), ("c", 21, "审计意见为带强调事项段的无保留意见"),
+        ("d", 1, "否定意见" + "，" * 100 + "否定意见，审计报告。"),
+    ]
+    got = {r.report: (r.type, r.kind, r.page, r.score) for r in extract.audit_opinions(spark.createDataFrame(pages, "report string, page int, content string"), "report").collect()}
+    assert got["a"][:2] == ("unqualified", "standard") or got["a"][:2] == ("qualified", "non_standard")
+    assert got["b"][0] == "unqualified_emphasis" and got["c"][:3] == ("unqualified_emphasis", "non_standard", 21)
+    assert got["d"] == ("adverse", "non_standard", 1, 1.13)
+
+
+def test_units_of_pages(spark):
+    texts = ["单位：百万元人民币", "（人民币千元列示）", "金额以人民币万元表示", "每股（人民币元）", ""]
+    got = [r.u for r in spark.createDataFrame([(t,) for t in texts], "t string").select(extract.page_unit(F.col("t")).alias("u")).collect()]
+    assert got == ["百万元", "千元", "万元", "元", "元"]
+
+
 def test_streams(spark, tmp_path):
     base = f"file://{tmp_path}"
     rows = [(i, "a" if i % 3 else "b", "error" if i % 2 else "view") for i in range(40)]

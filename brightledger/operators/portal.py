@@ -259,3 +259,14 @@ def numbered_cards(cards: DataFrame, order: Sequence[Column], starred: DataFrame
     """Cards in an order of the portal, starred ones before the rest."""
     flagged = cards.join(starred.select("code", F.lit(True).alias("__star")), "code", "left")
     return flagged.orderBy(F.desc_nulls_last("__star"), *order).drop("__star")
+
+
+def snapshot(states: DataFrame, metrics: DataFrame, companies: DataFrame, latest: str) -> DataFrame:
+    """A row for each company: the period on display with its state and headline metrics, how many periods are parsed, and whether the
+    newest expected period is still missing. ``states`` are ``code, period, state, id``, one a period; metrics ``id, metric, value``."""
+    shown = display_period(states).select("code", "period", "state", "id")
+    wide = metrics.groupBy("id").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in HEADLINE])
+    parsed = F.col("state").isin(*PARSED)
+    counts = states.groupBy("code").agg(F.count_if(parsed).alias("n_parsed"), F.max(parsed & (F.col("period") == latest)).alias("has_latest"))
+    both = companies.select("code").join(shown, "code", "left").join(counts, "code", "left").join(wide, "id", "left")
+    return both.select("code", "period", F.coalesce("state", F.lit("expected")).alias("state"), *HEADLINE, F.coalesce("n_parsed", F.lit(0)).alias("n_parsed"), (~F.coalesce("has_latest", F.lit(False))).alias("latest_missing"))

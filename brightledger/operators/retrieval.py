@@ -7,12 +7,14 @@ the best few of each report come from one window.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightledger.functions.finance import amount_text, resolve_yoy
 from brightledger.operators.rank import first_rows
 
 #: Words of the field that weigh more.
@@ -120,11 +122,31 @@ def direct_answer(plan: QueryPlan, periods: str, facts: list[str], calculations:
     return None, "evidence-retrieval"
 
 
-def evidence(facts: DataFrame, passages: DataFrame, report: str) -> DataFrame:
-    """Facts before passages with ids E1, E2, ... by first appearance of report and page; both have ``ordinal`` and ``text``."""
-    rows = facts.select(F.lit(0).alias("kind"), "ordinal", report, "page", "text").unionByName(passages.select(F.lit(1).alias("kind"), "ordinal", report, "page", "text"))
-    # as many rows as a question's context holds: a few dozen
-    whole = Window.orderBy("first_kind", "first_ordinal", report, "page")
-    first = rows.groupBy(report, "page").agg(F.min(F.struct("kind", "ordinal")).alias("f")).select(report, "page", F.col("f.kind").alias("first_kind"), F.col("f.ordinal").alias("first_ordinal"))
+def evidence(facts: DataFrame, passages: DataFrame, report: str, by: Sequence[str] = ()) -> DataFrame:
+    """Facts before passages with ids E1, E2, ... by first appearance of report and page; both have ``ordinal`` and ``text``.
+
+    Ids are counted within each group ``by``; without one all rows are a question's context, a few dozen.
+    """
+    columns = [*dict.fromkeys([*by, report])]
+    rows = facts.select(F.lit(0).alias("kind"), "ordinal", *columns, "page", "text").unionByName(passages.select(F.lit(1).alias("kind"), "ordinal", *columns, "page", "text"))
+    whole = Window.partitionBy(*by).orderBy("first_kind", "first_ordinal", report, "page")
+    first = rows.groupBy(*columns, "page").agg(F.min(F.struct("kind", "ordinal")).alias("f")).select(*columns, "page", F.col("f.kind").alias("first_kind"), F.col("f.ordinal").alias("first_ordinal"))
     ids = first.withColumn("evidence_id", F.concat(F.lit("E"), F.row_number().over(whole).cast("string")))
-    return rows.join(ids.select(report, "page", "evidence_id"), [report, "page"])
+    return rows.join(ids.select(*columns, "page", "evidence_id"), [*columns, "page"])
+
+
+def context(metrics: DataFrame, pages: DataFrame, plan: QueryPlan, report: str, n: int = 12, length: int = 1600) -> DataFrame:
+    """What a question may be answered from, for each report: facts and changes of the metrics asked for (all where none is named),
+    then the best passages, with evidence ids.
+
+    ``metrics`` are ``report, metric, value, page, prior_value, yoy_pct``; a change is told where the question wants one.
+    """
+    asked = metrics.filter(F.col("metric").isin(*plan.metrics)) if plan.metrics else metrics
+    place = F.array_position(F.array(*[F.lit(m) for m in METRIC_WORDS]), F.col("metric"))
+    known = resolve_yoy(asked, "y", F.col("value"), F.col("prior_value"), F.col("yoy_pct"), F.lit(None).cast("double"), F.col("metric"))
+    said = F.concat_ws(" ", "metric", amount_text(F.col("value")), F.when(F.lit(plan.wants_change), F.col("y.label")))
+    facts = known.select(report, F.col("page").cast("int").alias("page"), place.cast("int").alias("ordinal"), said.alias("text"))
+    best = rank_pages(pages, plan.question, [report], n=n)
+    order = F.row_number().over(Window.partitionBy(report).orderBy(F.desc("score"), "page"))
+    passages = best.select(report, F.col("page").cast("int").alias("page"), order.alias("ordinal"), excerpt(plan.question, F.col("content"), length).alias("text"))
+    return evidence(facts, passages, report, [report])

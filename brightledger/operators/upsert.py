@@ -106,3 +106,8 @@ def newest_response(responses: DataFrame, new: DataFrame, owner: str, order: Seq
 def mutually_exclusive(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Acknowledged or flagged, never both: the last event of a key decides."""
     return latest_event(events, [key], order).filter(F.col("status").isin("acked", "flagged"))
+
+
+def append_events(events: DataFrame, path: str, at: str = "ts") -> None:
+    """Adds events to a log of files by day; what is there stays, and readers of some days read only these."""
+    events.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)

@@ -409,3 +409,31 @@ def half_year_lookup(spark, sf):
 def amounts_in_words(spark, sf):
     n = F.col("o_orderkey") % 3
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), finance.amount_text((F.col("o_totalprice") - 150000) * 0.91370023 * F.when(n == 0, 1).when(n == 1, 100).otherwise(10000)).alias("text"))
+
+
+@query(f"""WITH {_F}, s AS (SELECT code, period, state, id FROM f QUALIFY row_number() OVER (PARTITION BY code, period ORDER BY id) = 1),
+ d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE WHEN state IN ('parsed', 'parsed_partial') THEN 100 WHEN state = 'downloaded' THEN 40 WHEN state = 'discovered' THEN 30 WHEN state = 'failed' THEN 20 ELSE 10 END DESC, {_PERIOD_RANK} DESC, period) = 1),
+ n AS (SELECT code, count(*) FILTER (WHERE state IN ('parsed', 'parsed_partial')) AS n_parsed, bool_or(state IN ('parsed', 'parsed_partial') AND period = '2022FY') AS l FROM s GROUP BY 1)
+ SELECT c_custkey AS code, d.period, coalesce(d.state, 'expected') AS state, o_totalprice AS revenue, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 10 END AS net_profit, CAST(NULL AS DOUBLE) AS eps, CAST(NULL AS DOUBLE) AS roe, coalesce(n_parsed, 0) AS n_parsed, NOT coalesce(l, false) AS latest_missing
+ FROM customer LEFT JOIN d ON d.code = c_custkey LEFT JOIN n ON n.code = c_custkey LEFT JOIN orders ON o_orderkey = d.id""")
+def crawl_snapshot(spark, sf):
+    """Every company with the period on display, its metrics, and whether the newest period is there."""
+    f = _filings(spark, sf)
+    both = F.array(F.struct(F.lit("revenue").alias("metric"), F.col("revenue").alias("value")), F.struct(F.lit("net_profit").alias("metric"), F.when(F.col("id") % 2 == 0, F.col("revenue") / 10).alias("value")))
+    metrics = f.select("id", F.explode(both).alias("m")).select("id", "m.*")
+    return portal.snapshot(portal.first_rows(f, ["code", "period"], ["id"]), metrics, table(spark, sf, "customer").select(F.col("c_custkey").alias("code")), "2022FY")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS report, 0 AS kind, CAST(1 AS INTEGER) AS ordinal, CAST(o_orderkey % 3 + 1 AS INTEGER) AS page FROM orders UNION ALL SELECT o_orderkey, 1, 1, 2 FROM orders UNION ALL SELECT o_orderkey, 1, 2, 3 FROM orders WHERE o_orderkey % 2 = 0),
+ i AS (SELECT report, page, 'E' || row_number() OVER (PARTITION BY report ORDER BY min(kind * 10 + ordinal), page) AS evidence_id FROM r GROUP BY 1, 2) SELECT report, kind, ordinal, page, evidence_id FROM r JOIN i USING (report, page)""")
+def question_contexts(spark, sf):
+    """Of each report the fact that a question asks for and the passages that tell of it, with evidence ids."""
+    from brightledger.operators import retrieval
+
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("report"), F.col("o_totalprice").alias("value"))
+    n, null = F.col("report"), F.lit(None).cast("double")
+    metrics = o.select("report", F.lit("revenue").alias("metric"), "value", (n % 3 + 1).alias("page"), (F.col("value") / 2).alias("prior_value"), null.alias("yoy_pct"))
+    page = lambda k, content: o.select("report", F.lit(k).alias("page"), F.lit(content).alias("content"))
+    pages = page(2, "营收原因：营业收入增长").unionByName(page(3, "营业收入").filter("report % 2 = 0")).unionByName(page(9, "其他"))
+    found = retrieval.context(metrics, pages, retrieval.plan_question("营收变动的原因"), "report")
+    return found.select("report", "kind", "ordinal", "page", "evidence_id")

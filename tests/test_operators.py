@@ -198,6 +198,21 @@ def test_units_of_pages(spark):
     assert got == ["百万元", "千元", "万元", "元", "元"]
 
 
+def test_event_log_grows_by_day(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    e = spark.createDataFrame([(1, "2026-04-01 10:00:00"), (2, "2026-04-02 10:00:00")], "event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    upsert.append_events(e.filter("event_id = 1"), path)
+    upsert.append_events(e.filter("event_id = 2"), path)
+    assert [r.event_id for r in spark.read.parquet(path).filter("day = DATE '2026-04-02'").collect()] == [2] and spark.read.parquet(path).count() == 2
+
+
+def test_context(spark):
+    metrics = spark.createDataFrame([("r", "revenue", 2e8, 3, 1e8, None), ("r", "eps", 0.5, 4, None, None)], "report string, metric string, value double, page int, prior_value double, yoy_pct double")
+    pages = spark.createDataFrame([("r", 3, "营收增长原因"), ("r", 7, "管理层讨论 营业收入"), ("r", 8, "无关")], "report string, page int, content string")
+    got = {(r.kind, r.page): (r.evidence_id, r.text) for r in retrieval.context(metrics, pages, retrieval.plan_question("营收同比多少"), "report").collect()}
+    assert got[0, 3] == ("E1", "revenue 2.00亿元 同比增长 100.00%") and got[1, 3][0] == "E1" and got[1, 7][0] == "E2" and len(got) == 3
+
+
 def test_streams(spark, tmp_path):
     base = f"file://{tmp_path}"
     rows = [(i, "a" if i % 3 else "b", "error" if i % 2 else "view") for i in range(40)]

@@ -81,6 +81,14 @@ def effective_period(title: Column, published: Column, stored: Column) -> Column
     return F.coalesce(canonical_period(title, published), stored)
 
 
+def described(filings: DataFrame, title: str = "title", published: str = "published_at") -> DataFrame:
+    """Adds ``kind, period, is_full, canonical, period_rank, prior`` of each filing; the title is classified once."""
+    t, at, kind, period = F.col(title), F.col(published), F.col("kind"), F.col("period")
+    once = filings.withColumns({"kind": report_type(t), "period": period_of(t, at)})
+    whole = (kind != "other") & ~compact(t).rlike(ABSTRACT)  # what is_full_report leaves out besides is of another kind already
+    return once.withColumns({"is_full": whole, "canonical": F.when((kind != "other") & is_canonical(period), period), "period_rank": rank_of(period), "prior": prior_year(period)})
+
+
 def kind_of(period: Column) -> Column:
     """The report type of a period token."""
     return F.when(period.contains("FY"), "annual").when(period.rlike("H1|Q2"), "semiannual").when(period.rlike("Q[13]"), "quarterly")

@@ -1,12 +1,13 @@
 """Detectors over wide reports: relationships between metrics, and dimensions to watch.
 
 Input is one row a report with a column for each metric and ``prior_<metric>`` for the comparable report's (see ``wide``).
-Each detector is one Column: a struct ``id, theme, title, tone, priority, status``, where status is card, none or
-insufficient. All of them are evaluated in one pass and exploded; what is shown is chosen by two windows.
+Each detector becomes a struct ``id, theme, title, tone, priority, status``, where status is card, none or insufficient. All of
+them are evaluated in one pass and exploded; what is shown is chosen by two windows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,27 +56,41 @@ def _yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def _card(id: str, theme: str, enough: Column, rules: list[tuple[Column, str, str, Column | int]]) -> Column:
-    """The first rule that holds makes the card."""
+@dataclass(frozen=True)
+class Detector:
+    """What a detector says: when it has enough to go by, and rules of condition, title, tone and priority; the first that holds counts."""
 
-    def made(status, title=None, tone=None, priority=None) -> Column:
-        p = priority if isinstance(priority, Column) else F.lit(priority)
-        return F.struct(
-            F.lit(id).alias("id"), F.lit(theme).alias("theme"), F.lit(title).cast("string").alias("title"),
-            F.lit(tone).cast("string").alias("tone"), p.cast("int").alias("priority"), F.lit(status).alias("status"),
-        )
+    id: str
+    theme: str
+    enough: Column
+    rules: list[tuple[Column, str, str, Column | int]]
 
-    out = made("none")
-    for condition, title, tone, priority in reversed(rules):
-        out = F.when(_yes(condition), made("card", title, tone, priority)).otherwise(out)
-    return F.when(_yes(enough), out).otherwise(made("insufficient"))
+    def staged(self, i: int) -> dict[str, Column]:
+        """Columns of detector ``i``: the number of the rule that holds (-1 for none, null without enough) and, where it is no plain
+        number, its priority."""
+        first = F.coalesce(*[F.when(_yes(c), i) for i, (c, *_) in enumerate(self.rules)], F.lit(-1))
+        out = {f"__rule{i}": F.when(_yes(self.enough), first)}
+        computed = next((p for *_, p in self.rules if isinstance(p, Column)), None)
+        return out if computed is None else out | {f"__priority{i}": computed.cast("int")}
+
+    def card(self, i: int) -> Column:
+        """The struct made from the staged columns."""
+        rule = F.col(f"__rule{i}")
+        said = lambda k, kind: F.coalesce(*[F.when(rule == n, F.lit(r[k])) for n, r in enumerate(self.rules)], F.lit(None)).cast(kind)
+        priority = F.coalesce(*[F.when(rule == n, F.col(f"__priority{i}") if isinstance(r[3], Column) else F.lit(r[3])) for n, r in enumerate(self.rules)], F.lit(None)).cast("int")
+        status = F.when(rule.isNull(), "insufficient").when(rule < 0, "none").otherwise("card")
+        return F.struct(F.lit(self.id).alias("id"), F.lit(self.theme).alias("theme"), said(1, "string").alias("title"), said(2, "string").alias("tone"), priority.alias("priority"), status.alias("status"))
+
+
+def _card(id: str, theme: str, enough: Column, rules: list[tuple[Column, str, str, Column | int]]) -> Detector:
+    return Detector(id, theme, enough, rules)
 
 
 def _steps(share: Column, per: int, most: int) -> Column:
     return F.least(F.lit(most), F.floor(share * per))
 
 
-def revenue_vs_profit() -> Column:
+def revenue_vs_profit() -> Detector:
     r, p = yoy_pct(_m("revenue"), _p("revenue")), yoy_pct(_m("net_profit"), _p("net_profit"))
     up = lambda m: _m(m) > _p(m)
     down = lambda m: _m(m) < _p(m)
@@ -88,7 +103,7 @@ def revenue_vs_profit() -> Column:
     ])
 
 
-def cash_vs_profit() -> Column:
+def cash_vs_profit() -> Detector:
     profit, cash, profit0, cash0 = _m("net_profit"), _m("operating_cash_flow"), _p("net_profit"), _p("operating_cash_flow")
     ratio, ratio0 = F.try_divide(cash, profit), F.try_divide(cash0, profit0)
     cross = _have(profit0, cash0)
@@ -111,7 +126,7 @@ def _non_recurring() -> tuple[Column, Column, Column]:
     return parent, ex, F.when(wrong | part.isNull(), F.coalesce(parent - ex, F.when(~wrong, part))).otherwise(part)
 
 
-def earnings_quality() -> Column:
+def earnings_quality() -> Detector:
     parent, ex, part = _non_recurring()
     share = part / parent
     return _card("ex_non_recurring", "earnings_quality", _have(parent, part), [
@@ -120,7 +135,7 @@ def earnings_quality() -> Column:
     ])
 
 
-def cost_and_margin() -> Column:
+def cost_and_margin() -> Detector:
     r, c, r0, c0 = _m("revenue"), _m("operating_cost"), _p("revenue"), _p("operating_cost")
     drop = ((r0 - c0) / r0 - (r - c) / r) * 100
     faster = (c0 > 0) & (F.try_divide(c, c0) - 1 > F.try_divide(r, r0) - 1 + 0.03)
@@ -130,7 +145,7 @@ def cost_and_margin() -> Column:
     ])
 
 
-def bridge() -> Column:
+def bridge() -> Detector:
     r, p, r0, p0 = _m("revenue"), _m("net_profit"), _p("revenue"), _p("net_profit")
     parts = profit_bridge(r, r0, p, p0)
     scale, margin, change = parts["from_revenue"], parts["from_margin"], p - p0
@@ -145,7 +160,7 @@ def bridge() -> Column:
     ])
 
 
-def debt_vs_assets() -> Column:
+def debt_vs_assets() -> Detector:
     a, d, a0, d0 = _m("total_assets"), _m("total_liabilities"), _p("total_assets"), _p("total_liabilities")
     ratio, jump = d / a, F.when((a0 > 0) & finite(d0), (d / a - d0 / a0) * 100)
     high, jumped = ratio >= DEBT_HIGH, _yes(jump >= DEBT_JUMP)
@@ -155,19 +170,19 @@ def debt_vs_assets() -> Column:
     ])
 
 
-def restricted_cash() -> Column:
+def restricted_cash() -> Detector:
     share = F.try_divide(_m("restricted_cash"), _m("cash_and_equivalents"))
     return _card("restricted_cash", "liquidity", _have(_m("restricted_cash"), _m("cash_and_equivalents")) & (_m("cash_and_equivalents") > 0), [
         (share >= RESTRICTED, "受限资金占比偏高", "watch", 70 + _steps(share, 30, 15))])
 
 
-def goodwill() -> Column:
+def goodwill() -> Detector:
     share = F.try_divide(_m("goodwill"), _m("equity_parent"))
     return _card("goodwill_vs_equity", "goodwill", _have(_m("goodwill"), _m("equity_parent")) & (_m("equity_parent") > 0), [
         (share >= GOODWILL, "商誉占净资产比例偏高", "watch", 72 + _steps(share, 30, 15))])
 
 
-def assets_vs_revenue() -> Column:
+def assets_vs_revenue() -> Detector:
     a, r = yoy_pct(_m("total_assets"), _p("total_assets")), yoy_pct(_m("revenue"), _p("revenue"))
     return _card("assets_vs_revenue_growth", "expansion", _have(_m("total_assets"), _m("revenue")) & (a != 0) & (r != 0), [
         ((a > 0) & (r < 0), "资产扩张但营收下滑", "watch", 88),
@@ -175,7 +190,7 @@ def assets_vs_revenue() -> Column:
     ])
 
 
-def cash_rate() -> Column:
+def cash_rate() -> Detector:
     r, c, r0, c0 = _m("revenue"), _m("operating_cash_flow"), _p("revenue"), _p("operating_cash_flow")
     drop = (c0 / r0 - c / r) * 100
     rising = (r > r0) & (drop > 0)
@@ -187,8 +202,13 @@ RELATIONSHIPS = (revenue_vs_profit, cash_vs_profit, earnings_quality, cost_and_m
 
 
 def evaluated(reports: DataFrame, key: list[str], detectors=RELATIONSHIPS) -> DataFrame:
-    """A row for each report and detector, with ``ordinal``, the order of evaluation."""
-    rows = reports.select(*key, F.posexplode(F.array(*[d() for d in detectors])).alias("ordinal", "card"))
+    """A row for each report and detector, with ``ordinal``, the order of evaluation.
+
+    Which rule holds is a column of its own on the way, so that the plan stays small.
+    """
+    found = [d() for d in detectors]
+    staged = reports.select(*key, *[c.alias(n) for i, d in enumerate(found) for n, c in d.staged(i).items()])
+    rows = staged.select(*key, F.posexplode(F.array(*[d.card(i) for i, d in enumerate(found)])).alias("ordinal", "card"))
     return rows.select(*key, "ordinal", "card.*")
 
 
@@ -211,38 +231,38 @@ def _known_sum(names: tuple[str, ...]) -> Column:
 def watch_dimensions() -> list:
     """The numeric dimensions; priority is the severity."""
 
-    def non_recurring() -> Column:
+    def non_recurring() -> Detector:
         parent, ex, part = _non_recurring()
         negative = _yes(ex < 0)
         severity = 80 + F.when(negative, 10).otherwise(0) + F.least(F.lit(20), F.floor(part / F.greatest(parent, F.lit(1.0)) * 40))
         return _card("non_recurring", "watch", _have(parent, part), [((parent > 0) & ((part / parent >= NON_RECURRING) | negative), "非经常性损益", "watch", severity)])
 
-    def cash() -> Column:
+    def cash() -> Detector:
         p, c = _m("net_profit"), _m("operating_cash_flow")
         negative = (p > 0) & (c < 0)
         return _card("cash_vs_profit", "watch", _have(p, c), [(negative | (F.try_divide(c, p) < CASH_TO_PROFIT), "利润与现金流", "watch", 85 + F.when(negative, 15).otherwise(0))])
 
-    def both_high() -> Column:
+    def both_high() -> Detector:
         c, a, d = _m("cash_and_equivalents"), _m("total_assets"), _known_sum(DEBT_PARTS)
         return _card("cash_and_debt", "watch", _have(c, a, d) & (a > 0), [((c / a >= CASH_TO_ASSETS) & (d / a >= DEBT_TO_ASSETS), "存贷双高", "watch", 70)])
 
-    def goodwill_load() -> Column:
+    def goodwill_load() -> Detector:
         return _card("goodwill_load", "watch", _have(_m("goodwill"), _m("equity_parent")) & (_m("equity_parent") > 0), [(_m("goodwill") / _m("equity_parent") >= GOODWILL, "商誉占比", "watch", 65)])
 
-    def restricted() -> Column:
+    def restricted() -> Detector:
         c = _m("cash_and_equivalents")
         return _card("restricted_cash", "watch", _have(c, _m("restricted_cash")) & (c > 0), [(_m("restricted_cash") / c >= RESTRICTED, "资金受限", "watch", 60)])
 
-    def short_debt() -> Column:
+    def short_debt() -> Detector:
         s, d, c = _known_sum(SHORT_PARTS), _known_sum(DEBT_PARTS), _m("cash_and_equivalents")
         return _card("short_debt_pressure", "watch", _have(s, d, c) & (d > 0), [((s / d >= SHORT_SHARE) & (s > 0) & (c < SHORT_COVER * s), "短债压力", "watch", 68)])
 
-    def margin_collapse() -> Column:
+    def margin_collapse() -> Detector:
         r, r0, p, p0, c, c0 = _m("revenue"), _p("revenue"), _m("net_profit"), _p("net_profit"), _m("operating_cost"), _p("operating_cost")
         drop = F.when((r > 0), ((r0 - c0) / r0 - (r - c) / r) * 100)
         return _card("margin_collapse", "watch", _have(r, r0) & (r0 > 0), [((r > r0) & (_yes(p < p0) | _yes(drop >= MARGIN_DROP)), "增收不增利", "watch", 75)])
 
-    def one_off() -> Column:
+    def one_off() -> Detector:
         parent, ex, part = _m("net_profit"), _m("profit_ex_non_recurring"), _m("non_recurring_pnl")
         share = F.coalesce(part, parent - ex) / parent
         return _card("one_off_boost", "watch", _have(parent, ex), [((parent > 0) & ((ex < 0) | (share >= NON_RECURRING)), "一次性抬升", "watch", 78)])

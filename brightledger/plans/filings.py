@@ -36,11 +36,7 @@ SELECT id, kind, period, kind <> 'other' AND NOT regexp_matches(t, '摘要') AS
  CAST(CAST(substr(period, 1, 4) AS INTEGER) - 1 AS VARCHAR) || substr(period, 5) AS prior FROM k""")
 def period_tokens(spark, sf):
     """Kind, period and rank of each filing by its title."""
-    t, at = F.col("title"), F.col("published_at")
-    rows = _titled(spark, sf).withColumn("period", periods.period_of(t, at))
-    # titles of before 2000 name no year that counts; their year is that of publication
-    return rows.select("id", periods.report_type(t).alias("kind"), "period", periods.is_full_report(t).alias("is_full"), periods.canonical_period(t, at).alias("canonical"),
-                       periods.rank_of(F.col("period")).alias("period_rank"), periods.prior_year(F.col("period")).alias("prior"))
+    return periods.described(_titled(spark, sf)).select("id", "kind", "period", "is_full", "canonical", "period_rank", "prior")
 
 
 def _yearly(spark, sf) -> DataFrame:
@@ -108,8 +104,7 @@ SELECT code, yr, CASE WHEN NOT enough THEN 'insufficient' WHEN high OR jumped TH
  CASE WHEN NOT enough OR NOT (high OR jumped) THEN NULL WHEN jumped AND (NOT high OR far) THEN '资产负债率明显上升' ELSE '资产负债率处于较高水平' END AS title,
  CASE WHEN NOT enough OR NOT (high OR jumped) THEN NULL WHEN high AND jumped THEN 85 WHEN high THEN 82 ELSE 78 END AS priority FROM f""")
 def debt_detector(spark, sf):
-    rows = _wide(spark, sf).select("code", "yr", detectors.debt_vs_assets().alias("c"))
-    return rows.select("code", "yr", F.col("c.status").alias("status"), F.col("c.title").alias("title"), F.col("c.priority").alias("priority"))
+    return detectors.evaluated(_wide(spark, sf), ["code", "yr"], [detectors.debt_vs_assets]).select("code", "yr", "status", "title", "priority")
 
 
 @query("""WITH y AS (SELECT o_custkey AS code, CAST(year(o_orderdate) AS INTEGER) AS yr, sum(o_totalprice) AS r FROM orders GROUP BY 1, 2),
@@ -118,8 +113,7 @@ def debt_detector(spark, sf):
 SELECT code, yr, status FROM g WHERE r <> 300000""")
 def growth_detector(spark, sf):
     """Revenue against profit: here both move together, so a card says that both grow."""
-    rows = _wide(spark, sf).filter("revenue <> 300000").select("code", "yr", detectors.revenue_vs_profit().alias("c"))
-    return rows.select("code", "yr", F.col("c.status").alias("status"))
+    return detectors.evaluated(_wide(spark, sf).filter("revenue <> 300000"), ["code", "yr"], [detectors.revenue_vs_profit]).select("code", "yr", "status")
 
 
 #: Wide reports in SQL, with the year before's as r0, p0 and so on.

@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from brightledger.llm.common import release
+
 #: White space as the tokenizer's regular expressions see it.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Characters at which Python's split() would cut although they are not white space here.
@@ -424,6 +426,7 @@ def stage(path: str):
     """A pipeline stage: every document's ``doc_id, n_tokens, ids`` and digests of the ids and the decoded text."""
 
     def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, docs)
         return encode(docs, path).select(*_digests(), "ids")
 
     return run

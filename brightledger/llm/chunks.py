@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightledger.llm import wordhash
-from brightledger.llm.common import _TABLES, new_path
+from brightledger.llm.common import new_path, stored
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
 CHUNK = 1 << 20
@@ -22,10 +22,9 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     table = path.rpartition("/")[2].replace("-", "_")
-    _TABLES.append(table)
     out = df.write.format("parquet").option("path", path).option("compression", "zstd")
     out.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
-    return spark.table(table)
+    return stored(spark.table(table), path, table)
 
 
 def by_chunk(df: DataFrame, name: str) -> DataFrame:

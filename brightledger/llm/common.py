@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,31 +34,57 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses; ``release`` removes it."""
-    _PATHS.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return _PATHS[-1]
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = None
+    return path
 
 
-#: What this process has written to shared folders and put into catalogs.
-_PATHS: list[str] = []
-_TABLES: list[str] = []
+#: What this process has written to shared folders: paths, and the catalog's tables of those that are tables.
+_WRITTEN: dict[str, str | None] = {}
 
 
-def release(spark: SparkSession) -> None:
-    """Removes all intermediate results of this process: call it when the results that rest on them are read or written."""
+def _remove(spark: SparkSession, paths: Iterable[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
-    while _PATHS:
-        at = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+    for path in paths:
+        if table := _WRITTEN.pop(path, None):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
 
 
+def release(spark: SparkSession, unless: DataFrame | None = None) -> None:
+    """Removes all intermediate results of this process, but for what ``unless`` still reads: call it when the results that rest on
+    them have been written."""
+    read = {f.rpartition("/")[0] for f in unless.inputFiles()} if unless is not None and _WRITTEN else set()
+    _remove(spark, [p for p in _WRITTEN if not any(p.rpartition("/")[2] in f for f in read)])  # names are unique
+
+
+def discard(spark: SparkSession, frames: Iterable[DataFrame]) -> None:
+    """Removes stored frames that nothing rests on any more."""
+    _remove(spark, [df.stored_at for df in frames])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """What is written inside is removed at the end, but for the frames put into the list. Nothing else may rest on it by then."""
+    before, kept = set(_WRITTEN), []
+    yield kept
+    stay = {df.stored_at for df in kept}
+    _remove(spark, [p for p in _WRITTEN if p not in before and p not in stay])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder once and read back: later steps neither recompute it nor need its executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(spark.read.schema(df.schema).parquet(path), path)
+
+
+def stored(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
+    """Notes where a frame is stored, for ``scratch``."""
+    _WRITTEN[path], df.stored_at = table, path
+    return df
 
 
 def words(text: Column) -> Column:

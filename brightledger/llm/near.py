@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightledger.llm import wordhash
-from brightledger.llm.common import join_salted, materialize
+from brightledger.llm.common import join_salted, materialize, release, scratch
 from brightledger.llm.graphs import components
 
 WORDS, PERCENT, K, LEAST = 5, 75, 64, 16
@@ -186,8 +186,7 @@ def blocks(rows: DataFrame, key: str, weight, most: int) -> DataFrame:
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Edges ``a, b`` of forests over the classes that may be linked."""
-    rows = lists(classes)
-    dealt = blocks(materialize(rows, "lists"), "value", F.lit(1), BLOCK)
+    dealt = blocks(materialize(lists(classes), "lists"), "value", F.lit(1), BLOCK)
     sort = ["value", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +249,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(sketches(docs), "sketches")
     own = rows.filter("n > 0")
     classes = materialize(own.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    found = components(candidates(classes))
-    linked = components(verified(docs, classes, found))
+    with scratch(docs.sparkSession) as kept:
+        found = components(candidates(classes))
+        kept.append(components(verified(docs, classes, found)))
+    linked = kept[0]
     named = classes.select("cid", "rep").join(linked.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.withColumn("label", F.coalesce("label", "cid"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -267,12 +268,15 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group, that of the smallest doc_id, with the documents' own columns. Rows are told apart by a stored
     number: ids may be null or repeat (of one id the first stored row stays, of null ids one if no other is there). Rows without
     words all stay."""
+    release(spark, docs)
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
-    named = materialize(found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row"), "named")
-    first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = join_salted(named, first, "group", "__row").filter("__row <> first").select("__row")
-    return rows.join(materialize(gone, "near"), "__row", "left_anti").select(*docs.columns)
+    with scratch(spark) as kept:
+        found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
+        named = materialize(found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row"), "named")
+        first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("first"), F.count("*").alias("n")).filter("n > 1")
+        gone = join_salted(named, first, "group", "__row").filter("__row <> first").select("__row")
+        kept.append(materialize(gone, "near"))
+    return rows.join(kept[0], "__row", "left_anti").select(*docs.columns)
 
 
 #: Exact links for a small table: every pair of documents with a common shingle, and what they reach.

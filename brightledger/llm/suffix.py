@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from brightledger.llm import wordhash
 from brightledger.llm.chunks import bucketed, chunks, each_chunk
-from brightledger.llm.common import materialize
+from brightledger.llm.common import discard, release, scratch
 from brightledger.llm.wordhash import INVERSE, ODD, mixed, powers
 
 LENGTH = 200
@@ -124,6 +124,7 @@ class Family:
         for n, (_, table) in zip(names, self.levels, strict=True):
             both = both.join(table.select("bucket", F.struct("values", "checks", "twice").alias(n)), "bucket", "full_outer")
         made = bucketed(both.mapInArrow(run, "bucket int, values binary, checks binary, twice binary"), "level", "bucket")
+        discard(batch.sparkSession, [self.levels[k][1] for k in merging])  # the merged level is written
         self.levels = [*self.levels[: len(self.levels) - len(merging)], (size, made)]
 
     def answers(self, asked: DataFrame) -> DataFrame:
@@ -328,10 +329,12 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), length: i
 
     def indexed(rows: DataFrame, name: str) -> DataFrame:
         """The answers to what chunks ask, by a family that takes the chunks in batches."""
-        arrays, family = bucketed(rows, "arrays", "bucket"), Family()
-        for k in range(BATCHES):
-            family.add(arrays.filter(F.pmod(F.xxhash64("chunk"), F.lit(BATCHES)) == k))
-        return bucketed(family.answers(arrays).withColumnRenamed("answers", name), name, "chunk").hint("shuffle_hash")
+        with scratch(spark) as kept:
+            arrays, family = bucketed(rows, "arrays", "bucket"), Family()
+            for k in range(BATCHES):
+                family.add(arrays.filter(F.pmod(F.xxhash64("chunk"), F.lit(BATCHES)) == k))
+            kept.append(bucketed(family.answers(arrays).withColumnRenamed("answers", name), name, "chunk"))
+        return kept[0].hint("shuffle_hash")
 
     fields = [docs.schema[c] for c in keep]
     out = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
@@ -369,7 +372,9 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their repeated strings, their ``n_chars`` set anew."""
+    """The documents without their repeated strings, their ``n_chars`` set anew: row by row, whatever their ids; null texts become
+    empty. What earlier stages left in the shared folder is removed, as the documents are read from their own files."""
+    release(spark, docs)
     others = {c: f"own{i}" for i, c in enumerate(docs.columns) if c != "text"}  # other names than the result's
     rows = remove_repeats(docs.select("text", *[F.col(c).alias(n) for c, n in others.items()]), keep=list(others.values()), as_text=True)
     columns = {c: F.col("kept") if c == "text" else F.col(others[c]) for c in docs.columns}

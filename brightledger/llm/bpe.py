@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from brightledger.llm.common import release
+from brightledger.llm.common import stage as pipeline_stage
 
 #: White space as the tokenizer's regular expressions see it.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -425,8 +425,8 @@ def query(docs: DataFrame, path: str) -> DataFrame:
 def stage(path: str):
     """A pipeline stage: every document's ``doc_id, n_tokens, ids`` and digests of the ids and the decoded text."""
 
+    @pipeline_stage
     def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, docs)
         return encode(docs, path).select(*_digests(), "ids")
 
     return run

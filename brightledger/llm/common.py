@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,11 +53,32 @@ def _remove(spark: SparkSession, paths: Iterable[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def release(spark: SparkSession, unless: DataFrame | None = None) -> None:
-    """Removes all intermediate results of this process, but for what ``unless`` still reads: call it when the results that rest on
-    them have been written."""
-    read = {f.rpartition("/")[0] for f in unless.inputFiles()} if unless is not None and _WRITTEN else set()
-    _remove(spark, [p for p in _WRITTEN if not any(p.rpartition("/")[2] in f for f in read)])  # names are unique
+def release(spark: SparkSession) -> None:
+    """Removes all intermediate results of this process: call it when the results that rest on them have been read or written."""
+    _remove(spark, list(_WRITTEN))
+
+
+#: What the stages of a pipeline have written and left for their results.
+_LEFT: set[str] = set()
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage of a pipeline. Its documents are the stored result of the stage before, so what that one left is removed first,
+    but for what the documents still read."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = _LEFT & set(_WRITTEN)
+        read = docs.inputFiles() if left else []
+        gone = [p for p in left if not any(p.rpartition("/")[2] in x for x in read)]  # names are unique
+        _remove(spark, gone)
+        before = set(_WRITTEN)
+        out = f(spark, docs, sf_dir)
+        _LEFT.difference_update(gone)
+        _LEFT.update(set(_WRITTEN) - before)
+        return out
+
+    return run
 
 
 def discard(spark: SparkSession, frames: Iterable[DataFrame]) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brightledger.llm.common import WORD, materialize, release
+from brightledger.llm.common import materialize, stage as pipeline_stage, WORD
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Bits of the hash that each round of refinement looks at, 32 in all.
@@ -126,10 +126,10 @@ def query(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns; a row for each source decides. Rows alike in id, text and
     source go together; null ids, texts and sources are values like others."""
-    release(spark, docs)
     _, _, rules = thresholds(docs, WEIGHTS, SHARE, MOST, None)
     own = F.struct(*[docs[c] for c in docs.columns]).alias("own")
     taken = docs.select(own, document_hash().alias("hash"), source_key().alias("key")).join(rules, "key").select("own", copies().alias("copies"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightledger.llm import wordhash
-from brightledger.llm.common import join_salted, materialize, release, scratch
+from brightledger.llm.common import join_salted, materialize, scratch, stage as pipeline_stage
 from brightledger.llm.graphs import components
 
 WORDS, PERCENT, K, LEAST = 5, 75, 64, 16
@@ -264,11 +264,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group, that of the smallest doc_id, with the documents' own columns. Rows are told apart by a stored
     number: ids may be null or repeat (of one id the first stored row stays, of null ids one if no other is there). Rows without
     words all stay."""
-    release(spark, docs)
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     with scratch(spark) as kept:
         found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))

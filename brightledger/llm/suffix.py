@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from brightledger.llm import wordhash
 from brightledger.llm.chunks import bucketed, chunks, each_chunk
-from brightledger.llm.common import discard, release, scratch
+from brightledger.llm.common import discard, scratch, stage as pipeline_stage
 from brightledger.llm.wordhash import INVERSE, ODD, mixed, powers
 
 LENGTH = 200
@@ -371,10 +371,10 @@ def query(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated strings, their ``n_chars`` set anew: row by row, whatever their ids; null texts become
-    empty. What earlier stages left in the shared folder is removed, as the documents are read from their own files."""
-    release(spark, docs)
+    empty."""
     others = {c: f"own{i}" for i, c in enumerate(docs.columns) if c != "text"}  # other names than the result's
     rows = remove_repeats(docs.select("text", *[F.col(c).alias(n) for c, n in others.items()]), keep=list(others.values()), as_text=True)
     columns = {c: F.col("kept") if c == "text" else F.col(others[c]) for c in docs.columns}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from brightledger.llm import wordhash
-from brightledger.llm.common import read
+from brightledger.llm.common import read, stage as pipeline_stage
 
 SAMPLE, MOST, FEATURES, FOLDS, BITS = 2000, 8192, 1500, 3, 20
 #: The verdict's threshold on the last probability is learned between these.
@@ -241,6 +241,7 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, labels).withColumnRenamed("rejected", "toxic").withColumn("kept", ~F.col("toxic"))
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not toxic, with their own columns: each row by its own text, whatever its id. Rows without a text
     are not toxic, and without labels all rows stay."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brightledger.llm import ann, bpe, interactions, lm, mixing, near, preferences, quality, rollups, suffix, toxicity
+from brightledger.llm import ann, bpe, interactions, lm, mixing, near, negatives, preferences, quality, rollups, suffix, toxicity
 from brightledger.llm.common import read
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_quality_rules": lambda spark, sf: quality.query(read(spark, sf, "documents")),
     "op10_source_mix": lambda spark, sf: mixing.query(read(spark, sf, "documents")),
     "op12_filter_audit": lambda spark, sf: interactions.query(read(spark, sf, "documents"), read(spark, sf, "labels")),
+    "op13_hard_negatives": lambda spark, sf: negatives.query(read(spark, sf, "embeddings")),
 }
 SQL = {
     "op2_preferences": preferences.ORACLE_SQL,
@@ -27,4 +28,5 @@ SQL = {
     "op9_quality_rules": quality.ORACLE_SQL,
     "op10_source_mix": mixing.ORACLE_SQL,
     "op12_filter_audit": interactions.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
 }

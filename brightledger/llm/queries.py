@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brightledger.llm import ann, bpe, interactions, lm, mixing, near, negatives, preferences, quality, rollups, suffix, toxicity
+from brightledger.llm import ann, blocks, bpe, interactions, lm, mixing, near, negatives, preferences, quality, rollups, suffix, toxicity
 from brightledger.llm.common import read
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_lm_scores": lambda spark, sf: lm.score(read(spark, sf, "documents")),
     "op9_quality_rules": lambda spark, sf: quality.query(read(spark, sf, "documents")),
     "op10_source_mix": lambda spark, sf: mixing.query(read(spark, sf, "documents")),
+    "op11_repeated_passages": lambda spark, sf: blocks.query(read(spark, sf, "documents")),
     "op12_filter_audit": lambda spark, sf: interactions.query(read(spark, sf, "documents"), read(spark, sf, "labels")),
     "op13_hard_negatives": lambda spark, sf: negatives.query(read(spark, sf, "embeddings")),
 }
@@ -27,6 +28,7 @@ SQL = {
     "op6_near_duplicates": near.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
     "op10_source_mix": mixing.ORACLE_SQL,
+    "op11_repeated_passages": blocks.ORACLE_SQL,
     "op12_filter_audit": interactions.ORACLE_SQL,
     "op13_hard_negatives": negatives.ORACLE_SQL,
 }

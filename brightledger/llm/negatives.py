@@ -3,7 +3,9 @@
 A row's score for an anchor is their inner product. One more coordinate, ``sqrt(M * M - x * x)`` with the greatest length M, lifts all
 candidates to one length, anchors get 0 there; then the largest product is the smallest distance, and distances have bounds:
 
-1. Pivots are fitted on a bounded sample of anchors; an anchor belongs to the cell of its nearest pivot. A cell knows its radius.
+1. Pivots are fitted on a bounded sample of anchors; an anchor belongs to the cell of its nearest pivot. A cell knows its radius. How
+   many pivots there are is what costs least on the sample: more cells are smaller and prune more, but a row that no bound excludes
+   goes to each of them.
 2. A bounded sample of rows gives each anchor a score that the last row it looks for has at least (that so many rows of the sample
    reach), and the cell the largest distance at which anything can serve one of its anchors.
 3. A candidate goes to those cells only that it might serve: by the triangle inequality over its distance from the pivot, and by
@@ -37,7 +39,9 @@ from brightledger.llm.near import groups
 
 POSITIVES, NEGATIVES, SCALE = 5, 3, 256
 #: Rows of the samples at most, and bytes; anchors a pivot, pivots at most; parts that a cell's labels are dealt to.
-SAMPLE, SAMPLE_BYTES, PER_PIVOT, PIVOTS, LABELS = 4096, 1 << 25, 64, 256, 16
+SAMPLE, SAMPLE_BYTES, PER_PIVOT, PIVOTS, LABELS = 4096, 1 << 25, 16, 256, 16
+#: What it costs to bring a row to a cell, in comparisons with an anchor.
+MOVE = 500
 #: Anchors and candidates in a block, and candidates compared at once.
 ANCHORS, CANDIDATES, AT_ONCE = 1024, 1 << 16, 2048
 #: Share of the positive's score, in twentieths, that a negative has at least and at most.
@@ -105,6 +109,26 @@ class Space:
         return (product + spread >= low[None, :] - slack) & (product - spread <= high[None, :] + slack) & (away - radius[None, :] <= far[None, :] + slack)
 
 
+def fitted(most: float, ids: np.ndarray, labels: np.ndarray, sample: np.ndarray, some: tuple[np.ndarray, np.ndarray, np.ndarray], anchors: int, top: int) -> Space:
+    """The space whose cells cost least by the sample. some: ids, labels and vectors of a sample of the anchors."""
+    own, own_labels, q = some
+    found, count = [], 1
+    while count <= max(1, min(PIVOTS, anchors // PER_PIVOT)):
+        pivots = lloyd(q.astype(np.float64), count, np.random.default_rng(7)) if q.shape[1] else np.zeros((1, 0))
+        space = Space(most, ids, labels, sample, pivots)
+        cell, away = space.cells(q)
+        allowed = (own_labels[:, None] == labels[None, :]) & (own[:, None] != ids[None, :])
+        least = reached(q.astype(space.kind) @ space.sample.T, allowed, top, np.full(len(q), space.low)).astype(np.float64)
+        far = np.sqrt(np.maximum((q.astype(np.float64) ** 2).sum(1) + most - 2 * least, 0))
+        there = np.unique(cell)
+        over = lambda f, x: np.array([f(x[cell == k]) for k in there])  # noqa: B023, E731
+        hit = space.serves(sample[:512], there, over(np.max, away), over(np.min, least), over(np.max, far), np.full(len(there), np.inf))
+        share = np.array([(cell == k).mean() for k in there])
+        found.append((float((hit * (MOVE + anchors * share)[None, :]).sum()), count, space))
+        count *= 4
+    return min(found, key=lambda x: x[:2])[2]
+
+
 def _joined(space, anchors: DataFrame, rows: DataFrame, group: Callable[[np.ndarray], np.ndarray], bounds: list, compare, schema: str, v: str) -> DataFrame:
     """Blocks of anchors (``group, id, label, v`` and ``low, high, ids``) and of the rows that may serve their group, given to ``compare``.
 
@@ -175,9 +199,8 @@ def hard_negatives(
     most_rows = min(SAMPLE, max(16, SAMPLE_BYTES // (8 * max(1, size["d"]))))
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_rows).toArrow().combine_chunks()
     some = rows.filter(is_anchor).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_rows).toArrow().combine_chunks()
-    fit = matrix(some.column("v").combine_chunks(), np.float64)
-    pivots = lloyd(fit, max(1, min(PIVOTS, size["anchors"] // PER_PIVOT)), np.random.default_rng(7)) if size["d"] else fit[:1]
-    space = spark.sparkContext.broadcast(Space(size["most"], drawn.column("vec_id").to_numpy(), drawn.column("label").to_numpy(), matrix(drawn.column("v").combine_chunks(), np.int64), pivots))
+    columns = lambda t: (t.column("vec_id").to_numpy(), t.column("label").to_numpy(), matrix(t.column("v").combine_chunks(), np.int64))
+    space = spark.sparkContext.broadcast(fitted(size["most"], *columns(drawn), columns(some), size["anchors"], positives))
     ask = "group int, cell int, part int, radius double, least double, far double, greatest double, id long, label long, v array<long>, low array<long>, high array<long>, ids array<long>"
 
     def part_of(label: np.ndarray) -> np.ndarray:

@@ -258,19 +258,60 @@ def clamped_settings(spark, sf):
     return c.select(F.col("c_custkey").alias("id"), finance.clamp(F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") / 1000), 1, 9, 3).alias("setting"))
 
 
-@query("""WITH o AS (SELECT o_orderkey AS report, round(o_totalprice, 2) AS v, round(o_totalprice * 0.8, 2) AS p FROM orders WHERE o_totalprice > 2000)
- SELECT report, v AS value, p AS prior_value, CAST(CASE WHEN report % 5 > 0 THEN 25.5 END AS DOUBLE) AS yoy_pct, 2 AS source_page, CAST(round(0.88 + CASE WHEN report % 2 = 0 THEN 0.05 ELSE 0 END - CASE WHEN report % 6 = 3 THEN 0.12 ELSE 0 END, 2) AS DOUBLE) AS confidence FROM o""")
+@query("""WITH o AS (SELECT o_orderkey AS report, round(o_totalprice, 2) AS v, round(o_totalprice * 0.8, 2) AS p FROM orders)
+ SELECT report, v AS value, CASE WHEN p >= 1000 THEN p END AS prior_value, CAST(CASE WHEN report % 5 > 0 THEN 25.5 END AS DOUBLE) AS yoy_pct, 2 AS source_page,
+  CAST(round(0.91 + CASE WHEN report % 2 = 0 THEN 0.05 ELSE 0 END - CASE WHEN report % 6 = 3 THEN 0.12 ELSE 0 END, 2) AS DOUBLE) AS confidence FROM o WHERE v >= 1000""")
 def extracted_revenue(spark, sf):
-    """Revenue out of page texts: a table of key figures, a page that agrees for even keys, and for some a rival."""
+    """Revenue out of page texts: a table of key figures, a page that agrees for even keys, and for some a rival. Amounts under 1000 yuan are
+    no revenue, and no prior revenue."""
     v, p = F.format_string("%.2f", F.round("o_totalprice", 2)), F.format_string("%.2f", F.round(F.col("o_totalprice") * 0.8, 2))
-    o = _orders(spark, sf).filter("o_totalprice > 2000").select(_id().alias("report"), "id", v.alias("v"), p.alias("p"))
+    o = _orders(spark, sf).repartition(spark.sparkContext.defaultParallelism, "id").select(_id().alias("report"), "id", v.alias("v"), p.alias("p"), (F.round("o_totalprice", 2) >= 1000).alias("large"))
     change = F.when(_id() % 5 > 0, " 25.5%").otherwise("")
     key = o.select("report", F.lit(2).alias("page"), F.concat(F.lit("主要会计数据 单位：元\n营业收入 "), "v", F.lit(" "), "p", change).alias("content"))
-    other = o.filter("id % 2 = 0 OR id % 6 = 3").select("report", F.lit(7).alias("page"), F.concat(F.lit("单位：元\n营业收入 "), F.when(_id() % 2 == 0, F.col("v")).otherwise(F.lit("999999999.00 5000.00"))).alias("content"))
+    rival = F.concat(F.lit("合并利润表 单位：元\n营业收入 "), F.when(_id() % 2 == 0, F.col("v")).when(_id() % 6 == 3, F.lit("999999999.00 5000.00")).otherwise("-"))
+    other = o.filter("large").select("report", F.lit(7).alias("page"), rival.alias("content"))
     found = extract.metrics(key.unionByName(other), "report").filter("metric = 'revenue'")
     return found.select("report", F.round("value", 2).alias("value"), F.round("prior_value", 2).alias("prior_value"), "yoy_pct", F.col("source_page"), "confidence")
 
 
+#: Metrics in money with a label of each, in the order in which they stand on the page, and what the choice's confidence must be.
+_LINES = (
+    ("revenue", "营业总收入", 0.94), ("net_profit", "归属于上市公司股东的净利润", 0.91), ("total_assets", "资产总计", 0.94), ("total_liabilities", "负债合计", 0.94),
+    ("operating_cash_flow", "经营活动产生的现金流量净额", 0.94), ("operating_cost", "营业成本", 0.94), ("non_recurring_pnl", "非经常性损益合计", 0.96),
+    ("profit_ex_non_recurring", "扣除非经常性损益后归属于母公司所有者的净利润", 0.96), ("cash_and_equivalents", "货币资金", 0.82), ("restricted_cash", "受限货币资金", 0.94),
+    ("short_term_borrowings", "短期借款", 0.94), ("long_term_borrowings", "长期借款", 0.94), ("bonds_payable", "应付债券", 0.94), ("current_portion_debt", "一年内到期的非流动负债", 0.94),
+    ("goodwill", "商誉", 0.94), ("equity_parent", "归属于母公司股东的权益", 0.94),
+)
+
+
+@query(f"""WITH m AS (SELECT unnest([{", ".join(f"{{'k': {k}, 'metric': '{m}', 'label': '{label}', 'c': {c}}}" for k, (m, label, c) in enumerate(_LINES))}]) AS m),
+ o AS (SELECT c_custkey AS report, c_custkey % 5 AS form, m.k, m.metric, m.label, m.c, CAST(round(c_acctbal * 100) AS BIGINT) + 500000 + 100000 * m.k AS cents FROM customer, m),
+ t AS (SELECT *, CASE form WHEN 3 THEN 1000 WHEN 4 THEN -1 ELSE 1 END * cents / 100 AS value, CASE form WHEN 0 THEN (cents * 4 // 5) / 100 WHEN 2 THEN (cents * 2 // 5) / 100 WHEN 3 THEN (cents * 4 // 5) * 10.0 WHEN 4 THEN (cents * 4 // 5) / 100 END AS prior FROM o)
+ SELECT report, metric, label AS source_label, CAST(round(value, 2) AS DOUBLE) AS value, CAST(round(prior, 2) AS DOUBLE) AS prior_value, CAST(CASE form WHEN 0 THEN 25.5 WHEN 1 THEN 3.5 WHEN 2 THEN 88.8 WHEN 4 THEN -12.5 END AS DOUBLE) AS yoy_pct, CAST(CASE WHEN form = 3 AND metric = 'non_recurring_pnl' THEN 0.9 ELSE c END AS DOUBLE) AS confidence FROM t
+ UNION ALL SELECT c_custkey, 'eps', '基本每股收益', (c_custkey % 500 + 100) / 100, 0.5, 8.5, 0.96 FROM customer
+ UNION ALL SELECT c_custkey, 'roe', '加权平均净资产收益率', (c_custkey % 2000 + 100) / 100, 5.25, NULL, 0.96 FROM customer""")
+def extracted_metrics(spark, sf):
+    """All 18 metrics of a page, in five forms of its columns: prior value and change, a bare change before the year to date, a restated prior
+    value, a unit in the label, and a negative figure in brackets."""
+    shown = lambda c: F.concat(F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
+    amounts = lambda c: F.struct(F.lit(" ").alias("gap"), shown(c).alias("v"), shown(F.floor(c * 4 / 5)).alias("p"), shown(F.floor(c * 2 / 5)).alias("q"), shown(c * 3).alias("ytd"))
+
+    def line(x: Column) -> Column:
+        a, form = x["a"], _id() % 5
+        return F.concat(
+            F.lit("\n"), x["label"], F.when(form == 3, "（千元） ").when(form == 4, " (").otherwise(" "), a["v"], F.when(form == 4, ") ").otherwise(" "),
+            F.when(form == 1, F.concat(F.lit("3.5 "), a["ytd"], F.lit(" 1.2"))).otherwise(a["p"]), F.when(form == 2, F.concat(F.lit(" "), a["q"])).otherwise(""),
+            F.when(form == 0, " 25.5%").when(form == 2, " 88.8%").when(form == 4, " (12.5%)").otherwise(""),
+        )
+
+    labels = F.array(*[F.lit(label) for _, label, _ in _LINES])
+    lines = F.transform(labels, lambda label, k: F.struct(label.alias("label"), amounts(F.round(F.col("c_acctbal") * 100).cast("long") + 500000 + 100000 * k).alias("a")))
+    small = [F.lit("\n基本每股收益（元/股） "), shown(_id() % 500 + 100), F.lit(" 0.50 8.5%\n加权平均净资产收益率 "), shown(_id() % 2000 + 100), F.lit("% 5.25%\n")]
+    page = F.concat(F.lit("主要会计数据 单位：元"), F.array_join(F.transform(lines, line), ""), *small)
+    pages = table(spark, sf, "customer").withColumn("id", F.col("c_custkey")).repartition(spark.sparkContext.defaultParallelism, "id").select(_id().alias("report"), F.lit(3).alias("page"), page.alias("content"))
+    return extract.metrics(pages, "report").select("report", "metric", "source_label", F.round("value", 2).alias("value"), F.round("prior_value", 2).alias("prior_value"), "yoy_pct", "confidence")
+
+
 _OPINIONS = ("公司聘请的会计师事务所出具了标准无保留意见的审计报告。", "会计师事务所出具了非标准无保留意见。", "本期为带强调事项段的无保留意见。", "注册会计师对本报告无法表示意见。", "上年审计机构发表保留意见的说明。", "公司简介一切正常，没有其他。")
 _BASE = (0.55 + 0.35 + 0.2 + 0.15, 0.64 + 0.2 + 0.15, 0.68, 0.72 + 0.2, 0.66 + 0.15 - 0.45, None)
 

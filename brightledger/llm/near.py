@@ -269,14 +269,14 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group, that of the smallest doc_id, with the documents' own columns. Rows are told apart by a stored
     number: ids may be null or repeat (of one id the first stored row stays, of null ids one if no other is there). Rows without
     words all stay."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("own")), "rows")
     with scratch(spark) as kept:
-        found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
-        named = materialize(found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row"), "named")
-        first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("first"), F.count("*").alias("n")).filter("n > 1")
-        gone = join_salted(named, first, "group", "__row").filter("__row <> first").select("__row")
+        found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "own.text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+        named = materialize(found.join(rows.select("row", F.col("own.doc_id").alias("id")), "row"), "named")
+        first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("first"), F.count("*").alias("n")).filter("n > 1")
+        gone = join_salted(named, first, "group", "row").filter("row <> first").select("row")
         kept.append(materialize(gone, "near"))
-    return rows.join(kept[0], "__row", "left_anti").select(*docs.columns)
+    return rows.join(kept[0], "row", "left_anti").select("own.*")
 
 
 #: Exact links for a small table: every pair of documents with a common shingle, and what they reach.

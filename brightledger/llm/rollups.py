@@ -39,9 +39,23 @@ def _files(spark: SparkSession, path: str):
 
 
 def committed(spark: SparkSession, path: str, batch: str) -> bool:
-    """Whether the batch is in the rollup."""
+    """Whether the batch is in the rollup, by itself or in what was compacted."""
     fs, at = _files(spark, f"{path}/batch={batch}/_SUCCESS")
-    return fs.exists(at)
+    return fs.exists(at) or not _ledger(spark, path).filter(F.col("batch") == batch).isEmpty()
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The names of the batches that were compacted."""
+    fs, at = _files(spark, f"{path}/ledger/_SUCCESS")
+    return spark.read.schema("batch string").parquet(f"{path}/ledger") if fs.exists(at) else spark.createDataFrame([], "batch string")
+
+
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """What counts: the compacted totals and the batches after them."""
+    fs, at = _files(spark, path)
+    found = [x.getPath() for x in fs.listStatus(at)] if fs.exists(at) else []
+    names = [x.toString() for x in found if x.getName() == "compacted" or x.getName().startswith("batch=")]
+    return [p for p in names if fs.exists(_files(spark, f"{p}/_SUCCESS")[1])]
 
 
 def commit(path: str, batch: str, changes: DataFrame) -> bool:
@@ -57,9 +71,7 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
 
     Batches are small next to what they count; ``compact`` makes one of many when there are more than a reader likes.
     """
-    fs, at = _files(spark, path)
-    found = [x.getPath().toString() for x in fs.listStatus(at)] if fs.exists(at) else []
-    whole = [p for p in found if fs.exists(_files(spark, f"{p}/_SUCCESS")[1])]
+    whole = _parts(spark, path)
     if not whole:
         return spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
     rows = spark.read.parquet(*whole)
@@ -67,8 +79,12 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
-    """Writes the totals as the first batch of a new rollup at ``to``; batches after it are committed there."""
-    totals(spark, path).write.mode("overwrite").parquet(f"{to}/batch=compacted")
+    """Writes the totals as the beginning of a new rollup at ``to``, with a ledger of the batches in them, so that a batch that comes
+    again adds nothing there either; batches after it are committed there."""
+    names = [p.rpartition("/batch=")[2] for p in _parts(spark, path) if "/batch=" in p]
+    held = _ledger(spark, path).unionByName(spark.createDataFrame([(n,) for n in names], "batch string"))
+    held.write.mode("overwrite").parquet(f"{to}/ledger")
+    totals(spark, path).write.mode("overwrite").parquet(f"{to}/compacted")
 
 
 def counted(docs: DataFrame) -> DataFrame:

@@ -191,12 +191,11 @@ def sampled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], m
     return rows.select("text", *columns).mapInArrow(run, ", ".join(f"{c} int" for c in columns) + ", features array<int>")
 
 
-def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, most: int = SAMPLE, own: list[str] | None = None) -> DataFrame:
-    """``doc_id``, ``p_<category>`` and the verdict ``rejected`` for every document.
+def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, most: int = SAMPLE, own: list[str] | None = None, verdict: str = "rejected") -> DataFrame:
+    """``doc_id``, ``p_<category>`` and the verdict, by its name, for every document.
 
     ``categories`` are Columns of labels, in the chain's order; the last one decides, by a threshold that out-of-fold
-    predictions of the sample give. With ``own``, ``text`` among them, rows are these columns of the documents and the
-    verdict as ``__rejected``.
+    predictions of the sample give. With ``own``, ``text`` among them, rows are these columns of the documents and the verdict.
     """
     categories = categories or {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     names = list(categories)
@@ -221,18 +220,18 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
                 for m in chain:
                     earlier = np.column_stack([earlier, np.clip(m.odds(n, of, feature, earlier), -10, 10)])
                 p = [pa.array(probability(earlier[:, k])) for k in range(len(names))]
-                verdict = pa.array(probability(earlier[:, -1]) > limit)
+                over = pa.array(probability(earlier[:, -1]) > limit)
                 part = b.slice(first, n)
-                out = [part.column(0), *p, verdict] if own is None else [*part.columns, verdict]
+                out = [part.column(0), *p, over] if own is None else [*part.columns, over]
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     place = 1 if own is None else own.index("text")
     if own is None:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        schema = StructType([StructField("doc_id", LongType()), *[StructField(f"p_{c}", DoubleType()) for c in names], StructField("rejected", BooleanType())])
+        schema = StructType([StructField("doc_id", LongType()), *[StructField(f"p_{c}", DoubleType()) for c in names], StructField(verdict, BooleanType())])
     else:
         rows = docs.select(*own)
-        schema = StructType([*rows.schema.fields, StructField("__rejected", BooleanType())])
+        schema = StructType([*rows.schema.fields, StructField(verdict, BooleanType())])
     return rows.mapInArrow(run, schema)
 
 
@@ -245,4 +244,7 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not toxic, with their own columns: each row by its own text, whatever its id. Rows without a text
     are not toxic, and without labels all rows stay."""
-    return score(docs, read(spark, sf_dir, "labels"), own=docs.columns).filter("NOT __rejected").drop("__rejected")
+    verdict = "rejected"
+    while verdict in (c.lower() for c in docs.columns):
+        verdict += "_"
+    return score(docs, read(spark, sf_dir, "labels"), own=docs.columns, verdict=verdict).filter(~F.col(verdict)).drop(verdict)

@@ -16,7 +16,7 @@ from brightledger.llm.common import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside or return.
-CLASHING = ["n", "cid", "sketch", "kept", "size", "hash", "key", "copies", "chunk", "toxic", "ids", "decoded", "label", "rep", "n_bytes", "own", "words", "copy", "whole", "threshold"]
+CLASHING = ["n", "cid", "sketch", "kept", "size", "hash", "key", "copies", "chunk", "toxic", "ids", "decoded", "label", "rep", "n_bytes", "own", "words", "copy", "whole", "threshold", "row", "__row", "rejected", "__rejected", "group", "id"]
 
 
 def rows():

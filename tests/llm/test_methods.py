@@ -409,6 +409,13 @@ def test_rollups_commit_once(spark):
     want = [("a", "en", "t", 2, 17)]
     assert [tuple(r) for r in rollups.totals(spark, path).collect()] == want
     rollups.compact(spark, path, path + "-new")
+    before = sorted(rollups.totals(spark, path).collect())
+    again = spark.createDataFrame([("insert", "a", "en", "t", 5, None)], "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
+    names = [p.rpartition("/batch=")[2] for p in rollups._parts(spark, path)]
+    assert names and not any(rollups.commit(path + "-new", n, again) for n in names)  # what was compacted is committed there, too
+    rollups.compact(spark, path + "-new", path + "-newer")
+    assert not any(rollups.commit(path + "-newer", n, again) for n in names)
+    assert sorted(rollups.totals(spark, path + "-newer").collect()) == before
     assert [tuple(r) for r in rollups.totals(spark, path + "-new").collect()] == want
     with pytest.raises(Exception, match="unknown op"):
         rollups.commit(path, "bad", spark.createDataFrame([("move", "a", "en", "t", 1, None)], schema))

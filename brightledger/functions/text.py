@@ -181,11 +181,6 @@ def attention(title: Column) -> Column:
     return F.regexp_extract_all(title, F.lit(f"({ATTENTION})"), 1)
 
 
-def locate_quote(page: Column, quote: Column) -> Column:
-    """Where a quote begins on a page if white space does not count, from 1; 0 if nowhere."""
-    return F.instr(F.regexp_replace(page, SPACE, ""), F.regexp_replace(quote, SPACE, ""))
-
-
 def number_tokens(text: Column) -> Column:
     """The numbers of a text as they are printed."""
     return F.regexp_extract_all(text, F.lit(r"(\d[\d,]*(?:\.\d+)?%?)"), 1)

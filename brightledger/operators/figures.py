@@ -71,7 +71,7 @@ UNIT = "亿元|百万元|万元|千元|元"
 LARGE = UNIT.removesuffix("|元")
 #: Characters behind a label that are looked at, and pages that count as the front of a report.
 REACH, FRONT = 220, 30
-SPACE = r"[\s 　]"
+SPACE = r"[\s\x{A0}\x{3000}]"
 FIGURE = r"-?\d+(?:\.\d+)?"
 #: A cell: a figure, perhaps in brackets, perhaps with a per cent sign.
 CELL = rf"(?:\(?\s*{FIGURE}\s*(?:%\s*\)|\)\s*%|\)|%)?)"

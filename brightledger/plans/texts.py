@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightledger.functions import finance, periods, text
-from brightledger.operators import extract
+from brightledger.operators import extract, quotes
 from brightledger.plans.registry import query
 from brightledger.sources.tables import table
 
@@ -84,16 +84,35 @@ def attention_words(spark, sf):
     return _orders(spark, sf).select("id", F.array_join(text.attention(_turn(_TITLES)), ",").alias("words"))
 
 
-@query("""SELECT doc_id, CASE WHEN q = '' THEN 1 ELSE strpos(regexp_replace(text, '[\\s\\x0B]', '', 'g'), q) END AS at FROM (SELECT doc_id, text, regexp_replace(substr(text, 21, 40), '[\\s\\x0B]', '', 'g') AS q FROM documents WHERE text IS NOT NULL)""")
-def quote_places(spark, sf):
-    """Where each text's own middle begins if white space does not count."""
-    d = table(spark, sf, "documents").filter("text IS NOT NULL")
-    return d.select("doc_id", text.locate_quote(F.col("text"), F.substring("text", 21, 40)).cast("long").alias("at"))
+_BLANK = r"[\s\x0B\x{A0}\x{3000}]"
 
 
-@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\d[0-9,]*(?:\.[0-9]+)?%?'), ' ') AS numbers FROM documents WHERE text IS NOT NULL")
+@query(rf"""WITH d AS (SELECT doc_id, string_split(text, '') AS c, regexp_replace(text, '{_BLANK}', '', 'g') AS t, regexp_replace(substr(text, 21, 40), '{_BLANK}', '', 'g') AS q FROM documents),
+ s AS (SELECT doc_id, q, strpos(t, q) AS k, list_filter(range(len(c)), lambda i: NOT regexp_matches(c[i + 1], '{_BLANK}')) AS spots FROM d)
+ SELECT doc_id, CASE WHEN q <> '' THEN spots[k] END AS starts_at, CASE WHEN q <> '' THEN spots[k + len(q) - 1] + 1 END AS ends_at FROM s""")
+def quote_places(spark, sf):
+    """Where each text's own middle stands if white space does not count, in the text's own characters; null for null and short texts."""
+    d = table(spark, sf, "documents").withColumn("r", quotes.quote_range(F.col("text"), F.substring("text", 21, 40)))
+    return d.select("doc_id", F.col("r.start").cast("long").alias("starts_at"), F.col("r.end").cast("long").alias("ends_at"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, CAST(4 + (o_orderkey % 3 = 0)::INTEGER AS INTEGER) AS page, printf('%.2f', (o_orderkey % 9000 + 1000) / 100.0) AS p FROM orders WHERE o_orderkey % 7 > 0),
+ t AS (SELECT *, concat('第', id, '号公告。', chr(10), ' 应收账款  变动率 ', chr(9), p, '%，主要系客户', chr(10), '回款所致。其他说明见附注。') AS content FROM o)
+ SELECT id AS question_id, page, concat('应收账款 变动率 ', p, '%，主要系客户 回款所致') AS quote, CAST(strpos(content, '应收账款') - 1 AS INTEGER) AS starts_at, CAST(strpos(content, '所致') + 1 AS INTEGER) AS ends_at FROM t""")
+def question_quotes(spark, sf):
+    """What on a page answers a question on a changed figure: on the cited page, for some on the next, for some nowhere."""
+    p = F.format_string("%.2f", (_id() % 9000 + 1000) / 100)
+    o = _orders(spark, sf).select("id", p.alias("p"))
+    said = F.concat(F.lit("第"), "id", F.lit("号公告。\n 应收账款  变动率 \t"), F.when(_id() % 7 > 0, F.concat("p", F.lit("%，主要系客户\n回款所致。其他说明见附注。"))).otherwise("不适用"))
+    pages = o.select("id", F.explode(F.array(F.lit(4), F.lit(5))).alias("page"), said.alias("said")).select(
+        "id", "page", F.when(F.col("page") == F.when(_id() % 3 == 0, 5).otherwise(4), F.col("said")).otherwise("本页无此数字。").alias("content"))
+    asked = o.select(_id().alias("question_id"), "id", F.lit(4).alias("page"), F.concat(F.lit("应收账款的变动率是"), "p", F.lit("%是什么影响的")).alias("question"))
+    return quotes.page_quotes(asked, pages, "id").select("question_id", "page", "quote", F.col("start").alias("starts_at"), F.col("end").alias("ends_at"))
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\d[0-9,]*(?:\.[0-9]+)?%?'), ' ') AS numbers FROM documents")
 def numbers_in_texts(spark, sf):
-    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.array_join(text.number_tokens(F.col("text")), " ").alias("numbers"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.number_tokens(F.col("text")), " ").alias("numbers"))
 
 
 @query(_fixed("grams", (0, 1, 2), ("净利润,利润增,润增长,净利润增,利润增长", "", "营业收,业收入,营业收入")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightledger.operators.rank import first_rows
+from brightledger.operators.contains import contained
+from brightledger.operators.rank import first_rows, held
 
 SPACE = r"(?U)\s+"
 
@@ -103,12 +105,10 @@ ALIASES = {
 
 def name_variants(name: Column) -> Column:
     """A company's name and what is left of it as endings go, one after another; at least two characters each."""
-    now = F.regexp_replace(name, SPACE, "")
-    out = [now]
-    for ending in (SHARE_CLASS, *ENDINGS):
-        now = F.regexp_replace(now, ending, "")
-        out.append(now)
-    return F.array_distinct(F.filter(F.array(*out), lambda x: F.length(x) >= 2))
+    endings = F.array(*[F.lit(e) for e in (SHARE_CLASS, *ENDINGS)])
+    left = lambda found, ending: F.concat(found, F.array(F.regexp_replace(F.element_at(found, -1), ending, F.lit(""))))
+    out = F.aggregate(endings, F.array(F.regexp_replace(name, SPACE, "")), left)
+    return F.array_distinct(F.filter(out, lambda x: F.length(x) >= 2))
 
 
 def official_name(asked: Column) -> Column:
@@ -125,17 +125,19 @@ def match_names(queries: DataFrame, companies: DataFrame, aliases: DataFrame | N
 
     1 code, 2 the whole name in the text, 3 a spoken name, 4 exactly the name, 5 a variant, the beginning, or four characters of
     it, 6 its spelling in letters, 7 a part that only one company has. Of several companies the one with the shortest name, then
-    the smallest code. ``companies`` (code, name, and spelled and initials where there are any) and ``aliases`` (alias, name)
-    are small dimensions, some thousand rows that Spark broadcasts under its threshold.
+    the smallest code. ``companies`` has code and name, and spelled and initials where there are any (``spelled_names``);
+    ``aliases`` has alias and name. Names are found by grams that they share with the text, so no side need be small. Repeated
+    queries and companies count once.
     """
-    q = queries.select("query", F.regexp_replace("query", SPACE, "").alias("q"), F.lower(without_noise(F.col("query"))).alias("clean"))
-    q = q.withColumn("official", official_name(F.col("q")))
+    queries, companies = queries.select("query").distinct(), companies.dropDuplicates(["code"])
+    q = held(queries, q=F.regexp_replace("query", SPACE, ""), clean=F.lower(without_noise(F.col("query"))), official=official_name(F.col("query")))
     if aliases is not None:
-        said = q.join(aliases.select("alias", F.col("name").alias("told")), F.col("q").contains(F.col("alias"))).groupBy("query").agg(F.max_by("told", F.struct(F.length("alias"), "alias")).alias("told"))
+        known = aliases.select("alias", F.col("name").alias("told"))
+        said = contained(q, "q", known, "alias").join(q.select("query", "q"), "q").join(known, "alias").groupBy("query").agg(F.max_by("told", F.struct(F.length("alias"), "alias")).alias("told"))
         q = q.join(said, "query", "left").withColumn("official", F.coalesce("official", "told")).drop("told")
     for c in ("spelled", "initials"):
         companies = companies if c in companies.columns else companies.withColumn(c, F.lit(None).cast("string"))
-    named = companies.select("code", "name", F.lower("name").alias("low"), "spelled", "initials", name_variants(F.col("name")).alias("variants"))
+    named = held(companies.select("code", "name", "spelled", "initials"), low=F.lower("name"), variants=name_variants(F.col("name")))
     clean, name, said = F.col("clean"), F.col("low"), F.col("official")
     some = clean != ""
     letters = clean.rlike("^[a-z]+$") & (F.col("spelled").contains(clean) | F.col("initials").startswith(clean))
@@ -145,12 +147,30 @@ def match_names(queries: DataFrame, companies: DataFrame, aliases: DataFrame | N
         .when(some & (F.exists("variants", lambda v: F.lower(v) == clean) | name.startswith(clean) | ((F.length(clean) >= 4) & name.contains(clean))), SIMILAR)
         .when(some & letters, SPELLED).when(some & name.contains(clean), CONTAINS)
     )
-    hits = q.join(named, stage.isNotNull()).select("query", "code", "name", stage.alias("stage"))
+    # pairs that any stage can join, each found by equal grams or equal texts; the stages are then told on these pairs alone
+    pairs = [contained(q, "q", companies, c).join(q.select("query", "q"), "q").join(companies.select("code", *({c} - {"code"})), c) for c in ("code", "name")]
+    pairs.append(contained(q, "official", companies, "name").join(q.select("query", "official"), "official").join(companies.select("code", "name"), "name"))
+    pairs.append(contained(companies, "name", q, "official").join(q.select("query", "official"), "official").join(companies.select("code", "name"), "name"))
+    pairs += [contained(named, c, q, "clean").join(q.select("query", "clean"), "clean").join(named.select("code", c), c) for c in ("low", "spelled", "initials")]
+    pairs.append(q.select("query", "clean").join(named.select("code", F.explode(F.transform("variants", F.lower)).alias("clean")), "clean"))
+    some_pairs = functools.reduce(DataFrame.unionByName, [p.select("query", "code") for p in pairs]).distinct()
+    hits = some_pairs.join(q, "query").join(named, "code").select("query", "code", "name", stage.alias("stage")).filter("stage IS NOT NULL")
     best = hits.groupBy("query").agg(F.min("stage").alias("first"), F.count("*").alias("n"))
     kept = hits.join(best, "query").filter((F.col("stage") == F.col("first")) & ((F.col("stage") < CONTAINS) | (F.col("n") == 1)))
     return first_rows(kept, ["query"], [F.length("name"), "code"]).select("query", "code", "stage")
 
 
+def spelled_names(companies: DataFrame, readings: DataFrame) -> DataFrame:
+    """Adds ``spelled`` and ``initials``: a name's characters by their readings (``character, reading``), others as they are, in lower case.
+    Of several readings of a character the first in order counts."""
+    once = readings.groupBy("character").agg(F.min(F.lower("reading")).alias("reading"))
+    letters = companies.select("name").distinct().select("name", F.posexplode(F.split("name", "")).alias("at", "character")).filter("character <> ''")
+    read = letters.join(once, "character", "left").withColumn("reading", F.coalesce("reading", F.lower("character")))
+    parts = read.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "reading"))).alias("r"))  # a name's characters
+    spelled = F.array_join("r.reading", "").alias("spelled")
+    return companies.join(parts.select("name", spelled, F.array_join(F.transform("r", lambda x: F.substring(x["reading"], 1, 1)), "").alias("initials")), "name", "left")
+
+
 def all_terms(question: str, hay: Column) -> Column:
     """Whether a text has all words of a query, in any case."""
     out = F.lit(True)

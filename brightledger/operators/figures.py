@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightledger.functions.finance import to_yuan
+from brightledger.operators.rank import held
 
 # The labels under which metrics are disclosed in order of preference; unit and least and largest absolute value.
 LABELS = {
@@ -210,13 +211,6 @@ def told_return(now: Column, x: Column, y: Column, z: Column, rest: Column) -> C
     )
 
 
-def held(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns by a generator, so that what later reads them does not compute them again: filters and projections are otherwise
-    pushed through, with all that they mention."""
-    packed = rows.withColumn("held", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-    return packed.select(*[c for c in rows.columns if c not in columns], "held.*")
-
-
 def parts(near: Column, lead: str) -> Column:
     """The figure behind ``lead``, the unit beside it, the next cell, what follows that, and two more cells; of one element without match."""
     cells = rf"\s*({CELL})?(?=(.{{0,40}}))\s*({CELL})?\s*({CELL})?.*$"

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightledger.operators.contains import contained
 from brightledger.operators.rank import first_rows
 
 
@@ -45,13 +46,9 @@ def canonical_lookup(df: DataFrame, other: DataFrame, keys: Sequence[str], perio
 
 
 def longest_contained(df: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """Each row with the longest name contained in its text, ties to the first in order; null if there is none.
-
-    ``names`` is a small dimension: Spark broadcasts it under its size threshold and nest-loops blocks beyond it. An inner
-    condition on contained strings has no key to join on.
-    """
-    texts = df.select(text).distinct()
-    hits = texts.join(names.select(name), F.col(text).contains(F.col(name)))
+    """Each row with the longest name contained in its text, ties to the first in order; null if there is none. Names are found by the grams
+    that they share with the text."""
+    hits = contained(df, text, names, name)
     best = hits.groupBy(text).agg(F.min_by(name, F.struct(-F.length(name), name)).alias(name))
     return df.join(best, text, "left")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightledger.functions import citations as marks
 from brightledger.functions import finance, periods, text
 from brightledger.operators import extract, quotes
 from brightledger.plans.registry import query
@@ -51,15 +52,31 @@ def names_without_endings(spark, sf):
     return _orders(spark, sf).select("id", F.array_join(text.name_variants(_turn(_COMPANIES)), ",").alias("variants"))
 
 
-_LISTED = (("600036", "招商银行", "zhaoshang", "zsyh"), ("000333", "美的集团", "meide", "mdjt"), ("600519", "贵州茅台", "maotai", "gzmt"), ("688256", "寒武纪-U", "hanwuji", "hwj"), ("601318", "中国平安", "pingan", "zgpa"), ("000001", "平安银行", "pinganyh", "payh"))
-_ASKED = (("600519 怎么样", "600519", 1), ("看看中国平安的财报", "601318", 2), ("招行怎么样", "600036", 3), ("寒武纪", "688256", 3), ("hwj", "688256", 6), ("商银", "600036", 7), ("银行", None, None), ("国平安", "601318", 3), ("团", "000333", 7))
-
-
-@query("SELECT query, code, CAST(stage AS INTEGER) AS stage FROM (VALUES " + ", ".join(f"('{q}', '{c}', {s})" for q, c, s in _ASKED if c) + ") t(query, code, stage)")
+@query("""WITH c AS (SELECT concat('K', c_custkey, 'Z') AS code, c_name AS name, lower(substr(c_name, 1, len(c_name) - 1)) AS stem FROM customer),
+ o AS (SELECT o_orderkey AS id, o_orderkey % 5 AS form, c.* FROM orders JOIN c ON code = concat('K', o_custkey, 'Z')),
+ q AS (SELECT id, form, code, CASE form WHEN 0 THEN concat(code, '怎么样') WHEN 1 THEN concat('看看', name, '的财报') WHEN 2 THEN lower(name) WHEN 3 THEN stem ELSE concat('第', id, '家') END AS query, stem FROM o)
+ SELECT DISTINCT query, CASE WHEN form = 3 THEN (SELECT min(code) FROM c WHERE c.stem = q.stem) ELSE code END AS code, CAST(CASE form WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 5 END AS INTEGER) AS stage FROM q WHERE form < 4""")
 def matched_names(spark, sf):
-    """Free texts to companies, by the best stage; a part that two companies have names none."""
-    companies = spark.createDataFrame(_LISTED, "code string, name string, spelled string, initials string")
-    return text.match_names(spark.createDataFrame([(q,) for q, _, _ in _ASKED], "query string"), companies)
+    """Free texts on each order's customer to customers, by the best stage: a code, a whole name in the text, the name, its beginning, none."""
+    c = table(spark, sf, "customer").select(F.concat(F.lit("K"), "c_custkey", F.lit("Z")).alias("code"), F.col("c_name").alias("name"), "c_custkey")
+    o = _orders(spark, sf).select("id", F.col("o_custkey").alias("c_custkey")).join(c, "c_custkey")
+    stem = F.lower(F.expr("substring(name, 1, length(name) - 1)"))
+    form = lambda n: F.col("id") % 5 == n
+    said = F.when(form(0), F.concat("code", F.lit("怎么样"))).when(form(1), F.concat(F.lit("看看"), "name", F.lit("的财报"))).when(form(2), F.lower("name")).when(form(3), stem)
+    return text.match_names(o.select(said.otherwise(F.concat(F.lit("第"), "id", F.lit("家"))).alias("query")), c.select("code", "name"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN k = 0 THEN concat('净利润', v, '亿元[P', a, ']，财务费用减少', w, '亿元[P', b, ']。') WHEN k = 1 THEN concat('净利润', v, '亿元[P', a, ']，财务费用减少', w, '亿元[P', b, ']。')
+  ELSE concat('净利润有所增长[P', a, ']；财务费用下降[P', b, ']。') END AS answer FROM (SELECT o_orderkey, o_orderkey % 3 AS k, o_orderkey % 300 + 1 AS a, o_orderkey % 200 + 301 AS b, printf('%.2f', (o_orderkey % 9000 + 1000) / 100.0) AS v, 1000000 + o_orderkey AS w FROM orders)""")
+def placed_citations(spark, sf):
+    """Marks of evidence as marks of pages: inside the text, dealt from a pile to numbers, and to clauses."""
+    v, w = F.format_string("%.2f", (_id() % 9000 + 1000) / 100), (_id() + 1000000).cast("string")
+    k = _id() % 3
+    text_of = F.when(k < 2, F.concat(F.lit("净利润"), v, F.lit("亿元"), F.when(k == 0, "【E1】").otherwise(""), F.lit("，财务费用减少"), w, F.lit("亿元。"))).otherwise("净利润有所增长；财务费用下降。")
+    answer = F.concat(text_of, F.when(k == 0, " [E 2]【E9】").otherwise("【E1】【E2】"))
+    one = F.struct(F.lit("E1").alias("id"), (_id() % 300 + 1).cast("int").alias("page"), F.when(k < 2, F.concat(F.lit("净利润"), v)).otherwise("净利润上升").alias("quote"), F.lit("r").alias("report"))
+    two = F.struct(F.lit("e2").alias("id"), (_id() % 200 + 301).cast("int").alias("page"), F.when(k < 2, F.concat(F.lit("财务费用"), w)).otherwise("财务费用").alias("quote"), F.lit("r").alias("report"))
+    return _orders(spark, sf).select("id", marks.with_page_marks(answer, F.array(one, two)).alias("answer"))
 
 
 @query("SELECT p_partkey, contains(lower(p_name || ' ' || p_type), 'a') AND contains(lower(p_name || ' ' || p_type), 'steel') AS has FROM part")

@@ -138,41 +138,60 @@ def expected_periods(spark: SparkSession, today: str, since: str = "2025Q1") ->
 
 
 def freshness(at: Column, now: Column) -> Column:
-    """Minutes, hours or days since an instant."""
-    minutes = F.timestamp_diff("MINUTE", at, now)
-    return F.when(minutes < 60, F.format_string("%d 分钟前", minutes)).when(minutes < 1440, F.format_string("%d 小时前", F.floor(minutes / 60))).otherwise(
-        F.format_string("%d 天前", F.floor(minutes / 1440))
-    )
+    """Minutes, hours or days since an instant, minutes rounded and none below 0; without one that nothing was fetched yet."""
+    minutes = F.greatest(F.lit(0), F.floor(F.timestamp_diff("MICROSECOND", at, now) / 60e6 + 0.5))
+    said = F.when(minutes < 60, F.format_string("%d 分钟前", minutes)).when(minutes < 1440, F.format_string("%d 小时前", F.floor(minutes / 60)))
+    return F.when(at.isNull(), "尚未抓取").otherwise(said.otherwise(F.format_string("%d 天前", F.floor(minutes / 1440))))
 
 
 def updated_today(at: Column, now: Column) -> Column:
-    return F.date_trunc("day", at) == F.date_trunc("day", now)
+    return F.coalesce(F.date_trunc("day", at) == F.date_trunc("day", now), F.lit(False))
 
 
 def updated_this_week(at: Column, now: Column) -> Column:
-    return (F.timestamp_diff("DAY", at, now) < 7) & (at <= now)
+    """Whether an instant is no more than seven days ago, the seventh included."""
+    return F.coalesce(F.timestamp_diff("MICROSECOND", at, now) <= 7 * 86400 * 1_000_000, F.lit(False))
+
+
+def download_wait(index: Column, pause_s: Column, gate_s: Column, failed_s: Column, slots_full: Column, automatic: Column, backoff_s: int = 30) -> Column:
+    """``seconds, reason`` of a queued download: the larger of what is left of a failure's pause and of the gate, and a pause for each
+    before it. failed_s: seconds since it failed, null if it did not. Nothing waits a known time while downloads are off or, but for
+    failed ones, all slots are taken; no seconds where it can begin at once."""
+    failed, first = failed_s.isNotNull(), index == 0
+    pause = F.greatest(F.lit(1), F.floor(pause_s + 0.5))
+    left = F.greatest(F.lit(0), F.ceil(backoff_s - F.coalesce(failed_s, F.lit(float(backoff_s)))))
+    wait = F.greatest(left, F.greatest(F.lit(0.0), gate_s)) + index * pause
+    seconds, place = F.when(wait > 0, wait).cast("double"), F.format_string("排队第 %d 位", index + 1)
+    shown = F.regexp_replace(wait.cast("string"), r"\.0$", "")
+    reason = (
+        F.when(~automatic, "自动抓取已关：排队任务暂不开始下载").when(slots_full & ~failed, F.when(first, "等待下载槽空闲").otherwise(place))
+        .when(failed, F.when(wait > 0, F.concat(F.lit("上次失败，"), shown, F.lit("s 后重试"))).otherwise("上次失败，即将重试"))
+        .otherwise(F.when(wait > 0, F.concat(F.lit("约 "), shown, F.lit("s 后可下载"))).when(first, "即将领取").otherwise(place))
+    )
+    return F.struct(F.when(automatic & (~slots_full | failed), seconds).alias("seconds"), reason.alias("reason"))
 
 
-def download_wait(index: Column, pause_s: Column, gate_s: Column, failed_s: Column, backoff_s: float = 30) -> Column:
-    """Seconds until a queued download begins: what is left of a failure's pause and of the gate, and a pause for each before it."""
-    return F.greatest(F.lit(0.0), backoff_s - failed_s) + F.greatest(F.lit(0.0), gate_s) + index * pause_s
+# How a kind of report is asked for, in the order in which it is looked for, and the period's ending.
+KINDS = (
+    (r"(?i)半年报|半年度|中报|(?<![A-Za-z0-9])H1(?![A-Za-z0-9])", "H1"), (r"(?i)三季报|第三季度|(?<![A-Za-z0-9])Q3(?![A-Za-z0-9])", "Q3"), (r"(?i)一季报|第一季度|(?<![A-Za-z0-9])Q1(?![A-Za-z0-9])", "Q1"),
+    (r"(?i)二季报|第二季度|(?<![A-Za-z0-9])Q2(?![A-Za-z0-9])", "Q2"), ("季报|季度", ""), (r"(?i)年度报告|(?<![半中])年报|(?<![A-Za-z0-9])FY(?![A-Za-z0-9])", "FY"),
+)
+YEAR, SHORT_YEAR, BARE_YEAR = r"(20\d{2})\s*年", r"(?:^|[^\d])(\d{2})\s*年", r"(?<![A-Za-z0-9_])(20\d{2})(?![A-Za-z0-9_])"
 
 
 def period_hint(question: Column, today: Column) -> Column:
-    """The period a free text asks for: a token as such, or a year (this, last, the one before, 2 or 4 digits) and a kind."""
+    """The period a free text asks for: a token as such, or a year (four digits with 年, two digits, four alone, this, last, the one before)
+    and a kind; a quarter without its number is no period."""
     token = F.upper(F.regexp_extract(question, r"(?i)(20\d{2}(?:FY|H1|Q[1-3]))", 1))
-    this = F.year(today)
-    long, short = F.regexp_extract(question, r"(20\d{2})", 1).try_cast("int"), F.regexp_extract(question, r"(?<!\d)(\d{2})\s*年", 1).try_cast("int")
+    this, short = F.year(today), F.regexp_extract(question, SHORT_YEAR, 1).try_cast("int")
     year = F.coalesce(
-        long, F.when(short >= 80, short + 1900).otherwise(short + 2000),
+        F.regexp_extract(question, YEAR, 1).try_cast("int"), F.when(short >= 80, short + 1900).otherwise(short + 2000), F.regexp_extract(question, BARE_YEAR, 1).try_cast("int"),
         F.when(question.contains("今年"), this).when(question.contains("去年"), this - 1).when(question.contains("前年"), this - 2),
     )
-    kind = (
-        F.when(question.rlike("半年报|半年度|中报|中期"), "H1").when(question.rlike("一季|第一季|Q1"), "Q1").when(question.rlike("三季|第三季|Q3"), "Q3")
-        .when(question.rlike("二季|Q2"), "H1").when(question.rlike("年报|年度"), "FY")
-    )
-    made = F.when(year.isNotNull() & kind.isNotNull(), F.concat(year.cast("string"), kind))
-    return F.coalesce(F.nullif(token, F.lit("")), made)
+    kind = F.lit(None).cast("string")
+    for pattern, ending in reversed(KINDS):
+        kind = F.when(question.rlike(pattern), F.lit(ending or None)).otherwise(kind)
+    return F.coalesce(F.nullif(token, F.lit("")), F.concat(year.cast("string"), kind))
 
 
 def matches_hint(period: Column, hint: Column) -> Column:

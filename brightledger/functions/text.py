@@ -193,7 +193,7 @@ def asks(question: Column) -> Column:
 
 
 # Words in titles that call for attention, longer ones first.
-ATTENTION = "退市风险警示|非标准审计意见|前期差错更正|会计差错更正|延期披露|更正公告|补充公告|取消|更正|修订|补充"
+ATTENTION = "业绩快报|风险提示|问询函|关注函|预告|更正|修订|补充|取消|摘要"
 
 
 def attention(title: Column) -> Column:
@@ -279,11 +279,11 @@ def parse_verdict(text: Column) -> Column:
 
 
 def error_text(error: Column) -> Column:
-    """A queue's error as people read it."""
+    """A queue's last error as people read it: without its prefix, some in words, others as they are; null for none."""
+    said = F.trim(F.regexp_replace(error, r"(?i)^Error:\s*", ""))
     return (
-        F.when(error.isNull() | (F.trim(error) == ""), "").when(error.rlike("(?i)timeout|timed out|ETIMEDOUT"), "处理超时，稍后自动重试")
-        .when(error.rlike("(?i)ECONN|network|fetch failed|socket"), "网络异常，稍后自动重试").when(error.rlike("(?i)404|not found"), "原文件不存在")
-        .when(error.rlike("(?i)pdf"), "PDF 解析失败").otherwise(F.substring(error, 1, 80))
+        F.when(said.isNull() | (said == ""), None).when(said.rlike("(?i)Downloaded object is not a PDF"), "下载内容不是 PDF").when(said.contains("交易所拦截了 PDF"), "交易所拦截了 PDF 下载")
+        .when(said.rlike(r"(?i)^PDF \d+$"), F.concat(F.lit("PDF 请求失败（"), F.regexp_extract(said, r"(\d+)$", 1), F.lit("）"))).otherwise(said)
     )
 
 

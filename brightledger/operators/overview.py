@@ -98,21 +98,41 @@ def overview(rows: DataFrame, reviews: DataFrame) -> DataFrame:
     return judged.withColumn("abnormal", F.coalesce(abnormal, F.lit(False)))
 
 
+# How far a period is collected; a failed filing ranks last.
+COLLECTED = {"parsed": 6, "parsed_partial": 5, "downloaded": 4, "discovered": 3, "expected": 2, "failed": 1}
+MOST_PERIODS = 1000
+
+
+def collected(status: Column, has_metrics: Column, complete: Column, has_file: Column) -> Column:
+    """A filing's state of collection by its status, its metrics and its stored file."""
+    done = status.isin("review", "online")
+    return (
+        F.when(status.isin("parse_parked", "parse_failed"), "failed").when(status == "parse_partial", "parsed_partial").when(done & has_metrics & ~complete, "parsed_partial")
+        .when(has_metrics | done, "parsed").when(has_file | status.isin("downloaded", "parsing"), "downloaded").when(status != "", "discovered").otherwise("expected")
+    )
+
+
 def period_states(filings: DataFrame, calendar: DataFrame, companies: DataFrame) -> DataFrame:
-    """Each company's state for each expected period: the farthest state of its filings, or expected; the newest is marked.
+    """``code, period, period_rank, state, status, id, is_latest``: the farthest state of a company's filings of each period, and what the
+    calendar expects where there is no filing at all; the newest expected period is marked.
 
-    A failed filing ranks below one that is merely expected.
+    ``filings`` have ``code, period, status, published_at, id`` and may have the flags ``has_metrics, complete, has_file``. Of equal states
+    the filing published last goes first. Periods that are no tokens are left out. The calendar has ``MOST_PERIODS`` periods at most.
     """
-    order = {"failed": 1, "expected": 2, **{s: 2 + w for s, w in STATUS_WEIGHT.items()}}
-    rank = F.lit(0)
-    for s, n in order.items():
-        rank = F.when(F.col("status") == s, n).otherwise(rank)
-    # a calendar has a few dozen periods
-    due = companies.select("code").crossJoin(F.broadcast(calendar.select("period", "period_rank")))
-    due = due.select("code", "period", "period_rank", F.lit("expected").alias("status"), F.lit(None).cast("timestamp").alias("published_at"), F.lit("").alias("id"))
-    held = filings.select("code", "period", periods.rank_of(F.col("period")).alias("period_rank"), "status", "published_at", "id")
-    best = first_rows(held.unionByName(due).withColumn("__rank", rank), ["code", "period"], [F.desc("__rank"), F.desc_nulls_last("published_at"), "id"]).drop("__rank")
-    return best.withColumn("is_latest", F.col("period_rank") == F.max("period_rank").over(Window.partitionBy("code")))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in filings.columns else F.lit(False)
+    due = [(r["period"], r["period_rank"]) for r in calendar.select("period", "period_rank").limit(MOST_PERIODS + 1).collect()]
+    if len(due) > MOST_PERIODS:
+        raise ValueError(f"a calendar of more than {MOST_PERIODS} periods")
+    state = collected(F.coalesce("status", F.lit("")), flag("has_metrics"), flag("complete"), flag("has_file"))
+    rows = filings.filter(F.col("period").rlike("^20[0-9]{2}(FY|H1|Q[1-3])$")).select("code", "period", periods.rank_of(F.col("period")).alias("period_rank"), state.alias("state"), "status", "published_at", "id")
+    weight = F.create_map(*[F.lit(x) for pair in COLLECTED.items() for x in pair])[F.col("state")]
+    best = first_rows(rows, ["code", "period"], [F.desc(weight), F.desc_nulls_last("published_at"), "id"]).drop("published_at")
+    expected = F.array(*[F.struct(F.lit(p).alias("period"), F.lit(r).alias("period_rank")) for p, r in due]) if due else F.array().cast("array<struct<period: string, period_rank: int>>")
+    absent = companies.select("code", F.inline(expected)).join(best.select("code", "period"), ["code", "period"], "left_anti")
+    kinds = dict(best.dtypes)
+    absent = absent.select("code", "period", F.col("period_rank").cast(kinds["period_rank"]), F.lit("expected").alias("state"), *[F.lit(None).cast(kinds[c]).alias(c) for c in ("status", "id")])
+    newest = max(due, key=lambda d: d[1])[0] if due else None
+    return best.unionByName(absent).withColumn("is_latest", F.coalesce(F.col("period") == F.lit(newest), F.lit(False)))
 
 
 def readiness(reports: DataFrame, metrics: DataFrame, pages: DataFrame) -> DataFrame:

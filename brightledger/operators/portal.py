@@ -267,6 +267,6 @@ def snapshot(states: DataFrame, metrics: DataFrame, companies: DataFrame, latest
     shown = display_period(states).select("code", "period", "state", "id")
     wide = metrics.groupBy("id").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in HEADLINE])
     parsed = F.col("state").isin(*PARSED)
-    counts = states.groupBy("code").agg(F.count_if(parsed).alias("n_parsed"), F.max(parsed & (F.col("period") == latest)).alias("has_latest"))
+    counts = states.groupBy("code").agg(F.count_if(parsed).alias("n_parsed"), F.max(~F.col("state").isin("expected", "discovered") & (F.col("period") == latest)).alias("has_latest"))
     both = companies.select("code").join(shown, "code", "left").join(counts, "code", "left").join(wide, "id", "left")
     return both.select("code", "period", F.coalesce("state", F.lit("expected")).alias("state"), *HEADLINE, F.coalesce("n_parsed", F.lit(0)).alias("n_parsed"), (~F.coalesce("has_latest", F.lit(False))).alias("latest_missing"))

@@ -323,15 +323,21 @@ def peer_growth(spark, sf):
     return overview.peers(reports, wide).select("id", "industry", "period", "revenue_growth", "n_peers", "rank")
 
 
-@query(f"""WITH {_F}, due AS (SELECT y || s AS period FROM range(2020, 2022) t(y), (VALUES ('Q1'), ('H1'), ('Q3'), ('FY')) u(s)), h AS (SELECT code, period, CASE WHEN state = 'failed' THEN 'failed' WHEN state = 'downloaded' THEN 'downloaded' ELSE 'online' END AS status, CAST(id AS VARCHAR) AS id, published_at AS seen FROM f
- UNION ALL SELECT c_custkey, period, 'expected', '', NULL FROM customer, due),
- b AS (SELECT *, {_PERIOD_RANK} AS period_rank FROM h QUALIFY row_number() OVER (PARTITION BY code, period ORDER BY CASE status WHEN 'failed' THEN 1 WHEN 'expected' THEN 2 WHEN 'downloaded' THEN 5 ELSE 8 END DESC, seen DESC NULLS LAST, id) = 1)
- SELECT code, period, status, id, period_rank = max(period_rank) OVER (PARTITION BY code) AS is_latest FROM b""")
+_STATUSES = ("parse_failed", "parse_parked", "parsing", "downloaded", "online", "review", "parse_partial", "discovered", "")
+_COLLECTED = ("failed", "failed", "downloaded", "downloaded", "parsed", "parsed", "parsed_partial", "discovered", "expected")
+
+
+@query(f"""WITH {_F}, due AS (SELECT y || s AS period FROM range(2020, 2022) t(y), (VALUES ('Q1'), ('H1'), ('Q3'), ('FY')) u(s)),
+ h AS (SELECT code, period, id, published_at, id % 11 = 0 AS partial, [{", ".join(f"'{x}'" for x in _COLLECTED)}][id % {len(_STATUSES)} + 1] AS plain FROM f),
+ g AS (SELECT *, CASE WHEN partial AND plain IN ('parsed', 'parsed_partial') THEN 'parsed_partial' WHEN partial AND plain <> 'failed' THEN 'parsed' ELSE plain END AS state FROM h),
+ b AS (SELECT code, period, state, id FROM g QUALIFY row_number() OVER (PARTITION BY code, period ORDER BY list_position(['failed', 'expected', 'discovered', 'downloaded', 'parsed_partial', 'parsed'], state) DESC, published_at DESC, id) = 1)
+ SELECT code, period, state, id, period = '2021FY' AS is_latest FROM b
+ UNION ALL SELECT c_custkey, period, 'expected', NULL, period = '2021FY' FROM customer, due WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.code = c_custkey AND b.period = due.period)""")
 def company_states(spark, sf):
-    """The state of each company and period, with what the calendar expects of 2020 and 2021."""
-    f = _filings(spark, sf).withColumn("id", F.col("id").cast("string")).withColumn("status", F.when(F.col("state").isin("failed", "downloaded"), F.col("state")).otherwise("online"))
+    """The state of each company and period, with what the calendar expects of 2020 and 2021; every eleventh filing has some metrics only."""
+    f = _filings(spark, sf).withColumn("status", _turn(_STATUSES)).withColumn("has_metrics", F.col("id") % 11 == 0).withColumn("complete", F.lit(False))
     calendar = periods.expected_periods(spark, "2022-01-15", since="2020Q1")
-    return overview.period_states(f, calendar, table(spark, sf, "customer").select(F.col("c_custkey").alias("code"))).select("code", "period", "status", "id", "is_latest")
+    return overview.period_states(f, calendar, table(spark, sf, "customer").select(F.col("c_custkey").alias("code"))).select("code", "period", "state", "id", "is_latest")
 
 
 @query("""WITH n AS (SELECT o_orderkey AS k, o_custkey AS code, o_orderdate AS d, CASE o_orderkey % 3 WHEN 0 THEN 'SSE' WHEN 1 THEN 'CNINFO' ELSE 'BSE' END AS source FROM orders WHERE o_custkey % 3 <> 0 AND o_orderdate >= DATE '1995-01-01' AND o_orderkey % 5 <> 0),
@@ -413,7 +419,7 @@ def amounts_in_words(spark, sf):
 
 @query(f"""WITH {_F}, s AS (SELECT code, period, state, id FROM f QUALIFY row_number() OVER (PARTITION BY code, period ORDER BY id) = 1),
  d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE WHEN state IN ('parsed', 'parsed_partial') THEN 100 WHEN state = 'downloaded' THEN 40 WHEN state = 'discovered' THEN 30 WHEN state = 'failed' THEN 20 ELSE 10 END DESC, {_PERIOD_RANK} DESC, period) = 1),
- n AS (SELECT code, count(*) FILTER (WHERE state IN ('parsed', 'parsed_partial')) AS n_parsed, bool_or(state IN ('parsed', 'parsed_partial') AND period = '2022FY') AS l FROM s GROUP BY 1)
+ n AS (SELECT code, count(*) FILTER (WHERE state IN ('parsed', 'parsed_partial')) AS n_parsed, bool_or(state NOT IN ('expected', 'discovered') AND period = '2022FY') AS l FROM s GROUP BY 1)
  SELECT c_custkey AS code, d.period, coalesce(d.state, 'expected') AS state, o_totalprice AS revenue, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 10 END AS net_profit, CAST(NULL AS DOUBLE) AS eps, CAST(NULL AS DOUBLE) AS roe, coalesce(n_parsed, 0) AS n_parsed, NOT coalesce(l, false) AS latest_missing
  FROM customer LEFT JOIN d ON d.code = c_custkey LEFT JOIN n ON n.code = c_custkey LEFT JOIN orders ON o_orderkey = d.id""")
 def crawl_snapshot(spark, sf):

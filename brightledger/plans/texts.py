@@ -93,12 +93,14 @@ def questions(spark, sf):
     return _orders(spark, sf).select("id", text.without_noise(q).alias("subject"), text.asks(q).alias("is_question"))
 
 
-_TITLES = ("关于前期差错更正及补充公告", "年度报告（修订）", "年度报告", "取消召开公告")
+_TITLES = ("问询函", "风险提示", "", "业绩快报", "关注函", "预告", "摘要")
 
 
-@query(_fixed("words", _TITLES, ("前期差错更正,补充公告", "修订", "", "取消")))
+@query(f"SELECT o_orderkey AS id, array_to_string(list_filter([{_of(_TITLES)}, CASE WHEN o_orderkey % 2 = 0 THEN '更正' END, {_of(('', '取消', '补充', '修订', ''))}], lambda x: x <> ''), ',') AS words FROM orders")
 def attention_words(spark, sf):
-    return _orders(spark, sf).select("id", F.array_join(text.attention(_turn(_TITLES)), ",").alias("words"))
+    """Words of titles with each order's state and customer that call for attention."""
+    title = F.concat(F.lit("关于收到"), _turn(_TITLES), F.lit("公告"), F.col("o_orderstatus"), F.when(_id() % 2 == 0, "的更正").otherwise(""), F.col("o_custkey").cast("string"), _turn(("", "取消", "补充", "修订", "")))
+    return _orders(spark, sf).select("id", F.array_join(text.attention(title), ",").alias("words"))
 
 
 _BLANK = r"[\s\x0B\x{A0}\x{3000}]"
@@ -185,12 +187,13 @@ def parsed_verdicts(spark, sf):
     return rows.select("id", F.col("v.summary").alias("summary"), F.col("v.confidence").alias("confidence"), points.alias("points"), "has_json")
 
 
-_ERRORS = (None, "Request timed out", "ECONNRESET", "HTTP 404", "bad PDF header", "other")
+_ERRORS = (None, "Error: ", "error: Downloaded object is not a pdf today", "交易所拦截了 PDF，请稍后", "PDF ", "Error:PDF ", "failed ")
 
 
-@query(_fixed("said", _ERRORS, ("", "处理超时，稍后自动重试", "网络异常，稍后自动重试", "原文件不存在", "PDF 解析失败", "other")))
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 2 THEN '下载内容不是 PDF' WHEN 3 THEN '交易所拦截了 PDF 下载' WHEN 4 THEN 'PDF 请求失败（' || o_custkey || '）' WHEN 5 THEN 'PDF 请求失败（' || o_custkey || '）' WHEN 6 THEN 'failed ' || o_custkey END AS said FROM orders""")
 def errors_in_words(spark, sf):
-    return _orders(spark, sf).select("id", text.error_text(_turn(_ERRORS)).alias("said"))
+    raw = F.concat(_turn(_ERRORS), F.when(_id() % 7 >= 4, F.col("o_custkey").cast("string")).otherwise(""))
+    return _orders(spark, sf).select("id", text.error_text(raw).alias("said"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'Revenue?|Margin|Debt' ELSE 'Margin|Debt|Cash' END AS texts FROM orders")
@@ -212,29 +215,38 @@ def latest_expected(spark, sf):
     return _orders(spark, sf).select("id", periods.latest_expected(F.col("o_orderdate")).alias("latest"))
 
 
-_HINTS = ("2024h1 怎么样", "去年年报", "23年一季报", "今年三季度", "前年半年报", "99年年报", "没有")
+_HINTS = ("%sh1 怎么样", "去年年报%s", "99年年报", "%s年第二季度", "今年季报", "前年半年报", "看%s二季报", "%s Q3", "%s年中报", "没有", "%s年年度报告")
 
 
-@query("SELECT o_orderkey AS id, " + _of(("2024H1", "2025FY", "2023Q1", "2026Q3", "2024H1", "1999FY", None)) + " AS hint, " + _of((True, False, False, False, True, False, None)) + " AS fits FROM orders")
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 11 WHEN 0 THEN y || 'H1' WHEN 1 THEN y || 'FY' WHEN 2 THEN '1999FY' WHEN 3 THEN y || 'Q2' WHEN 5 THEN '2024H1' WHEN 6 THEN y || 'Q2' WHEN 7 THEN y || 'Q3' WHEN 8 THEN y || 'H1' WHEN 10 THEN y || 'FY' END AS hint,
+ CASE WHEN o_orderkey % 11 IN (4, 9) THEN NULL WHEN o_orderkey % 11 = 5 THEN true ELSE o_orderkey % 11 IN (0, 3, 6, 8) AND y = '2024' END AS fits FROM (SELECT o_orderkey, CAST(year(o_orderdate) + 28 AS VARCHAR) AS y FROM orders)""")
 def period_hints(spark, sf):
     """The period a free text asks for, on a day of 2026, and whether 2024Q2 is that."""
-    hint = periods.period_hint(_turn(_HINTS), F.lit("2026-05-01").cast("date"))
+    asked = F.replace(_turn(_HINTS), F.lit("%s"), (F.year("o_orderdate") + 28).cast("string"))
+    hint = periods.period_hint(asked, F.lit("2026-05-01").cast("date"))
     return _orders(spark, sf).select("id", hint.alias("hint"), periods.matches_hint(F.lit("2024Q2"), hint).alias("fits"))
 
 
-@query("""SELECT event_id, CASE WHEN m < 60 THEN m || ' 分钟前' WHEN m < 1440 THEN (m // 60) || ' 小时前' ELSE (m // 1440) || ' 天前' END AS fresh, date_trunc('day', ts) = DATE '2024-03-01' AS today, ts <= TIMESTAMP '2024-03-01 12:00:00' AND s // 86400 < 7 AS this_week
- FROM (SELECT event_id, ts, s, s // 60 AS m FROM (SELECT event_id, ts, CAST(floor(epoch(TIMESTAMP '2024-03-01 12:00:00') - epoch(ts)) AS BIGINT) AS s FROM events WHERE ts <= TIMESTAMP '2024-03-01 12:00:00'))""")
+@query("""SELECT event_id, CASE WHEN ts IS NULL THEN '尚未抓取' WHEN m < 60 THEN m || ' 分钟前' WHEN m < 1440 THEN (m // 60) || ' 小时前' ELSE (m // 1440) || ' 天前' END AS fresh, coalesce(date_trunc('day', ts) = DATE '2024-03-01', false) AS today, coalesce(ts >= TIMESTAMP '2024-02-23 12:00:00', false) AS this_week
+ FROM (SELECT event_id, ts, greatest(0, CAST(floor((epoch_us(TIMESTAMP '2024-03-01 12:00:00') - epoch_us(ts)) / 60e6 + 0.5) AS BIGINT)) AS m FROM (SELECT event_id, CASE WHEN event_id % 50 > 0 THEN ts END AS ts FROM events))""")
 def freshness(spark, sf):
     from brightledger.sources.tables import events_with_time
 
     now = F.lit("2024-03-01 12:00:00").cast("timestamp")
-    e = events_with_time(spark, sf).filter(F.col("ts") <= now)
+    e = events_with_time(spark, sf).withColumn("ts", F.when(F.col("event_id") % 50 > 0, F.col("ts")))
     return e.select("event_id", periods.freshness(F.col("ts"), now).alias("fresh"), periods.updated_today(F.col("ts"), now).alias("today"), periods.updated_this_week(F.col("ts"), now).alias("this_week"))
 
 
-@query("SELECT o_orderkey AS id, CAST(greatest(0.0, 30 - o_orderkey % 60) + greatest(0.0, o_orderkey % 9 - 4.0) + o_orderkey % 5 * 8.0 AS DOUBLE) AS seconds FROM orders")
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 5 AS i, o_orderkey % 9 - 4 AS gate, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 60 END AS ago, o_orderkey % 7 = 0 AS full_, o_orderkey % 13 > 0 AS auto_ FROM orders),
+ w AS (SELECT *, greatest(CASE WHEN ago < 30 THEN 30 - ago ELSE 0 END, CASE WHEN gate > 0 THEN gate ELSE 0 END) + i * 8 AS w FROM o)
+ SELECT id, CAST(CASE WHEN auto_ AND (NOT full_ OR ago IS NOT NULL) AND w > 0 THEN w END AS DOUBLE) AS seconds,
+  CASE WHEN NOT auto_ THEN '自动抓取已关：排队任务暂不开始下载' WHEN full_ AND ago IS NULL THEN CASE WHEN i = 0 THEN '等待下载槽空闲' ELSE '排队第 ' || (i + 1) || ' 位' END
+   WHEN ago IS NOT NULL THEN CASE WHEN w > 0 THEN '上次失败，' || w || 's 后重试' ELSE '上次失败，即将重试' END WHEN w > 0 THEN '约 ' || w || 's 后可下载' WHEN i = 0 THEN '即将领取' ELSE '排队第 ' || (i + 1) || ' 位' END AS reason FROM w""")
 def download_waits(spark, sf):
-    return _orders(spark, sf).select("id", periods.download_wait(_id() % 5, F.lit(8.0), _id() % 9 - 4.0, (_id() % 60).cast("double")).alias("seconds"))
+    """How long queued downloads wait, and why."""
+    ago = F.when(_id() % 3 == 0, (_id() % 60).cast("double"))
+    wait = periods.download_wait(_id() % 5, F.lit(7.5), _id() % 9 - 4.0, ago, _id() % 7 == 0, _id() % 13 > 0)
+    return _orders(spark, sf).select("id", wait["seconds"].alias("seconds"), wait["reason"].alias("reason"))
 
 
 @query(f"""SELECT o_orderkey AS id, coalesce(CASE WHEN kind IS NOT NULL THEN '2020' || kind END, '1999FY') AS period FROM (SELECT o_orderkey, {_of(("FY", "H1", "Q1", None))} AS kind FROM orders)""")

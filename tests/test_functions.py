@@ -113,9 +113,9 @@ def test_texts(spark):
     s = F.lit
     r = one(spark, a=text.clip(s("一二三四五"), 4), b=text.industry_of(s("某某银行股份有限公司")), c=text.name_variants(s("贵州茅台酒股份有限公司")), d=text.chinese_number(s("一千零二十三")),
             e=text.chinese_number(s("十五")), f=text.unwrap_json(s('<think>x</think>```json\n{"a":1}\n```')), g=text.cited(s("甲【E2】乙【E1】丙【E2】")), h=text.attention(s("关于更正公告的补充")),
-            i=text.page_citations(s("甲【E2】乙【E9】"), F.create_map(s("2"), s(7))), j=text.error_text(s("connect ETIMEDOUT")), m=text.without_noise(s("请问茅台的财报怎么样？")))
+            i=text.page_citations(s("甲【E2】乙【E9】"), F.create_map(s("2"), s(7))), j=text.error_text(s("Error: PDF 503")), m=text.without_noise(s("请问茅台的财报怎么样？")))
     assert (r.a, r.b, r.c, r.d, r.e) == ("一二三…", "银行", ["贵州茅台酒股份有限公司", "贵州茅台酒"], 1023, 15)
-    assert (r.f, r.g, r.h, r.i, r.j, r.m) == ('{"a":1}', ["2", "1"], ["更正公告", "补充"], "甲[P7]乙", "处理超时，稍后自动重试", "茅台")
+    assert (r.f, r.g, r.h, r.i, r.j, r.m) == ('{"a":1}', ["2", "1"], ["更正", "补充"], "甲[P7]乙", "PDF 请求失败（503）", "茅台")
     v = one(spark, v=text.parse_verdict(s('{"summary": "好", "confidence": 7, "points": [{"title": "t", "text": "x", "page": 1}, {"title": "", "text": "y"}]}')), n=text.parse_verdict(s('{"summary": " "}')))
     assert v.v.summary == "好" and v.v.confidence == 1 and len(v.v.points) == 1 and v.n is None
     a = lambda *x: F.array(*map(s, x))
@@ -128,3 +128,27 @@ def test_names(spark):
     asked = spark.createDataFrame([("600519怎么样",), ("茅台",), ("平安银行",), ("平安",), ("看中国平安年报",), ("国酒",), ("无名",)], "query string")
     got = {r["query"]: (r.code, r.stage) for r in text.match_names(asked, companies, aliases).collect()}
     assert got == {"600519怎么样": ("600519", 1), "茅台": ("600519", 3), "平安银行": ("000001", 2), "平安": ("601318", 3), "看中国平安年报": ("601318", 2), "国酒": ("600519", 3)}
+
+
+def test_waits(spark):
+    wait = lambda i, pause, gate, ago, full=False, auto=True: periods.download_wait(F.lit(i), F.lit(pause), F.lit(gate), F.lit(ago).cast("double"), F.lit(full), F.lit(auto))
+    r = one(spark, a=wait(0, 8.0, 10.0, 10.0), b=wait(2, 0.2, 0.0, None), c=wait(0, 8.0, -3.0, None), d=wait(0, 8.0, 0.0, None, True), e=wait(1, 8.0, 0.0, None, True), f=wait(0, 8.0, 0.0, 40.0, True), g=wait(0, 8.0, 5.0, None, False, False))
+    assert [tuple(x) for x in r] == [
+        (20.0, "上次失败，20s 后重试"), (2.0, "约 2s 后可下载"), (None, "即将领取"), (None, "等待下载槽空闲"), (None, "排队第 2 位"), (None, "上次失败，即将重试"), (None, "自动抓取已关：排队任务暂不开始下载"),
+    ]
+
+
+def test_freshness(spark):
+    t = lambda x: F.lit(x).cast("timestamp")
+    now = t("2024-03-08 12:00:00")
+    r = one(
+        spark, a=periods.freshness(t("2024-03-08 11:58:31"), now), b=periods.freshness(t("2024-03-08 11:58:29"), now), c=periods.freshness(t("2024-03-08 13:00:00"), now), d=periods.freshness(t(None), now),
+        e=periods.freshness(t("2024-03-08 11:00:30"), now), f=periods.updated_this_week(t("2024-03-01 12:00:00"), now), g=periods.updated_this_week(t("2024-03-01 11:59:59"), now), h=periods.updated_today(t(None), now),
+    )
+    assert tuple(r) == ("1 分钟前", "2 分钟前", "0 分钟前", "尚未抓取", "1 小时前", True, False, False)
+
+
+def test_hints(spark):
+    asked = {"2025年H1": "2025H1", "25年二季报": "2025Q2", "季报": None, "今年季报": None, "2024年半年报": "2024H1", "83年年报": "1983FY", "2024 年报": "2024FY", "x2026q1": "2026Q1", "去年FY": "2025FY", None: None}
+    rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", periods.period_hint(F.col("q"), F.lit("2026-05-01").cast("date")).alias("h")).collect()
+    assert {r["q"]: r["h"] for r in rows} == asked

@@ -92,9 +92,16 @@ def test_reconcile(spark):
 def test_period_states(spark):
     from brightledger.functions.periods import expected_periods
 
-    filings = spark.createDataFrame([("1", "2025Q1", "failed", None, "a"), ("1", "2025H1", "downloaded", None, "b"), ("1", "2025H1", "online", None, "c")], "code string, period string, status string, published_at timestamp, id string")
-    got = {(r.code, r.period): (r.status, r.is_latest) for r in overview.period_states(filings, expected_periods(spark, "2025-11-02"), spark.createDataFrame([("1",), ("2",)], "code string")).collect()}
-    assert got == {("1", "2025Q1"): ("expected", False), ("1", "2025H1"): ("online", False), ("1", "2025Q3"): ("expected", True), ("2", "2025Q1"): ("expected", False), ("2", "2025H1"): ("expected", False), ("2", "2025Q3"): ("expected", True)}
+    schema = "code string, period string, status string, published_at string, id string, has_metrics boolean, complete boolean"
+    rows = [
+        ("1", "2025Q1", "parse_failed", None, "a", None, None), ("1", "2025H1", "downloaded", None, "b", None, None), ("1", "2025H1", "online", None, "c", True, False), ("1", "2024FY", "parsing", "2", "d", None, None),
+        ("1", "2024FY", "parse_parked", "3", "e", None, None), ("1", "最新", "online", None, "f", None, None), ("2", "2025Q3", "review", "1", "g", True, True), ("2", "2025Q3", "online", "2", "h", True, True), ("2", "2026Q1", "new", None, "i", None, None),
+    ]
+    got = {(r.code, r.period): (r.state, r.id, r.is_latest) for r in overview.period_states(spark.createDataFrame(rows, schema), expected_periods(spark, "2025-11-02"), spark.createDataFrame([("1",), ("2",)], "code string")).collect()}
+    assert got == {
+        ("1", "2025Q1"): ("failed", "a", False), ("1", "2025H1"): ("parsed_partial", "c", False), ("1", "2025Q3"): ("expected", None, True), ("1", "2024FY"): ("downloaded", "d", False),
+        ("2", "2025Q1"): ("expected", None, False), ("2", "2025H1"): ("expected", None, False), ("2", "2025Q3"): ("parsed", "h", True), ("2", "2026Q1"): ("discovered", "i", False),
+    }
 
 
 def test_discover(spark):

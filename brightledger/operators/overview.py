@@ -188,3 +188,8 @@ def home_order(cards: DataFrame, column: str | None, starred: DataFrame) -> Data
 def moves(changes: DataFrame, limit: float = 30) -> DataFrame:
     """Changes by size, large ones marked."""
     return changes.withColumn("large", F.abs("yoy_pct") >= limit).orderBy(F.desc_nulls_last(F.abs("yoy_pct")), "metric")
+
+
+def by_name(cards: DataFrame, name: str = "name", key: str = "code") -> DataFrame:
+    """Cards in the order of their Chinese names, by readings and not by code points; unnamed ones last."""
+    return cards.orderBy(F.asc_nulls_last(F.collate(F.col(name), "zh")), key)

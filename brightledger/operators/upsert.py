@@ -63,6 +63,30 @@ def replace_children(target: DataFrame, new: DataFrame, parent: str) -> DataFram
     return target.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
 
 
+PARTS = 256
+
+
+def store_children(new: DataFrame, path: str, parent: str, parts: int = PARTS) -> None:
+    """The same for a stored table: only the parts of the table that hold one of the parents are written anew.
+
+    Rows are in partitions by a hash of the parent. What is left of the touched partitions and the new rows is written beside the table
+    first, then takes their place; files of other partitions stay as they are. A run that was lost can be repeated.
+    """
+    spark = new.sparkSession
+    rows = new.withColumn("part", F.pmod(F.xxhash64(parent), F.lit(parts)).cast("int"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        rows.write.partitionBy("part").parquet(path)
+        return
+    touched = [r["part"] for r in rows.select("part").distinct().collect()]  # at most as many as there are parts
+    old = spark.read.parquet(path).filter(F.col("part").isin(touched)).join(new.select(parent).distinct(), parent, "left_anti")
+    beside = f"{path.rstrip('/')}.new"
+    old.unionByName(rows).write.mode("overwrite").partitionBy("part").parquet(beside)
+    spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside), True)
+
+
 def discard(tables: Mapping[str, DataFrame], ids: DataFrame, key: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """Child tables without the discarded parents, and how many rows each lost."""
     left = {k: t.join(ids.select(key), key, "left_anti") for k, t in tables.items()}

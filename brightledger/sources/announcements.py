@@ -26,10 +26,9 @@ SHAPES = {
 }
 
 
-def read_source(spark: SparkSession, source: str, path: str) -> DataFrame:
-    """Rows of one source's saved responses in the common schema; highlighting tags in titles go. A file that does not parse has none."""
-    schema, rows, (key, code, name, title, to_time, at, url) = SHAPES[source]
-    found = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode(rows).alias("r"))
+def rows_of(found: DataFrame, source: str) -> DataFrame:
+    """Rows ``r`` in a source's shape in the common schema; highlighting tags in titles go."""
+    _, _, (key, code, name, title, to_time, at, url) = SHAPES[source]
     kinds = dict(found.select("r.*").dtypes)
     one = lambda c: F.element_at(F.col(f"r.{c}"), 1) if kinds[c].startswith("array") else F.col(f"r.{c}")
     return found.select(
@@ -38,6 +37,12 @@ def read_source(spark: SparkSession, source: str, path: str) -> DataFrame:
     )
 
 
+def read_source(spark: SparkSession, source: str, path: str) -> DataFrame:
+    """Rows of one source's saved responses in the common schema. A file that does not parse has none."""
+    schema, rows, _ = SHAPES[source]
+    return rows_of(spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode(rows).alias("r")), source)
+
+
 def merge(sources: list[DataFrame]) -> DataFrame:
     """All sources, each announcement once by source and id."""
     return union_first_wins([s.select(*COLUMNS) for s in sources], ["source", "source_id"], ["title"]).drop("branch")

@@ -181,10 +181,45 @@ def to_yuan(value: Column, unit: Column) -> Column:
     return half_up(value * scale, 2)
 
 
+def printed(x: Column) -> Column:
+    """A number as people read it: thousands apart, at most two decimals, rounded half up."""
+    return F.call_function("format_number", F.round(x, 2), F.lit("#,##0.##"))
+
+
 def amount_text(yuan: Column) -> Column:
-    """An amount as people read it."""
+    """An amount of yuan in the unit in which people read it."""
     size = F.abs(yuan)
-    return F.when(size >= 1e8, F.format_string("%.2f亿元", yuan / 1e8)).when(size >= 1e6, F.format_string("%.2f万元", yuan / 1e4)).otherwise(F.format_string("%.2f元", yuan))
+    return F.when(size >= 1e8, F.concat(printed(yuan / 1e8), F.lit("亿元"))).when(size >= 1e6, F.concat(printed(yuan / 1e4), F.lit("万元"))).otherwise(F.concat(printed(yuan), F.lit("元")))
+
+
+def amount_in(value: Column, unit: Column) -> Column:
+    """An amount with its unit: per cents and amounts a share as they are, yuan in the unit in which people read them. A large amount said
+    to be in tens of thousands, thousands or millions is yuan by mistake of the label. Null and other than finite values are a dash."""
+    u = F.trim(F.coalesce(unit, F.lit("")))
+    own = F.concat(printed(value), u)
+    known = (u == "") | (u == "元") | (u == "RMB") | u.contains("人民币")
+    text = (
+        F.when((u == "%") | u.contains("％"), F.concat(printed(value), F.lit("%"))).when(u.rlike("元/?股|每股"), F.concat(printed(value), F.lit("元/股")))
+        .when(u.isin("百万元", "千元", "万元"), F.when(F.abs(value) >= 1e6, amount_text(value)).otherwise(own)).when(u.isin("亿元", "万亿元"), own).when(known, amount_text(value)).otherwise(own)
+    )
+    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), "—").otherwise(text)
+
+
+def metric_amount(metric: Column, value: Column) -> Column:
+    """A metric's value as cards show it: returns in per cent, earnings a share, and money; no money is none of the large unit."""
+    unit = F.when(metric == "roe", "%").when(metric == "eps", "元/股").otherwise("元")
+    return F.when((value == 0) & ~metric.isin("roe", "eps"), "0亿元").otherwise(amount_in(value, unit))
+
+
+LONG_AMOUNT = r"((?:-?\d{1,3}(?:,\d{3})+|\d{7,})(?:\.\d+)?\s*元(?!/?股))"
+
+
+def readable_amounts(text: Column) -> Column:
+    """A text whose long amounts of yuan, from a million on, are in the unit in which people read them; others stay, and so do prices a share."""
+    hits = F.regexp_extract_all(text, F.lit(LONG_AMOUNT), F.lit(1))
+    said = F.transform(hits, lambda h: F.struct(h.alias("h"), F.regexp_replace(h, r"[,\s元]", "").try_cast("double").alias("n")))
+    said = F.transform(said, lambda x: F.when(F.abs(x["n"]) >= 1e6, amount_text(x["n"])).otherwise(x["h"]))
+    return F.array_join(F.zip_with(F.split(text, LONG_AMOUNT, -1), F.concat(said, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
 def floor_of(metric: Column) -> Column:

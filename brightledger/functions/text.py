@@ -179,17 +179,29 @@ def all_terms(question: str, hay: Column) -> Column:
     return out
 
 
-NOISE = "请问|帮我|看看|查一下|查询|一下|的财报|财报|年报|公司|股票|怎么样|如何|吗|呢|[?？!！。，,]"
+# Words by which a text is a question, and what says nothing of its subject, in the order in which it goes.
+QUESTION = (
+    "是否|怎么|如何|为何|为什么|增长|下降|同比|环比|变化|多少|怎样|什么|哪些|对比|分析|解读|说明|原因|缓慢|加快|看法|值得|关注|好不好|好吗|行不行|买吗|买入|卖出|加仓|减仓|持有|值得买|推荐买|能买|该买|[？?]"
+)
+NOISE = (
+    ("怎么样", " "), (r"(20\d{2}|\d{2})\s*年", " "), ("今年|去年|前年|明年", " "), ("半年度报告|半年度|半年报|中报|年度报告|年报|一季报|二季报|三季报|季报|第一季度|第二季度|第三季度", " "),
+    (r"(?i)(?<![A-Za-z0-9_])(?:FY|H1|Q[1-3])(?![A-Za-z0-9_])", " "), (r"[（(]\s*(\d{6})\s*[）)]", " $1 "), (QUESTION, " "), ("业绩|财报|报表|情况|表现|数据|营收|利润|净利润|收入", " "),
+    ("最近|好不好|好吗|行不行|怎么样", " "), (r"(?U)[？?，,。.!！、\s]+", " "),
+)
 
 
 def without_noise(question: Column) -> Column:
-    """A question without what says nothing of its subject."""
-    return F.regexp_replace(F.regexp_replace(question, NOISE, ""), SPACE, "")
+    """A question without periods, business words and what only asks; a code in brackets stays."""
+    for pattern, by in NOISE:
+        question = F.regexp_replace(question, pattern, by)
+    return F.trim(question)
 
 
 def asks(question: Column) -> Column:
-    """Whether a text is a question rather than a name."""
-    return question.rlike("[?？]|为什么|怎么|如何|多少|是否|哪|吗|呢|原因|分析") | (F.length(question) > 16)
+    """Whether a text is a question rather than a name or a code: by its words, or for its length."""
+    q = F.trim(question)
+    named = q.rlike(r"^\d{6}$") | q.rlike("^[一-鿿A-Za-z0-9]{1,8}$")
+    return F.coalesce((q != "") & (q.rlike(QUESTION) | ((F.length(q) >= 12) & ~named)), F.lit(False))
 
 
 # Words in titles that call for attention, longer ones first.

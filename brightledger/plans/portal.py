@@ -43,7 +43,8 @@ _PERIOD_RANK = _RANK.format(p="period")
 
 
 def _amount(x: str) -> str:
-    return f"CASE WHEN abs({x}) >= 1e8 THEN printf('%.2f亿元', {x} / 1e8) WHEN abs({x}) >= 1e6 THEN printf('%.2f万元', {x} / 1e4) ELSE printf('%.2f元', {x}) END"
+    shown = lambda v: f"regexp_replace(regexp_replace(format('{{:,.2f}}', {v}), '0$', ''), '\\.0?$', '')"
+    return f"CASE WHEN abs({x}) >= 1e8 THEN {shown(f'{x} / 1e8')} || '亿元' WHEN abs({x}) >= 1e6 THEN {shown(f'{x} / 1e4')} || '万元' ELSE {shown(x)} || '元' END"
 
 
 @query(f"""WITH {_F} SELECT code, id, ends_with(period, 'H1') AS fits FROM f WHERE id % 5 <> 0 AND state <> 'discovered'

@@ -84,12 +84,15 @@ def all_terms(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.all_terms("A Steel", F.concat_ws(" ", "p_name", "p_type")).alias("has"))
 
 
-_QUESTIONS = ("请问平安银行的财报怎么样？", "平安银行", "帮我看看贵州茅台2020年年报", "营收 是多少")
+_QUESTIONS = ("%y年%c的营收增长多少？", "%c", "%c 去年年报 H1", "（600519）怎么样", "今年第二季度%c净利润 同比 变化")
 
 
-@query(f"SELECT o_orderkey AS id, {_of(('平安银行', '平安银行', '贵州茅台2020年', '营收是多少'))} AS subject, o_orderkey % 4 IN (0, 3) AS is_question FROM orders")
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, 'C' || o_custkey AS c FROM orders)
+ SELECT id, CASE k WHEN 0 THEN c || '的' WHEN 1 THEN c WHEN 2 THEN c WHEN 3 THEN '600519' ELSE c END AS subject, k IN (0, 3, 4) OR (k = 2 AND len(c) >= 4) AS is_question FROM o""")
 def questions(spark, sf):
-    q = _turn(_QUESTIONS)
+    """What questions on each order's customer are about, and whether they are questions."""
+    q = F.replace(F.replace(_turn(_QUESTIONS), F.lit("%y"), F.year("o_orderdate").cast("string")), F.lit("%c"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")))
+    q = F.regexp_replace(q, "^19", "20")
     return _orders(spark, sf).select("id", text.without_noise(q).alias("subject"), text.asks(q).alias("is_question"))
 
 

@@ -217,7 +217,7 @@ def test_context(spark):
     metrics = spark.createDataFrame([("r", "revenue", 2e8, 3, 1e8, None), ("r", "eps", 0.5, 4, None, None)], "report string, metric string, value double, page int, prior_value double, yoy_pct double")
     pages = spark.createDataFrame([("r", 3, "营收增长原因"), ("r", 7, "管理层讨论 营业收入"), ("r", 8, "无关")], "report string, page int, content string")
     got = {(r.kind, r.page): (r.evidence_id, r.text) for r in retrieval.context(metrics, pages, retrieval.plan_question("营收同比多少"), "report").collect()}
-    assert got[0, 3] == ("E1", "revenue 2.00亿元 同比增长 100.00%") and got[1, 3][0] == "E1" and got[1, 7][0] == "E2" and len(got) == 3
+    assert got[0, 3] == ("E1", "revenue 2亿元 同比增长 100.00%") and got[1, 3][0] == "E1" and got[1, 7][0] == "E2" and len(got) == 3
 
 
 def test_streams(spark, tmp_path):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brightledger.functions import citations as marks
 from brightledger.functions import finance, periods, text
-from brightledger.operators import extract, quotes
+from brightledger.operators import extract, homophones, quotes
 from brightledger.plans.registry import query
 from brightledger.sources.tables import table
 
@@ -374,3 +374,16 @@ def opinions(spark, sf):
     """Audit opinions of one sentence each, with what stands around them."""
     pages = _orders(spark, sf).select(_id().alias("report"), (_id() % 20 + 1).cast("int").alias("page"), _turn(_OPINIONS).alias("content"))
     return extract.audit_opinions(pages, "report")
+
+
+_HEARD = (("营业受入", "营业收入"), ("应受帐款", "应收账款"), ("豆泊", "豆粕"), ("同笔", "同比"), ("现金", "现金"))
+_READINGS = (("收", "shou"), ("受", "shou"), ("账", "zhang"), ("帐", "zhang"), ("比", "bi"), ("笔", "bi"), ("应", "ying"), ("营", "ying"), ("业", "ye"), ("入", "ru"), ("款", "kuan"), ("同", "tong"))
+
+
+@query(f"SELECT o_orderkey AS id, o_custkey || {_of(tuple(b for _, b in _HEARD))} || '增长' || o_orderstatus AS text, CAST(o_orderkey % 5 IN (0, 1, 3) AS INTEGER) AS n FROM orders")
+def heard_texts(spark, sf):
+    """Spoken words on each order, put right by how they sound."""
+    said = F.concat(F.col("o_custkey").cast("string"), _turn(tuple(a for a, _ in _HEARD)), F.lit("增长"), F.col("o_orderstatus"))
+    rows = _orders(spark, sf).select("id", said.alias("text"), homophones.known_terms(F.lit(""), F.array().cast("array<string>")).alias("terms"))
+    found = homophones.corrected(rows, spark.createDataFrame(list(_READINGS), "character string, reading string"))
+    return found.select("id", "text", F.size("replacements").alias("n"))

@@ -280,4 +280,4 @@ def sum_disclosed(parts: Sequence[Column]) -> Column:
 
 def clamp(value: Column, low: float, high: float, default: float) -> Column:
     """A setting within its bounds; the default where it is no number."""
-    return F.when(finite(value), F.greatest(F.lit(low), F.least(F.lit(high), F.round(value)))).otherwise(F.lit(default))
+    return F.when(finite(value), F.greatest(F.lit(low), F.least(F.lit(high), half_up(value, 0)))).otherwise(F.lit(default))

@@ -262,16 +262,35 @@ def page_citations(answer: Column, pages: Column) -> Column:
     )
 
 
-_DIGITS = "零一二三四五六七八九"
+# Digits and units of Chinese numerals.
+DIGITS = {"〇": 0, "零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+UNITS = {"十": 10, "百": 100, "千": 1000}
 
 
 def chinese_number(text: Column) -> Column:
-    """A Chinese numeral below ten thousand as a number; null for other texts."""
-    plain = F.replace(F.replace(text, F.lit("两"), F.lit("二")), F.lit("〇"), F.lit("零"))
-    digit = lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(_DIGITS), c) - 1)
-    place = lambda unit, n: F.when(plain.contains(unit), F.when(F.regexp_extract(plain, f"(.){unit}", 1).isin("", "零"), 1).otherwise(digit(F.regexp_extract(plain, f"(.){unit}", 1))) * n).otherwise(0)
-    ones = digit(F.regexp_extract(plain, "([一二三四五六七八九])$", 1))
-    return F.when(plain.rlike(f"^[{_DIGITS}十百千]+$"), place("千", 1000) + place("百", 100) + place("十", 10) + ones)
+    """A numeral as a number up to 9999: Arabic digits, also of full width, Chinese digits one by one, or with units, where a last digit behind
+    hundreds or thousands counts one unit lower; null for other texts."""
+    plain = F.translate(F.trim(text), "０１２３４５６７８９", "0123456789")
+    letters = F.filter(F.split(plain, ""), lambda c: c != "")
+    value = F.create_map(*[F.lit(x) for pair in (DIGITS | UNITS).items() for x in pair])
+    one_by_one = F.aggregate(letters, F.lit(0), lambda n, c: n * 10 + F.coalesce(F.try_element_at(value, c), F.lit(0)))
+
+    def step(s: Column, c: Column) -> Column:
+        v = F.coalesce(F.try_element_at(value, c), F.lit(0))
+        unit = c.isin(*UNITS)
+        return F.struct(
+            F.when(unit, s["total"] + F.greatest(s["cur"], F.lit(1)) * v).otherwise(s["total"]).alias("total"), F.when(unit, 0).otherwise(v).alias("cur"),
+            F.when(unit, v).otherwise(s["unit"]).alias("unit"), (s["bad"] | (unit & (s["cur"] == 0) & (v != 10))).alias("bad"),
+        )
+
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("cur"), F.lit(0).alias("unit"), F.lit(False).alias("bad"))
+    lower = lambda s: F.when((s["unit"] >= 100) & ~plain.rlike("[零〇].$"), (s["cur"] * s["unit"] / 10).cast("int")).otherwise(s["cur"])
+    whole = F.aggregate(letters, start, step, lambda s: F.when(~s["bad"], s["total"] + lower(s)))
+    known = "".join(DIGITS)
+    return (
+        F.when(plain.rlike(r"^\d{1,4}$"), plain.try_cast("int")).when(plain.rlike(f"^[{known}]{{1,4}}$"), one_by_one)
+        .when(plain.rlike(f"^[{known}{''.join(UNITS)}]+$") & plain.rlike("[十百千]"), F.when(whole.between(1, 9999), whole))
+    )
 
 
 def unwrap_json(text: Column) -> Column:

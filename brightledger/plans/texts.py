@@ -294,18 +294,18 @@ def ratios(spark, sf):
 
 
 @query("""WITH q AS (SELECT o_orderkey AS id, o_totalprice / 1e5 AS a, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice / 5e4 END AS h, o_totalprice / 1e5 * CASE o_orderkey % 2 WHEN 0 THEN 3.0 ELSE 1.0 END AS w FROM orders)
- SELECT id, CASE WHEN id % 2 = 0 AND h IS NOT NULL THEN a + h ELSE a END AS converted, id % 2 = 0 AND h IS NOT NULL AS folded, CASE WHEN id % 2 = 0 AND h IS NULL THEN 'BAD' ELSE 'OK' END AS status FROM q WHERE a > 0.5""")
+ SELECT id, CASE WHEN off AND h IS NOT NULL THEN a + h ELSE a END AS converted, off AND h IS NOT NULL AS folded, CASE WHEN off AND h IS NULL THEN 'BAD' ELSE 'OK' END AS status FROM (SELECT *, abs(w - a) > greatest(0.02, 0.01 * w) AS off FROM q)""")
 def third_quarters(spark, sf):
     """Earnings a share of a third quarter alone, or with the half year where only that fits."""
     r = F.col("o_totalprice")
-    rows = _orders(spark, sf).select("id", (r / 1e5).alias("a"), F.when(_id() % 3 > 0, r / 5e4).alias("h"), (r / 1e5 * F.when(_id() % 2 == 0, 3.0).otherwise(1.0)).alias("w")).filter("a > 0.5")
+    rows = _orders(spark, sf).select("id", (r / 1e5).alias("a"), F.when(_id() % 3 > 0, r / 5e4).alias("h"), (r / 1e5 * F.when(_id() % 2 == 0, 3.0).otherwise(1.0)).alias("w"))
     rows = rows.withColumn("c", finance.comparable_q3(F.col("w"), F.col("a"), F.col("h"), F.lit("eps")))
     return rows.select("id", F.col("c.converted").alias("converted"), F.col("c.folded").alias("folded"), finance.check_status(F.col("w"), F.col("a"), F.col("c.converted"), F.lit("eps")).alias("status"))
 
 
-@query("SELECT c_custkey AS id, CAST(CASE WHEN c_custkey % 5 = 0 THEN 3.0 ELSE greatest(1.0, least(9.0, round(c_acctbal / 1000))) END AS DOUBLE) AS setting FROM customer WHERE abs(c_acctbal * 2 / 1000 - round(c_acctbal * 2 / 1000)) > 0.01")
+@query("SELECT c_custkey AS id, CAST(CASE WHEN c_custkey % 5 = 0 THEN 3.0 ELSE greatest(1.0, least(9.0, floor(c_acctbal / 1000 + 0.5))) END AS DOUBLE) AS setting FROM customer")
 def clamped_settings(spark, sf):
-    c = table(spark, sf, "customer").filter("abs(c_acctbal * 2 / 1000 - round(c_acctbal * 2 / 1000)) > 0.01")
+    c = table(spark, sf, "customer")
     return c.select(F.col("c_custkey").alias("id"), finance.clamp(F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") / 1000), 1, 9, 3).alias("setting"))
 
 

@@ -170,3 +170,10 @@ def test_questions(spark):
     asked = {"2024年贵州茅台营收增长多少？": ("贵州茅台", True), "平安银行": ("平安银行", False), "600519": ("600519", False), "三一重工（600031）怎么样": ("三一重工 600031", True), "看看这家公司过去几个阶段里": ("看看这家公司过去几个阶段里", True), "": ("", False)}
     rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", text.without_noise(F.col("q")).alias("s"), text.asks(F.col("q")).alias("a")).collect()
     assert {r["q"]: (r["s"], r["a"]) for r in rows} == asked
+
+
+def test_chinese_numbers(spark):
+    said = {"八": 8, "十": 10, "十二": 12, "二十": 20, "一零五": 105, "二三": 23, "〇": 0, "一百一": 110, "一百零一": 101, "一千二": 1200, "一千零二十三": 1023, "九千九百九十九": 9999, "百": None, "零百": None, "２３": 23, "12": 12,
+            "12345": None, "一二三四五": None, "甲": None, "": None, None: None, "两百五十": 250, "九千九百九十九十": None}
+    rows = spark.createDataFrame([(k,) for k in said], "q string").select("q", text.chinese_number(F.col("q")).alias("n")).collect()
+    assert {r["q"]: r["n"] for r in rows} == said

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brightledger.functions import citations as marks
 from brightledger.functions import finance, periods, text
-from brightledger.operators import extract, homophones, quotes
+from brightledger.operators import extract, homophones, outline, quotes
 from brightledger.plans.registry import query
 from brightledger.sources.tables import table
 
@@ -387,3 +387,20 @@ def heard_texts(spark, sf):
     rows = _orders(spark, sf).select("id", said.alias("text"), homophones.known_terms(F.lit(""), F.array().cast("array<string>")).alias("terms"))
     found = homophones.corrected(rows, spark.createDataFrame(list(_READINGS), "character string, reading string"))
     return found.select("id", "text", F.size("replacements").alias("n"))
+
+
+@query("""SELECT c_custkey AS report, ['第一节 概述', '第二节 公司简介', '第三节 财务'][k] AS title, [3, 6 + c_custkey % 7, 30][k] AS page, [5 + c_custkey % 7, 29, 30][k] AS end_page, 'toc' AS source FROM customer, range(1, 4) t(k) WHERE c_custkey % 5 > 0
+ UNION ALL SELECT c_custkey, title, page, [5 + c_custkey % 7, 30][k], 'standard' FROM (SELECT c_custkey, k, ['管理层讨论与分析', '公司治理'][k] AS title, [3, 6 + c_custkey % 7][k] AS page FROM customer, range(1, 3) t(k) WHERE c_custkey % 5 = 0) WHERE k = 1
+ UNION ALL SELECT c_custkey, '公司治理', 6 + c_custkey % 7, 6 + c_custkey % 7, 'standard' FROM customer WHERE c_custkey % 5 = 0""")
+def outlines(spark, sf):
+    """Sections of each customer's report, by its contents page, or for every fifth, which has none, by what pages begin with."""
+    c = table(spark, sf, "customer").withColumn("id", F.col("c_custkey"))
+    toc = _id() % 5 > 0
+    second, contents = (_id() % 7 + 5).cast("int"), "目录\n第一节 概述 ........ 3\n第二节 公司简介 …… P"
+    page = lambda at, text: F.struct(at.cast("int").alias("page"), text.alias("content"))
+    every = F.array(
+        page(F.lit(2), F.when(toc, F.concat(F.lit(contents), second.cast("string"), F.lit("\n第三节 财务 .... 30"))).otherwise("封面")), page(F.lit(3), F.when(toc, "第一节 概述 正文").otherwise("管理层讨论与分析 正文")),
+        page(second + 1, F.when(toc, "第二节 公司简介 正文").otherwise("公司治理 正文")), page(F.lit(30), F.lit("正文")),
+    )
+    found = outline.outline(c.select(_id().alias("report"), F.inline(every)), "report")
+    return found.select("report", "title", "page", "end_page", "source")

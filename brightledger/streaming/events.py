@@ -41,6 +41,11 @@ STEPS = {
 BUSY = {"downloading": "discovered", "parsing": "downloaded"}
 
 
+def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All rows of a key in a micro-batch by ``seq``: a key's rows may come in several chunks, each in any order."""
+    return pd.concat(list(batches)).sort_values("seq", kind="stable")
+
+
 def filing_states(changes: DataFrame, timeout: str = "5 minutes") -> DataFrame:
     """``id, status, rejected``: each filing's state after each batch of changes (``id, seq, to, at``).
 
@@ -53,12 +58,11 @@ def filing_states(changes: DataFrame, timeout: str = "5 minutes") -> DataFrame:
         if state.hasTimedOut:
             status = BUSY.get(status, status)
         else:
-            for rows in batches:
-                for to in rows.sort_values("seq")["to"]:
-                    if to in STEPS.get(status, set()):
-                        status = to
-                    else:
-                        rejected += 1
+            for to in in_order(batches)["to"]:
+                if to in STEPS.get(status, set()):
+                    status = to
+                else:
+                    rejected += 1
         state.update((status, rejected))
         if status in BUSY:
             state.setTimeoutDuration(minutes * 60_000)
@@ -73,10 +77,7 @@ def breaker(outcomes: DataFrame, last: int = 20, least: int = 6, limit: float =
     """``source, n, failures, is_open``: a ring of each source's last outcomes (``source, seq, ok``)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(state.get[0]) if state.exists else []
-        for rows in batches:
-            ring += [int(x) for x in rows.sort_values("seq")["ok"]]
-        ring = ring[-last:]
+        ring = [*(state.get[0] if state.exists else []), *(int(x) for x in in_order(batches)["ok"])][-last:]
         state.update((ring,))
         failures = ring.count(0)
         yield pd.DataFrame({"source": [key[0]], "n": [len(ring)], "failures": [failures], "is_open": [len(ring) >= least and failures / len(ring) >= limit]})

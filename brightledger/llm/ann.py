@@ -9,8 +9,9 @@ a posting list; vectors near a boundary go to two lists. A query
   at which a vector of the band would have the reference score, and
 * is compared with all vectors of these centroids' lists, exactly and in double precision.
 
-The ratio is learned: on queries of the sample it is the one under which ``AIM`` of their true neighbours' lists are found. So
-clustered vectors need few lists, and vectors without any structure many.
+The ratio is learned twice: from the sample alone, and then raised or lowered to the least under which ``AIM`` of the true
+neighbours of ``TRIALS`` queries, which are compared with the whole table once, are in lists that are looked into. So clustered
+vectors need few lists, vectors without any structure many, and queries unlike other rows count as they are.
 
 Centroids are fitted on a bounded sample (``SAMPLE`` vectors and ``SAMPLE_BYTES`` at most, by a hash), in two steps: cells, and
 centroids in each cell. Every vector is indexed. There are ``CENTROIDS`` at most, near the square root of the largest tables
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +47,10 @@ REPLICA_RATIO, REPLICAS = 1.05, 2
 #: Lengths of a band differ by this factor at most; all shorter ones are in the last of so many bands.
 BAND, BANDS = 1.25, 24
 #: Vectors for reference scores: half of them the longest of the sample. For the ratio one of so many vectors of the sample, queries
-#: among them, and the share of their neighbours to be found.
-REFERENCE, HOLD, TRIALS, AIM = 4096, 4, 512, 0.96
-#: Neighbours of a centroid in the graph. A query looks into further lists until they hold so many vectors.
-DEGREE, LEAST = 24, 400
+#: among them, and the share of their neighbours to be found; steps by which the ratio is raised, so many at most, and halved then.
+REFERENCE, HOLD, TRIALS, AIM, RAISE, RAISES, HALVES = 4096, 4, 512, 0.96, 1.05, 40, 3
+#: Neighbours of a centroid in the graph, and from how many a walk goes on at least. A query looks into further lists until they hold so many vectors.
+DEGREE, LEAST, ENTRIES = 24, 400, 32
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -131,12 +133,13 @@ class Band:
 
     def within(self, q: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Distances of queries from the centroids that walks of the graph find within each one's limit, infinite for those not
-        met: first to the nearest eight, then on from whatever is near enough. All queries take their steps side by side."""
+        met: from one of each cell and some more to the nearest ``ENTRIES``, then on from whatever is near enough. All queries take
+        their steps side by side."""
         n = len(self.points)
         far, done = np.full((len(q), n), np.inf), np.zeros((len(q), n), dtype=bool)
-        start = np.arange(0, n, max(1, n // 16))
+        start = np.union1d(np.arange(0, n, max(1, n // 16)), np.flatnonzero(np.diff(self.cell, prepend=-1)))
         far[:, start] = np.sqrt(squared(q, self.points[start]))
-        k = min(8, len(start)) - 1
+        k = min(ENTRIES, len(start)) - 1
         while True:
             near = np.maximum(limit, np.partition(far, k, axis=1)[:, k])
             i, c = np.nonzero(~done & (far <= near[:, None]))
@@ -232,6 +235,42 @@ class Index:
             found.append(least / self.reach(band, level)[i])
         return float(np.quantile(np.concatenate(found), AIM)) if found else 1.0
 
+    def tune(self, q: np.ndarray, level: np.ndarray, sizes: np.ndarray, asked: np.ndarray, found: np.ndarray) -> float:
+        """The ratio under which unit queries look into AIM of the lists that hold their true neighbours: ``asked`` are the queries'
+        numbers, ``found`` a row of lists for each of their neighbours, any of which will do, filled up by -1."""
+        if not len(asked):
+            return self.ratio
+        need = np.full(found.shape, np.inf)
+        for band in self.bands:
+            i, k = np.nonzero((found >= band.first) & (found < band.first + len(band.points)))
+            reach = self.reach(band, level)[asked[i]]
+            for at in np.array_split(np.arange(len(i)), 1 + len(i) // 50_000):
+                away = np.sqrt(((directed(q[asked[i[at]]], band.most) - band.points[found[i[at], k[at]] - band.first]) ** 2).sum(1))
+                need[i[at], k[at]] = away / np.maximum(reach[at], 1e-300)
+        self.ratio = float(np.quantile(need.min(axis=1), AIM)) * (1 + 1e-9)
+
+        def share(ratio: float) -> float:
+            self.ratio, hit = ratio, np.zeros(len(asked), dtype=bool)
+            for lo in range(0, len(q), 64):
+                at, number, _ = self.lists(q[lo : lo + 64], level[lo : lo + 64], sizes)
+                seen = np.zeros((min(64, len(q) - lo), len(sizes) + 1), dtype=bool)
+                seen[at, number] = True
+                mine = np.flatnonzero((asked >= lo) & (asked < lo + 64))
+                hit[mine] = seen[asked[mine, None] - lo, found[mine]].any(axis=1)
+            return float(hit.mean())
+
+        # walks of the graph may end before a list that is near enough, and short lists are filled up: what is looked into counts
+        low = high = self.ratio
+        for _ in range(RAISES):
+            if share(high) >= AIM:
+                break
+            low, high = high, high * RAISE
+        for _ in range(HALVES if high > low else 0):
+            middle = (low + high) / 2
+            low, high = (low, middle) if share(middle) >= AIM else (middle, high)
+        self.ratio = high
+        return self.ratio
+
     def lists(self, q: np.ndarray, level: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The lists that unit queries look into: the query, the list and its cell of each pair."""
         out = [(np.zeros(0, dtype=np.int64),) * 3]
@@ -296,6 +335,45 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(query), pa.array(have), pa.array(score)], names=["query_id", "vec_id", "score"])
 
 
+def trial(rows: DataFrame, fitted: Broadcast, q: np.ndarray, ids: np.ndarray, most: float, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a few unit queries each of the ``top`` nearest of all rows: the query's number, and the lists that the neighbour is in."""
+    asks = rows.sparkSession.sparkContext.broadcast((q, ids))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, ids = asks.value
+        kept, have, score, x = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, q.shape[1])))
+        for b in batches:
+            for lo in range(0, b.num_rows, 5000):
+                part = b.slice(lo, 5000)
+                v, found = matrix(part.column(1)), part.column(0).to_numpy()
+                rough = q @ v.T
+                rough[ids[:, None] == found[None, :]] = -np.inf
+                few = min(top, len(found))
+                near = np.argpartition(-rough, few - 1, axis=1)[:, :few]
+                i, k = np.repeat(np.arange(len(q)), few), near.ravel()
+                kept, have, score = np.append(kept, i), np.append(have, found[k]), np.append(score, rough[i, k])
+                x = np.concatenate([x, v[k]])
+                order = np.lexsort((have, -score, kept))
+                first = np.searchsorted(kept[order], np.arange(len(q)))
+                order = order[np.arange(len(order)) - first[kept[order]] < top]
+                kept, have, score, x = kept[order], have[order], score[order], x[order]
+        on = np.flatnonzero(np.isfinite(score))
+        lists = np.full((len(kept), REPLICAS), -1)
+        of = Index.band_of(np.sqrt((x * x).sum(1)), most) if len(x) else np.zeros(0, dtype=np.int64)
+        for k in np.unique(of[on]):
+            mine = on[of[on] == k]
+            for at in np.array_split(mine, 1 + len(mine) // 1000):
+                row, number = fitted.value.bands[k].replicas(x[at])
+                lists[at[row], np.arange(len(row)) - np.searchsorted(row, row)] = number
+        nested = pa.ListArray.from_arrays(pa.array(np.arange(0, REPLICAS * len(on) + 1, REPLICAS), pa.int32()), pa.array(lists[on].ravel(), pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(kept[on]), pa.array(have[on]), pa.array(score[on]), nested], names=["asked", "id", "score", "lists"])
+
+    near = rows.mapInArrow(best, "asked long, id long, score double, lists array<int>")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id"))
+    few = near.withColumn("place", place).filter(F.col("place") <= top).select("asked", "lists").toArrow()  # TRIALS * top at most
+    return few.column("asked").to_numpy(), matrix(few.column("lists").combine_chunks()).astype(np.int64).reshape(-1, REPLICAS)
+
+
 def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: of each row with ``is_query`` (on ``vec_id``) the ``top`` rows of largest inner product."""
     spark = vectors.sparkSession
@@ -332,6 +410,13 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, id_column: str
         sizes[r["list"]] = r["count"]
         cells[r["cell"]] += r["count"]
     size = spark.sparkContext.broadcast(sizes)
+    some = rows.filter(is_query).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(min(TRIALS, max(1, SAMPLE_BYTES // (64 * length["d"])))).toArrow()
+    if some.num_rows:
+        q, ids = matrix(some.column("v").combine_chunks()), some.column("vec_id").to_numpy()
+        q = q / np.sqrt((q * q).sum(1))[:, None]
+        asked, found = trial(rows, fitted, q, ids, most, top)
+        index.tune(q, index.references(q, ids, top), sizes, asked, found)
+    fitted = spark.sparkContext.broadcast(index)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

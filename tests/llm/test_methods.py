@@ -343,6 +343,22 @@ def test_recall(spark):
     assert hit >= 0.9 * total
 
 
+def test_recall_of_queries_unlike_other_rows(spark):
+    """Rows in clusters, queries anywhere."""
+    random, n = np.random.default_rng(5), 12_000
+    x = random.normal(size=(200, 32))[random.integers(200, size=n)] + 0.15 * random.normal(size=(n, 32))
+    x[::20] = random.normal(size=(len(x[::20]), 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}))
+    got = ann.query(rows).toPandas().groupby("query_id").score.apply(list)
+    hit = 0
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -9
+        hit += sum(z >= np.sort(s)[-20] - 1e-9 for z in got[q])
+    assert hit >= 0.9 * 20 * len(got)
+
+
 def vectors_of(kind, n):
     random = np.random.default_rng(0)
     if kind.startswith("clustered"):

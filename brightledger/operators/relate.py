@@ -99,17 +99,23 @@ def rotating(df: DataFrame, key: str, last, n: int) -> DataFrame:
 
 
 def batches(df: DataFrame, key: str, force: str, size: int) -> DataFrame:
-    """Distinct keys with their force flags or-ed, in numbered batches of a size.
+    """Distinct keys with their force flags or-ed, in numbered batches of a size; a null key comes last.
 
-    Numbers come from counts per key range, so that only one number for each range meets in one task.
+    Numbers come from counts per key range, so that only one number for each range meets in one task. The ranges' bounds are values of a
+    sample by hash: where a key belongs does not depend on how Spark parts the rows, which may differ between the counts and the rows.
     """
     from pyspark.sql import Window
 
     merged = df.groupBy(key).agg(F.max(force).alias(force))
-    ranged = merged.repartitionByRange(key).withColumn("__part", F.spark_partition_id())
-    within = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
-    counts = within.groupBy("__part").agg(F.count("*").alias("__count"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = merged.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(16 * ranges)  # a bounded sample
+    bounds = [r[0] for r in some.orderBy(key).collect()][8::16]
+    kind = dict(df.dtypes)[key]
+    before_key = F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]).cast(f"array<{kind}>"), lambda b: b <= F.col(key))
+    ranged = merged.withColumn("__part", F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(F.size(before_key)))
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__count"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__start", F.coalesce(F.sum("__count").over(before), F.lit(0)))
+    within = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
     place = F.col("__start") + F.col("__n") - 1
     return within.join(starts, "__part").select(key, force, F.floor(place / size).alias("batch"))

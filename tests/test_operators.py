@@ -244,3 +244,26 @@ def test_streams(spark, tmp_path):
         q.stop()
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert {r.id: (r.status, r.rejected) for r in spark.table("states").collect()} == {"x": ("downloaded", 1), "y": ("", 1)}
+
+
+def test_known_filings_of_one_constant_id_meet_by_an_equal_join(spark):
+    found = spark.range(20).select(F.col("id").alias("source_id"), F.col("id").alias("code"), F.lit("2021-03-01").cast("timestamp").alias("published_at"), F.lit("SSE").alias("source"), F.lit("2020年年度报告").alias("title"))
+    known = found.filter("source_id % 7 = 0").select(F.lit("none").alias("id"), "source", "source_id")
+    companies = spark.range(20).select(F.col("id").alias("code"), F.lit(True).alias("enabled"))
+    got = overview.discover(found, known, companies, "2000-01-01", {"SSE": 0})
+    assert sorted(r["source_id"] for r in got.collect()) == [i for i in range(20) if i % 7]
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_batches_do_not_hang_on_how_rows_are_parted(spark):
+    """Ranges by partition came out otherwise for counts and for rows, where Spark parts them differently."""
+    rows = spark.range(0, 40_000, 1, 16).select((F.col("id") * 7919 % 20_011).alias("k"), (F.col("id") % 3 == 0).alias("force")).unionByName(spark.createDataFrame([(None, False)], "k long, force boolean"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        for k, v in zip(kept, ("40", "false", "50k"), strict=True):
+            spark.conf.set(k, v)
+        got = {r["k"]: r["batch"] for r in relate.batches(rows, "k", "force", 100).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {k: i // 100 for i, k in enumerate([*range(20_011), None])}

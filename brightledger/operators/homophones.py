@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightledger.operators.rank import held
+
 # Terms of reports that are always known, those of metals, which count where the context speaks of them, and confusions that do not
 # sound alike.
 TERMS = (
@@ -45,21 +47,25 @@ def corrected(texts: DataFrame, readings: DataFrame, sizes: Sequence[int] = tupl
     """``id, text, replacements`` of rows ``id, text, terms`` (arrays as ``known_terms`` gives them): replacements are an array of ``from, to,
     index`` by place. Null texts are empty. Terms have the lengths in ``sizes``; ids are unique."""
     rows = texts.select("id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("text"), "terms")
-    read = rows.join(readings_of(rows, "text", readings), "text").select("id", "text", "read")
+    # merged, not broadcast: Spark takes what it generates from a small table for small
+    read = rows.select("id", "text").join(readings_of(rows, "text", readings).hint("merge"), "text").select("id", "text", "read")
     runs = read.select("id", "text", "read", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")).filter(F.size("read") >= F.col("n"))
     runs = runs.select("id", "n", "text", "read", F.explode(F.sequence(F.lit(0), F.size("read") - F.col("n"))).alias("start"))
     runs = runs.select("id", "n", "start", F.substring(F.col("text"), F.col("start") + 1, F.col("n")).alias("run"), F.array_join(F.slice("read", F.col("start") + 1, F.col("n")), "").alias("key"))
-    terms = rows.select("id", F.posexplode("terms").alias("turn", "term"))
+    terms = rows.select("terms").distinct().select(F.explode("terms").alias("term")).distinct()
     keys = readings_of(terms, "term", readings).select("term", F.array_join("read", "").alias("key"), F.size("read").alias("n"))
-    hits = runs.join(terms.join(keys, "term"), ["id", "key", "n"]).filter((F.col("run") == F.col("term")) | F.col("run").rlike("[一-鿿]"))
+    # runs meet every known term once, and only what sounds like one meets the terms of its own text
+    hits = runs.join(keys, ["key", "n"]).filter((F.col("run") == F.col("term")) | F.col("run").rlike("[一-鿿]")).select("id", "start", "n", "run", "term")
+    hits = hits.join(rows.select("id", "terms").hint("merge"), "id").withColumn("turn", F.array_position("terms", F.col("term")).cast("int") - 1).filter("turn >= 0").drop("terms")
     place = F.struct(F.col("turn"), F.col("start"), F.col("n"), F.col("run"), F.col("term"))
     found = hits.groupBy("id").agg(F.array_sort(F.collect_list(place)).alias("found"))  # of one text
     none = F.array().cast("array<struct<turn: int, start: int, n: int, run: string, term: string>>")
     free = lambda taken, h: ~F.exists(taken, lambda t: (t["start"] < h["start"] + h["n"]) & (h["start"] < t["start"] + t["n"]))
     taken = F.aggregate("found", none, lambda acc, h: F.when(free(acc, h), F.concat(acc, F.array(h))).otherwise(acc))
-    both = rows.join(found.select("id", taken.alias("taken")), "id", "left").withColumn("taken", F.coalesce("taken", none))
+    both = rows.join(found.select("id", taken.alias("taken")).hint("merge"), "id", "left").withColumn("taken", F.coalesce("taken", none))
     letter = lambda c, i: F.coalesce(F.get(F.transform(F.filter("taken", lambda t: (t["start"] <= i) & (i < t["start"] + t["n"])), lambda t: F.substring(t["term"], i - t["start"] + 1, F.lit(1))), F.lit(0)), c)
-    out = F.array_join(F.transform(F.split("text", ""), letter), "")
+    both = held(both, out=F.array_join(F.transform(F.split("text", ""), letter), ""))
+    out = F.col("out")
     for wrong, right in CONFUSED:
         out = F.when(F.array_contains("terms", right), F.replace(out, F.lit(wrong), F.lit(right))).otherwise(out)
     changed = F.transform(F.filter("taken", lambda t: t["run"] != t["term"]), lambda t: F.struct(t["start"].alias("index"), t["run"].alias("from"), t["term"].alias("to")))

@@ -51,3 +51,23 @@ def test_cases(found):
 def test_order_of_terms(found):
     terms = found[0]["terms"]
     assert [len(t) for t in terms] == sorted((len(t) for t in terms), reverse=True) and "锂盐" not in terms and "锂盐" in found[5]["terms"]
+
+
+def nodes(plan):
+    yield plan
+    name, inner = plan.nodeName(), []
+    if name.startswith("AdaptiveSparkPlan"):
+        inner = [plan.executedPlan()]
+    elif "QueryStage" in name:
+        inner = [plan.plan()]
+    for p in (*inner, *(plan.children().apply(i) for i in range(plan.children().size()))):
+        yield from nodes(p)
+
+
+def test_terms_of_many_texts_are_not_broadcast(spark):
+    """Spark takes what is generated from a small table for small."""
+    rows = spark.range(2000).select("id", F.concat(F.lit("同笔"), "id").alias("text"), homophones.known_terms(F.lit(""), F.array().cast("array<string>")).alias("terms"))
+    df = homophones.corrected(rows, spark.createDataFrame(READINGS, "character string, reading string"))
+    assert {r["text"] for r in df.collect()} == {f"同比{i}" for i in range(2000)}
+    sent = [n.metrics().apply("numOutputRows").value() for n in nodes(df._jdf.queryExecution().executedPlan()) if n.nodeName() == "BroadcastExchange"]
+    assert max(sent, default=0) < 1000

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brightledger.functions import finance, periods
 from brightledger.operators.aggregate import nested
-from brightledger.operators.rank import first_rows
+from brightledger.operators.rank import first_rows, held
 from brightledger.operators.relate import union_first_wins
 
 HEADLINE = ("revenue", "net_profit", "eps", "roe")
@@ -153,7 +153,9 @@ def discover(found: DataFrame, known: DataFrame, companies: DataFrame, since: st
     for s, n in priority.items():
         rank = F.when(F.col("source") == s, n).otherwise(rank)
     once = first_rows(rows.withColumn("__rank", rank), ["id"], ["__rank", "source_id"]).drop("__rank")
-    return once.join(known.select("id"), "id", "left_anti").join(known.select("source", "source_id"), ["source", "source_id"], "left_anti")
+    # a generator holds the known ids: Spark else folds one constant id of all known rows into the condition and compares every row with every one
+    ids = held(known.select("id"), id=F.col("id")).distinct()
+    return once.join(ids, "id", "left_anti").join(known.select("source", "source_id"), ["source", "source_id"], "left_anti")
 
 
 def flatten_filings(companies: DataFrame, since: str) -> DataFrame:

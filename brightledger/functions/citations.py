@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brightledger.functions.binding import let
+
 CITATIONS = "array<struct<id: string, page: int, quote: string, report: string>>"
 MARK = r"【\s*E\s*\d+\s*】|\[\s*E\s*\d+\s*\]"
 PILE = rf"(?i)((?:\s*(?:{MARK}))+\s*$)"
@@ -61,20 +63,31 @@ def placed(text: Column, citation: Column) -> Column:
     mark = F.concat(F.lit("[P"), citation["page"].cast("string"), F.lit("]"))
     quote = F.coalesce(citation["quote"], F.lit(""))
     numbers = F.filter(_all(quote, r"(\d+(?:\.\d+)?%?)"), lambda d: (F.length(F.replace(d, F.lit("%"), F.lit(""))) >= 2) & text.contains(d))
-    number = F.get(numbers, F.lit(0))
-    end = F.instr(text, number) + F.length(number) - 1
-    unit = F.regexp_extract(F.substring(text, end + 1, F.lit(24)), rf"^(\s*(?:{UNITS}))", 1)
-    keys = F.filter(F.array(*[F.lit(k) for k in KEYWORDS]), lambda k: quote.contains(k))
-    clauses = F.filter(F.split(text, f"(?<=[{CLOSES}])"), lambda c: c != "")
-    worth = F.transform(clauses, lambda c: F.aggregate(keys, F.lit(0), lambda n, k: n + F.when(c.contains(k), F.length(k)).otherwise(0)))
-    best = F.array_max(worth)
-    at = F.array_position(worth, best).cast("int")
-    upto = F.aggregate(F.slice(clauses, F.lit(1), at), F.lit(0), lambda n, c: n + F.length(c))
-    close = F.when(F.get(clauses, at - 1).rlike(f"[{CLOSES}]$"), 1).otherwise(0)
-    return (
-        F.when(text.contains(mark), text).when(number.isNotNull(), inserted(text, end + F.length(unit), mark))
-        .when((F.size(clauses) > 0) & (best > 0), inserted(text, upto - close, mark)).otherwise(text)
-    )
+
+    def behind(number: Column) -> Column:
+        def with_unit(end: Column) -> Column:
+            unit = F.regexp_extract(F.substring(text, end + 1, F.lit(24)), rf"^(\s*(?:{UNITS}))", 1)
+            return inserted(text, end + F.length(unit), mark)
+
+        return let(F.instr(text, number) + F.length(number) - 1, with_unit)
+
+    def in_clause(clauses: Column) -> Column:
+        keys = F.filter(F.array(*[F.lit(k) for k in KEYWORDS]), lambda k: quote.contains(k))
+        worth = let(keys, lambda ks: F.transform(clauses, lambda c: F.aggregate(ks, F.lit(0), lambda n, k: n + F.when(c.contains(k), F.length(k)).otherwise(0))))
+
+        def at_best(worth: Column) -> Column:
+            def at_clause(at: Column) -> Column:
+                upto = F.aggregate(F.slice(clauses, F.lit(1), at), F.lit(0), lambda n, c: n + F.length(c))
+                close = F.when(F.get(clauses, at - 1).rlike(f"[{CLOSES}]$"), 1).otherwise(0)
+                return inserted(text, upto - close, mark)
+
+            best = F.array_max(worth)
+            return F.when(best > 0, let(F.array_position(worth, best).cast("int"), at_clause)).otherwise(text)
+
+        return F.when(F.size(clauses) > 0, let(worth, at_best)).otherwise(text)
+
+    by_clause = let(F.filter(F.split(text, f"(?<=[{CLOSES}])"), lambda c: c != ""), in_clause)
+    return F.when(text.contains(mark), text).otherwise(let(F.get(numbers, F.lit(0)), lambda number: F.when(number.isNotNull(), behind(number)).otherwise(by_clause)))
 
 
 def with_page_marks(answer: Column, citations: Column, pool: Column | None = None) -> Column:
@@ -85,22 +98,30 @@ def with_page_marks(answer: Column, citations: Column, pool: Column | None = Non
     may name.
     """
     every = F.coalesce(citations, F.array().cast(CITATIONS)) if pool is None else F.concat(F.coalesce(pool, F.array().cast(CITATIONS)), F.coalesce(citations, F.array().cast(CITATIONS)))
-    every = F.filter(every, lambda c: F.trim(c["id"]) != "")
-    named = lambda number: F.try_element_at(F.filter(every, lambda c: F.upper(F.trim(c["id"])) == F.concat(F.lit("E"), number)), F.lit(-1))
-    text = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?i)\[\s*PDF\s*(\d+)\s*\]", "[P$1]")
-    pile = F.regexp_extract(text, PILE, 1)
-    body = F.when(pile != "", F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(pile)), r"\s+$", "")).otherwise(text)
-
-    def replaced(body: Column, mark: Column) -> Column:
-        page = named(F.regexp_extract(mark, r"(\d+)", 1))["page"]
-        return F.replace(body, mark, F.when(page >= 1, F.concat(F.lit("[P"), page.cast("string"), F.lit("]"))).otherwise(""))
-
-    body = once_a_page(F.aggregate(F.array_distinct(_all(body, rf"(?i)({MARK})")), body, replaced))
-    marked = pages_marked(body)
-    usable = lambda cs: unique_by_page(F.filter(cs, lambda c: (c["page"] >= 1) & ~F.array_contains(marked, c["page"])))
-    piled = usable(F.transform(_all(pile, r"(?i)E\s*(\d+)"), named))
-    queue = F.when((F.size(piled) == 0) & (F.size(marked) == 0), usable(unique_by_page(F.coalesce(citations, F.array().cast(CITATIONS))))).otherwise(piled)
-    return once_a_page(without_marks(F.aggregate(queue, body, placed)))
+    own = unique_by_page(F.coalesce(citations, F.array().cast(CITATIONS)))
+
+    def marked_by(every: Column) -> Column:
+        named = lambda number: F.try_element_at(F.filter(every, lambda c: F.upper(F.trim(c["id"])) == F.concat(F.lit("E"), number)), F.lit(-1))
+
+        def replaced(body: Column, mark: Column) -> Column:
+            page = named(F.regexp_extract(mark, r"(\d+)", 1))["page"]
+            return let(page, lambda page: F.replace(body, mark, F.when(page >= 1, F.concat(F.lit("[P"), page.cast("string"), F.lit("]"))).otherwise("")))
+
+        def parted(text: Column, pile: Column) -> Column:
+            body = F.when(pile != "", F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(pile)), r"\s+$", "")).otherwise(text)
+            inside = let(body, lambda body: once_a_page(F.aggregate(F.array_distinct(_all(body, rf"(?i)({MARK})")), body, replaced)))
+            return let(inside, lambda inside: let(pages_marked(inside), lambda marked: dealt(inside, marked, pile)))
+
+        def dealt(body: Column, marked: Column, pile: Column) -> Column:
+            usable = lambda cs: let(F.filter(cs, lambda c: (c["page"] >= 1) & ~F.array_contains(marked, c["page"])), unique_by_page)
+            piled = usable(F.transform(_all(pile, r"(?i)E\s*(\d+)"), named))
+            queue = let(piled, lambda piled: F.when((F.size(piled) == 0) & (F.size(marked) == 0), usable(own)).otherwise(piled))
+            return once_a_page(without_marks(F.aggregate(queue, body, placed)))
+
+        text = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?i)\[\s*PDF\s*(\d+)\s*\]", "[P$1]")
+        return let(text, lambda text: let(F.regexp_extract(text, PILE, 1), lambda pile: parted(text, pile)))
+
+    return let(F.filter(every, lambda c: F.trim(c["id"]) != ""), marked_by)
 
 
 def answer_tokens(answer: Column) -> Column:

@@ -48,3 +48,10 @@ def test_sources(spark):
 def test_marks_go(spark):
     rows = spark.createDataFrame([("利润增16.99亿元【E2】【E5】",), ("费用下降[E3]",), ("甲 【E1】 ，乙",)], "a string")
     assert [r["t"] for r in rows.select(citations.without_marks(F.col("a")).alias("t")).collect()] == ["利润增16.99亿元", "费用下降", "甲，乙"]
+
+
+def test_each_step_is_computed_once(spark):
+    """Mentions of one step inside lambdas are computed anew: the expression must not grow with the mentions of mentions."""
+    df = spark.createDataFrame([("a【E1】",)], "answer string").select(citations.with_page_marks(F.col("answer"), F.array().cast(citations.CITATIONS)).alias("answer"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") <= 10 and plan.count("split(") <= 1

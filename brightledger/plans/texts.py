@@ -19,6 +19,15 @@ def _orders(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").withColumn("id", F.col("o_orderkey"))
 
 
+#: Reports in a task, whose pages are made from small rows.
+REPORTS = 10_000
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by id in as many parts as keep a part within ``REPORTS`` rows on average, so that no task grows with the table."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // REPORTS)), "id")
+
+
 def _turn(values: tuple) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (_id() % len(values) + 1).cast("int"))
 
@@ -316,7 +325,7 @@ def extracted_revenue(spark, sf):
     """Revenue out of page texts: a table of key figures, a page that agrees for even keys, and for some a rival. Amounts under 1000 yuan are
     no revenue, and no prior revenue."""
     v, p = F.format_string("%.2f", F.round("o_totalprice", 2)), F.format_string("%.2f", F.round(F.col("o_totalprice") * 0.8, 2))
-    o = _orders(spark, sf).repartition(spark.sparkContext.defaultParallelism, "id").select(_id().alias("report"), "id", v.alias("v"), p.alias("p"), (F.round("o_totalprice", 2) >= 1000).alias("large"))
+    o = _dealt(_orders(spark, sf)).select(_id().alias("report"), "id", v.alias("v"), p.alias("p"), (F.round("o_totalprice", 2) >= 1000).alias("large"))
     change = F.when(_id() % 5 > 0, " 25.5%").otherwise("")
     key = o.select("report", F.lit(2).alias("page"), F.concat(F.lit("主要会计数据 单位：元\n营业收入 "), "v", F.lit(" "), "p", change).alias("content"))
     rival = F.concat(F.lit("合并利润表 单位：元\n营业收入 "), F.when(_id() % 2 == 0, F.col("v")).when(_id() % 6 == 3, F.lit("999999999.00 5000.00")).otherwise("-"))
@@ -359,7 +368,7 @@ def extracted_metrics(spark, sf):
     lines = F.transform(labels, lambda label, k: F.struct(label.alias("label"), amounts(F.round(F.col("c_acctbal") * 100).cast("long") + 500000 + 100000 * k).alias("a")))
     small = [F.lit("\n基本每股收益（元/股） "), shown(_id() % 500 + 100), F.lit(" 0.50 8.5%\n加权平均净资产收益率 "), shown(_id() % 2000 + 100), F.lit("% 5.25%\n")]
     page = F.concat(F.lit("主要会计数据 单位：元"), F.array_join(F.transform(lines, line), ""), *small)
-    pages = table(spark, sf, "customer").withColumn("id", F.col("c_custkey")).repartition(spark.sparkContext.defaultParallelism, "id").select(_id().alias("report"), F.lit(3).alias("page"), page.alias("content"))
+    pages = _dealt(table(spark, sf, "customer").withColumn("id", F.col("c_custkey"))).select(_id().alias("report"), F.lit(3).alias("page"), page.alias("content"))
     return extract.metrics(pages, "report").select("report", "metric", "source_label", F.round("value", 2).alias("value"), F.round("prior_value", 2).alias("prior_value"), "yoy_pct", "confidence")
 
 

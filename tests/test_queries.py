@@ -48,3 +48,7 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["custkey", "yr", "total", "prior_total", "yoy_pct"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_pages_of_larger_tables_are_more_tasks(spark):
+    assert texts._dealt(spark.range(20 * texts.REPORTS)).rdd.getNumPartitions() == 20

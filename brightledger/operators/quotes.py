@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightledger.functions.binding import let
+
 # Lengths of quotes, and how far around a number its terms are looked for.
 LEAST, MOST, BACK, AHEAD, TRAIL, WIDE, AMOUNT_NEAR = 8, 120, 80, 16, 24, 80, 48
 # Points for a term, for a number, and what a quote without a number needs.
@@ -31,6 +33,7 @@ BARE_NUMBER = r"((?<![.\d])\d+\.\d+(?![.\d])|(?<![.\d])\d{3,}(?![.\d%]))"
 AMOUNT = re.compile(r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?%?|-?\d+(?:\.\d+)?%?")
 STOPS = re.compile("[。；;！？]")
 BLANKS = r"[\s\x{A0}\x{3000}]"
+BLANK_CHARACTERS = tuple(" \t\n\x0b\f\r\xa0\u3000")  # the same, one by one
 
 
 def question_numbers(question: Column) -> Column:
@@ -52,11 +55,17 @@ def question_terms(question: Column) -> Column:
 
 def quote_range(page: Column, quote: Column) -> Column:
     """``start, end`` of a quote on a page if white space does not count, from 0 in the page's own characters; null if it is not there."""
-    spots = F.array_compact(F.transform(F.split(page, ""), lambda c, i: F.when((c != "") & ~c.rlike(BLANKS), i)))
-    needle = F.regexp_replace(quote, BLANKS, "")
-    at = F.instr(F.regexp_replace(page, BLANKS, ""), needle)
-    found = F.struct(F.get(spots, at - 1).alias("start"), (F.get(spots, at + F.length(needle) - 2) + 1).alias("end"))
-    return F.when((needle != "") & (at > 0), found)
+    blank = lambda c: c.isin(*BLANK_CHARACTERS)
+
+    def spots_of(at: Column, size: Column) -> Column:
+        spots = F.filter(F.transform(F.split(page, ""), lambda c, i: F.when((c != "") & ~blank(c), i)), lambda i: i.isNotNull())
+        return let(spots, lambda spots: F.struct(F.get(spots, at - 1).alias("start"), (F.get(spots, at + size - 2) + 1).alias("end")))
+
+    def found(needle: Column) -> Column:
+        bare = F.translate(page, "".join(BLANK_CHARACTERS), "")
+        return F.when(needle != "", let(F.instr(bare, needle), lambda at: F.when(at > 0, spots_of(at, F.length(needle)))))
+
+    return let(F.regexp_replace(quote, BLANKS, ""), found)
 
 
 def variants(number: str) -> list[str]:

@@ -63,3 +63,9 @@ def test_one_line_keeps_places(content, part):
         for j in range(i + 1, len(text) + 1):
             if text[i] != " " and text[j - 1] != " ":
                 assert " ".join(content[at[i] : at[j - 1] + 1].split()) == text[i:j]
+
+
+def test_a_page_is_cut_into_characters_once(spark):
+    df = spark.createDataFrame([("a b\xa0c", "bc")], "page string, quote string").select(quotes.quote_range(F.col("page"), F.col("quote")).alias("r"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert tuple(df.first()["r"]) == (2, 5) and plan.count("split(") == 1 and "RLIKE" not in plan

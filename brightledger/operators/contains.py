@@ -1,7 +1,8 @@
 """Joins on contained texts by an index of grams.
 
-A text that contains a part has all pairs of neighbouring characters of the part. Each part is filed under the pair that fewest texts have;
-texts meet it under this pair by an equal join, and only then are compared. No side is broadcast for it, and nothing is nested.
+A text that contains a part has all grams of the part, runs of so many characters. Each part is filed under that of its longest grams (of
+``SIZES``, so parts of such a length are filed whole) which fewest texts have; texts meet it under this gram by an equal join, and only then
+are compared. Long grams are shared by few, where pairs of characters are soon shared by all. No side is broadcast for it, and nothing is nested.
 """
 
 from __future__ import annotations
@@ -9,13 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightledger.functions.binding import let
 
-def grams(text: Column, single: bool) -> Column:
-    """The distinct pairs of neighbouring characters of a text; with ``single`` its characters, too."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    size = F.size(letters)
-    pairs = F.when(size > 1, F.zip_with(F.slice(letters, F.lit(1), size - 1), F.slice(letters, F.lit(2), size - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(pairs, letters) if single else F.when(size > 1, pairs).otherwise(letters))
+#: Lengths of grams, each twice the one before.
+SIZES = (1, 2, 4, 8)
+
+
+def grams(text: Column, every: bool) -> Column:
+    """The distinct grams of a text of all sizes, or only those of the largest size that it has."""
+
+    def of(shorter: Column, at: int) -> Column:
+        if at == len(SIZES):
+            return shorter
+        k, left = SIZES[at - 1], lambda a: F.greatest(F.size(a) - SIZES[at - 1], F.lit(0))
+        longer = F.zip_with(F.slice(shorter, F.lit(1), left(shorter)), F.slice(shorter, F.lit(k + 1), left(shorter)), lambda a, b: F.concat(a, b))
+        return let(longer, lambda g: F.concat(shorter, of(g, at + 1)) if every else F.when(F.size(g) > 0, of(g, at + 1)).otherwise(shorter))
+
+    return F.array_distinct(let(F.filter(F.split(text, ""), lambda c: c != ""), lambda letters: of(letters, 1)))
 
 
 def contained(wholes: DataFrame, whole: str, parts: DataFrame, part: str) -> DataFrame:

@@ -35,3 +35,14 @@ def test_spelled(spark):
     assert got == {"1": ("pinganyinhang", "payh"), "2": ("pingana", "paa"), "3": (None, None)}
     asked = spark.createDataFrame([("payh",), ("yinhang",), ("zz",)], "query string")
     assert {(r["query"], r["code"], r["stage"]) for r in text.match_names(asked, named).collect()} == {("payh", "1", 6), ("yinhang", "1", 6)}
+
+
+def test_parts_are_filed_under_few_texts(spark):
+    """Numbered names share all their pairs of characters; what is compared must not be all with all."""
+    from brightledger.operators.contains import grams
+
+    names = spark.range(2000).select(F.format_string("Customer#%09d", "id").alias("n"))
+    own = names.select("n", F.explode(grams(F.col("n"), False)).alias("g"))
+    often = names.select(F.explode(grams(F.col("n"), True)).alias("g")).groupBy("g").count()
+    assert own.join(often, "g").groupBy("n").agg(F.min("count").alias("least")).agg(F.sum("least")).first()[0] <= 4000
+    assert contained(names.select(F.concat(F.lit("看看"), "n").alias("t")), "t", names, "n").count() == 2000

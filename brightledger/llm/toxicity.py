@@ -191,6 +191,35 @@ def sampled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], m
     return rows.select("text", *columns).mapInArrow(run, ", ".join(f"{c} int" for c in columns) + ", features array<int>")
 
 
+def learned(sample: DataFrame, names: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray, float]], float]:
+    """The chain's models, each as the places and values of its weights, its chained weights and its base, and the threshold. One
+    task fits them, as the sample is bounded: the driver holds neither the sample nor what fitting takes."""
+
+    def fitted(found: pa.Table | None) -> tuple[list[Linear], float]:
+        if found is None:
+            return train([], np.zeros((0, len(names))))
+        fold, lists = found.column("fold").to_pylist(), found.column("features").combine_chunks()
+        values = np.column_stack([found.column(c).to_numpy() for c in names]).astype(float)
+        rows = list(zip(fold, [x.values.to_numpy() for x in lists], strict=True))
+        order = sorted(range(len(rows)), key=lambda i: (rows[i][0], len(rows[i][1]), rows[i][1].tobytes(), tuple(values[i])))
+        return train([rows[i] for i in order], values[order])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        models, limit = fitted(pa.Table.from_batches(held) if held else None)
+        where = [np.flatnonzero(m.weights) for m in models]
+        columns = [list(range(len(models))), where, [m.weights[w] for m, w in zip(models, where, strict=True)], [m.chained for m in models], [m.base for m in models], [limit] * len(models)]
+        kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["k", "place", "weight", "chained", "base", "limit"])
+
+    rows = sample.repartition(1).mapInArrow(run, "k int, place array<int>, weight array<double>, chained array<double>, base double, limit double").collect()
+    if not rows:  # an empty sample may have no task
+        models, limit = fitted(None)
+        return [(np.flatnonzero(m.weights), m.weights[np.flatnonzero(m.weights)], m.chained, m.base) for m in models], limit
+    rows.sort(key=lambda r: r["k"])
+    return [(np.array(r["place"], dtype=np.int64), np.array(r["weight"]), np.array(r["chained"]), r["base"]) for r in rows], rows[0]["limit"]
+
+
 def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, most: int = SAMPLE, own: list[str] | None = None, verdict: str = "rejected") -> DataFrame:
     """``doc_id``, ``p_<category>`` and the verdict, by its name, for every document.
 
@@ -199,13 +228,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
     """
     categories = categories or {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     names = list(categories)
-    found = sampled(docs, labels, categories, most).toArrow()
-    fold, lists = found.column("fold").to_pylist(), found.column("features").combine_chunks()
-    values = np.column_stack([found.column(c).to_numpy() for c in names]).astype(float)
-    rows = list(zip(fold, [x.values.to_numpy() for x in lists], strict=True))
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], len(rows[i][1]), rows[i][1].tobytes(), tuple(values[i])))
-    models, limit = train([rows[i] for i in order], values[order])
-    sparse = [(np.flatnonzero(m.weights), m.weights[np.flatnonzero(m.weights)], m.chained, m.base) for m in models]
+    sparse, limit = learned(sampled(docs, labels, categories, most), names)
     held = docs.sparkSession.sparkContext.broadcast(sparse)  # at most FEATURES weights a model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

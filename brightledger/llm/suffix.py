@@ -25,6 +25,7 @@ bytes of memory a byte. Further columns are carried along if asked for.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -223,56 +224,91 @@ class Asked:
 
 
 def minima(v: np.ndarray, width: int) -> np.ndarray:
-    """The smallest of each ``width`` consecutive values."""
-    n = len(v)
-    padded = np.concatenate([v, np.full(-n % width, np.iinfo(v.dtype).max, dtype=v.dtype)]).reshape(-1, width)
-    upto = np.minimum.accumulate(padded, axis=1).ravel()
-    since = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(since[: n - width + 1], upto[width - 1 : n])
+    """The smallest of each ``width`` consecutive values: of two, four, eight and so on, and of the last two that overlap."""
+    size = 1
+    while 2 * size <= width:
+        v = np.minimum(v[:-size], v[size:])
+        size *= 2
+    return np.minimum(v[: len(v) - (width - size)], v[width - size :])
 
 
-#: Bytes of a gram.
-GRAM = 8
+#: Bytes of a gram, and places that are worked on at once, so that their numbers stay in a processor's cache.
+GRAM, BLOCK = 8, 1 << 14
+#: What makes another hash of a hash, and what tells lengths apart.
+OTHER, BY_LENGTH = np.uint64(0x5851F42D4C957F2D), 0xD1342543DE82EF95
 
 
 class Runs:
-    """The sampled suffixes of a chunk: runs of windows ``start ... stop`` with one anchor, their cores and wholes."""
+    """The sampled suffixes of a chunk: runs of windows ``start ... stop`` with one anchor, their cores and wholes. Checks are
+    computed when they are asked for."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int):
         n, half = len(raw), length // 2
-        self.length = length
-        wide = np.concatenate([raw, np.zeros(GRAM, dtype=np.uint8)])
-        grams = mixed(np.lib.stride_tricks.sliding_window_view(wide, GRAM)[:n].copy().view("<u8").ravel() + np.uint64(1))
-        self.sums, self.back = np.zeros(n + 1, dtype=np.uint64), powers(INVERSE, n + 1)
-        np.cumsum(grams * powers(ODD, n), out=self.sums[1:])
-        #: The same over grams mixed again, for checks.
-        self.others = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mixed(grams ^ np.uint64(0x5851F42D4C957F2D)) * powers(ODD, n), out=self.others[1:])
+        self.length, self.raw = length, raw
+        self.sums, self.back = self.summed(), powers(INVERSE, n + 1)
         none = np.zeros(0, dtype=np.int64)
         self.start = self.stop = none
-        self.core = self.whole = self.check = none.astype(np.uint64)
+        self.core = self.whole = none.astype(np.uint64)
         if n < length:
             return
-        grams = self.fingerprint(np.arange(n - half + 1), np.arange(half, n + 1))
-        low = np.uint64(0xFFFFFFFF)
-        anchors = (minima((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - half + 1) & low).astype(np.int64)
-        valid = np.ones(n, dtype=bool)
+        valid = np.ones(n - length + 1, dtype=bool)
         for end in offsets[1:].tolist():
             valid[max(0, end - length + 1) : end] = False  # also of shorter texts, whose places all lie in this range
-        at = np.flatnonzero(valid[: n - length + 1])
-        if not len(at):
-            return
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (anchors[at[1:]] != anchors[at[:-1]])
-        first = np.flatnonzero(new)
-        self.start, self.stop = at[first], at[np.append(first[1:], len(at)) - 1]
-        self.core = mixed(grams[anchors[self.start]] ^ np.uint64(0x5851F42D4C957F2D))
-        self.whole, self.check = self.fingerprint(self.start, self.stop + length), self.fingerprint(self.start, self.stop + length, True)
+        anchors = self.anchors(half)
+        changes = anchors[1:] != anchors[:-1]
+        opens, closes = valid.copy(), valid.copy()
+        opens[1:] &= changes | ~valid[:-1]
+        closes[:-1] &= changes | ~valid[1:]
+        self.start, self.stop = np.flatnonzero(opens), np.flatnonzero(closes)
+        at = anchors[self.start]
+        self.core = mixed(self.fingerprint(at, at + half) ^ OTHER)
+        self.whole = self.fingerprint(self.start, self.stop + length)
+
+    def summed(self, check: bool = False) -> np.ndarray:
+        """Sums over the grams before each place; for checks over grams mixed again."""
+        n = len(self.raw)
+        wide = np.concatenate([self.raw, np.zeros(GRAM, dtype=np.uint8)])
+        grams, ahead, out = np.ndarray(n, "<u8", wide, strides=(1,)), powers(ODD, n), np.zeros(n + 1, dtype=np.uint64)
+        for lo in range(0, n, BLOCK):
+            hi = min(lo + BLOCK, n)
+            x = mixed(grams[lo:hi] + np.uint64(1))
+            if check:
+                x = mixed(x ^ OTHER)
+            x *= ahead[lo:hi]
+            sums = out[lo + 1 : hi + 1]
+            np.cumsum(x, out=sums)
+            sums += out[lo]
+        return out
+
+    def anchors(self, half: int) -> np.ndarray:
+        """Where the string of ``half`` bytes with the smallest hash begins, for every window."""
+        n, width, low = len(self.raw), self.length - half + 1, np.uint64(0xFFFFFFFF)
+        size, out = np.uint64(half * BY_LENGTH & (1 << 64) - 1), np.empty(n - self.length + 1, dtype=np.int64)
+        for lo in range(0, len(out), BLOCK):
+            hi = min(lo + BLOCK, len(out))
+            end = hi + width - 1
+            x = self.sums[lo + half - GRAM + 1 : end + half - GRAM + 1] - self.sums[lo:end]
+            x *= self.back[lo:end]
+            x += size
+            x = mixed(x)
+            x &= ~low
+            x |= np.arange(lo, end, dtype=np.uint64)
+            out[lo:hi] = minima(x, width) & low
+        return out
+
+    @functools.cached_property
+    def others(self) -> np.ndarray:
+        return self.summed(check=True)
+
+    @functools.cached_property
+    def check(self) -> np.ndarray:
+        """Of each whole."""
+        return self.fingerprint(self.start, self.stop + self.length, True)
 
     def fingerprint(self, start: np.ndarray, end: np.ndarray, check: bool = False) -> np.ndarray:
         """Of the bytes from start to before end; strings have GRAM bytes at least, and grams that reach beyond them do not count."""
         sums, last = self.others if check else self.sums, end - GRAM + 1
-        return mixed((sums[last] - sums[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        return mixed((sums[last] - sums[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(BY_LENGTH))
 
     def windows(self, some: np.ndarray) -> np.ndarray:
         """Where the windows of some runs begin."""

@@ -21,19 +21,21 @@ ODD = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(ODD, -1, 1 << 64)
 #: Bytes of text that are worked on at once; a longer text is one part.
 PART = 1 << 19
+#: Powers that are kept for the next texts: for parts, and for chunks of a megabyte.
+KEPT = (1 << 20) + 2
 
 
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64; those of usual parts are kept."""
+    """base**0 ... base**(n-1) modulo 2**64; those of usual parts and chunks are kept."""
     known = _POWERS.get(base)
     if known is None or len(known) < n:
-        known = np.full(max(n, PART + 2), base, dtype=np.uint64)
+        known = np.full(n if n > KEPT else KEPT if n > PART + 2 else PART + 2, base, dtype=np.uint64)
         known[0] = 1
         known = np.multiply.accumulate(known)
-        if n <= PART + 2:
+        if n <= KEPT:
             _POWERS[base] = known
     return known[:n]
 
@@ -41,10 +43,11 @@ def powers(base: int, n: int) -> np.ndarray:
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values over all bits, one to one."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 @dataclass

@@ -1,13 +1,14 @@
 """What keeps operators within the driver's memory and the time of tasks."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from brightledger.llm import graphs, toxicity
+from brightledger.llm import graphs, suffix, toxicity
 
 
 def plain_components(edges):
@@ -58,3 +59,22 @@ def test_models_are_fitted_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", elsewhere)
     found = toxicity.query(docs, labels).collect()
     assert {r.doc_id for r in found if r.toxic} == {i for i in range(0, 120, 3)}
+
+
+def test_runs_of_a_chunk_in_blocks():
+    """A chunk's places are worked on in blocks: besides sums, powers and anchors no arrays of all places are made."""
+    raw = np.random.default_rng(6).integers(97, 123, 1 << 20).astype(np.uint8)
+    offsets = np.array([0, 5000, 5100, 1 << 19, 1 << 20])
+    suffix.Runs(raw, offsets, 200)  # powers are kept
+    tracemalloc.start()
+    runs = suffix.Runs(raw, offsets, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(raw) and "others" not in vars(runs)
+    windows = sum(max(0, n - 199) for n in np.diff(offsets))
+    assert (runs.stop - runs.start + 1).sum() == windows
+    b, strings = raw.tobytes(), {}
+    for lo, hi in zip(runs.start[:300].tolist(), runs.stop[:300].tolist(), strict=True):
+        strings[b[lo : hi + 200]] = None
+    again = suffix.Runs(raw[: 1 << 19], offsets[:4], 200)
+    assert np.array_equal(again.whole[:300], runs.whole[:300]) and np.array_equal(again.check[:300], runs.check[:300]) and len(set(runs.whole[:300].tolist())) == len(strings)

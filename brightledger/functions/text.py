@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightledger.operators.contains import contained
+from brightledger.functions.binding import let
+from brightledger.operators.contains import contained, met
 from brightledger.operators.rank import first_rows, held
 
 SPACE = r"(?U)\s+"
@@ -113,8 +113,8 @@ def name_variants(name: Column) -> Column:
 
 def official_name(asked: Column) -> Column:
     """The company that a text names by a spoken name, the longest that it has; null if it has none."""
-    plain = F.regexp_replace(asked, SPACE, "")
-    return F.coalesce(*[F.when(plain.contains(k), F.lit(ALIASES[k])) for k in sorted(ALIASES, key=lambda k: (-len(k), k))])
+    first = lambda plain: F.coalesce(*[F.when(plain.contains(k), F.lit(ALIASES[k])) for k in sorted(ALIASES, key=lambda k: (-len(k), k))])
+    return let(F.regexp_replace(asked, SPACE, ""), first)
 
 
 CODE, EXACT, EMBEDDED, ALIAS, SIMILAR, SPELLED, CONTAINS = 1, 4, 2, 3, 5, 6, 7
@@ -126,10 +126,10 @@ def match_names(queries: DataFrame, companies: DataFrame, aliases: DataFrame | N
     1 code, 2 the whole name in the text, 3 a spoken name, 4 exactly the name, 5 a variant, the beginning, or four characters of
     it, 6 its spelling in letters, 7 a part that only one company has. Of several companies the one with the shortest name, then
     the smallest code. ``companies`` has code and name, and spelled and initials where there are any (``spelled_names``);
-    ``aliases`` has alias and name. Names are found by grams that they share with the text, so no side need be small. Repeated
+    ``aliases`` has alias and name. Names are found by an equal join on what texts have of their length, so no side need be small. Repeated
     queries and companies count once.
     """
-    queries, companies = queries.select("query").distinct(), companies.dropDuplicates(["code"])
+    queries, companies = queries.select("query").filter("query IS NOT NULL").distinct(), companies.filter("code IS NOT NULL")
     q = held(queries, q=F.regexp_replace("query", SPACE, ""), clean=F.lower(without_noise(F.col("query"))), official=official_name(F.col("query")))
     if aliases is not None:
         known = aliases.select("alias", F.col("name").alias("told"))
@@ -137,7 +137,8 @@ def match_names(queries: DataFrame, companies: DataFrame, aliases: DataFrame | N
         q = q.join(said, "query", "left").withColumn("official", F.coalesce("official", "told")).drop("told")
     for c in ("spelled", "initials"):
         companies = companies if c in companies.columns else companies.withColumn(c, F.lit(None).cast("string"))
-    named = held(companies.select("code", "name", "spelled", "initials"), low=F.lower("name"), variants=name_variants(F.col("name")))
+    one = companies.groupBy("code").agg(F.first(F.struct("name", "spelled", "initials")).alias("c")).select("code", "c.*")  # of dropDuplicates() Spark shares no exchange
+    named = held(one, low=F.lower("name"), variants=name_variants(F.col("name")))
     clean, name, said = F.col("clean"), F.col("low"), F.col("official")
     some = clean != ""
     letters = clean.rlike("^[a-z]+$") & (F.col("spelled").contains(clean) | F.col("initials").startswith(clean))
@@ -147,17 +148,27 @@ def match_names(queries: DataFrame, companies: DataFrame, aliases: DataFrame | N
         .when(some & (F.exists("variants", lambda v: F.lower(v) == clean) | name.startswith(clean) | ((F.length(clean) >= 4) & name.contains(clean))), SIMILAR)
         .when(some & letters, SPELLED).when(some & name.contains(clean), CONTAINS)
     )
-    # pairs that any stage can join, each found by equal grams or equal texts; the stages are then told on these pairs alone
-    pairs = [contained(q, "q", companies, c).join(q.select("query", "q"), "q").join(companies.select("code", *({c} - {"code"})), c) for c in ("code", "name")]
-    pairs.append(contained(q, "official", companies, "name").join(q.select("query", "official"), "official").join(companies.select("code", "name"), "name"))
-    pairs.append(contained(companies, "name", q, "official").join(q.select("query", "official"), "official").join(companies.select("code", "name"), "name"))
-    pairs += [contained(named, c, q, "clean").join(q.select("query", "clean"), "clean").join(named.select("code", c), c) for c in ("low", "spelled", "initials")]
-    pairs.append(q.select("query", "clean").join(named.select("code", F.explode(F.transform("variants", F.lower)).alias("clean")), "clean"))
-    some_pairs = functools.reduce(DataFrame.unionByName, [p.select("query", "code") for p in pairs]).distinct()
-    hits = some_pairs.join(q, "query").join(named, "code").select("query", "code", "name", stage.alias("stage")).filter("stage IS NOT NULL")
-    best = hits.groupBy("query").agg(F.min("stage").alias("first"), F.count("*").alias("n"))
-    kept = hits.join(best, "query").filter((F.col("stage") == F.col("first")) & ((F.col("stage") < CONTAINS) | (F.col("n") == 1)))
-    return first_rows(kept, ["query"], [F.length("name"), "code"]).select("query", "code", "stage")
+    asked, told, has, letter, lower = "asked", "told", "has", "letter", "lower"
+    by = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    of = lambda kind: F.get(F.filter("texts", lambda t: t["kind"] == kind), F.lit(0))["text"]
+
+    def filed(rows: DataFrame, key: str, *texts: Column) -> DataFrame:
+        """``id, texts``: a row's texts by kind. All that read them share this exchange, so that texts are made once; by a key that no join
+        needs, as Spark leaves out an exchange by the others."""
+        return rows.select(F.col(key).alias("id"), F.array_distinct(F.filter(F.concat(*texts), lambda t: t["text"] != "")).alias("texts")).repartition(F.hash("id"))
+
+    # whatever any stage can join, the texts and parts of all kinds in one join; the stages are then told on these pairs alone
+    q = filed(q, "query", F.array(by(asked, F.col("q")), by(told, said), by(has, said), by(letter, F.when(clean.rlike("^[a-z]+$"), clean)), by(lower, clean)))
+    names = F.array(by(asked, F.col("code")), by(asked, F.col("name")), by(told, F.col("name")), by(has, F.col("name")), by(letter, F.col("spelled")), by(letter, F.col("initials")), by(lower, name))
+    known = filed(named, "code", names, F.transform("variants", lambda v: by(lower, F.lower(v))))
+    asking, knowing = (rows.select("id", F.inline_outer("texts")) for rows in (q, known))
+    whole, part, of_query = F.col("whole"), F.col("part"), F.col("kind").isin(asked, told)
+    pairs = met(asking.filter(of_query).unionByName(knowing.filter(~of_query)), knowing.filter(of_query).unionByName(asking.filter(~of_query)))
+    pairs = pairs.select(F.when(of_query, whole).otherwise(part).alias("query"), F.when(of_query, part).otherwise(whole).alias("code"))
+    q = held(q, q=of(asked), clean=of(lower), official=of(told)).withColumnRenamed("id", "query").drop("texts")
+    hits = pairs.join(named, "code").join(q, "query").select("query", "code", F.length("name").alias("n"), stage.alias("stage")).filter("stage IS NOT NULL")
+    best = hits.groupBy("query").agg(F.min(F.struct("stage", "n", "code")).alias("best"), (F.min("code") == F.max("code")).alias("alone"))
+    return best.filter((F.col("best.stage") < CONTAINS) | F.col("alone")).select("query", "best.code", "best.stage")
 
 
 def spelled_names(companies: DataFrame, readings: DataFrame) -> DataFrame:

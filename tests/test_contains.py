@@ -46,3 +46,23 @@ def test_parts_are_filed_under_few_texts(spark):
     often = names.select(F.explode(grams(F.col("n"), True)).alias("g")).groupBy("g").count()
     assert own.join(often, "g").groupBy("n").agg(F.min("count").alias("least")).agg(F.sum("least")).first()[0] <= 4000
     assert contained(names.select(F.concat(F.lit("看看"), "n").alias("t")), "t", names, "n").count() == 2000
+
+
+def test_parts_of_any_length(spark):
+    """Of one character, up to those that are met as they are, and longer ones, in texts of several pieces."""
+    long = "".join(chr(0x4E00 + i * 7 % 500) for i in range(300))
+    texts = [long, long[:100], long[150:] + "x", "ab" * 90, "a", ""]
+    parts = [long[i : i + n] for n in (1, 2, 31, 32, 33, 64, 65, 100, 299) for i in (0, 1, 63, 64, 100, 201)] + ["ab" * 16, "ab" * 17, "x", "y"]
+    a, b = spark.createDataFrame([(t,) for t in texts], "w string"), spark.createDataFrame([(p,) for p in parts], "p string")
+    assert sorted(tuple(r) for r in contained(a, "w", b, "p").collect()) == sorted({(t, p) for t in texts for p in parts if p and p in t})
+
+
+def test_names_take_one_join(spark):
+    """All that names are found by is one join over texts that are made once: the driver holds a plan for each step, which grew beyond its memory."""
+    companies = spark.range(300).select(F.concat(F.lit("K"), "id", F.lit("Z")).alias("code"), F.format_string("Customer#%09d", "id").alias("name"))
+    asked = companies.select(F.concat("code", F.lit("怎么样")).alias("query")).union(companies.select(F.concat(F.lit("看看"), "name"))).union(companies.select(F.lower("name")))
+    found = text.match_names(asked, companies)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 90 and len(plan) < 150_000
+    got = found.groupBy("stage").count().collect()
+    assert {r["stage"]: r["count"] for r in got} == {1: 300, 2: 300, 4: 300}

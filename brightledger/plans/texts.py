@@ -19,7 +19,7 @@ def _orders(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").withColumn("id", F.col("o_orderkey"))
 
 
-#: Reports in a task, whose pages are made from small rows.
+#: Reports in a task, whose pages are made from small rows; texts, where each takes a while.
 REPORTS = 10_000
 
 
@@ -393,7 +393,8 @@ _READINGS = (("收", "shou"), ("受", "shou"), ("账", "zhang"), ("帐", "zhang"
 def heard_texts(spark, sf):
     """Spoken words on each order, put right by how they sound."""
     said = F.concat(F.col("o_custkey").cast("string"), _turn(tuple(a for a, _ in _HEARD)), F.lit("增长"), F.col("o_orderstatus"))
-    rows = _orders(spark, sf).select("id", said.alias("text"), homophones.known_terms(F.lit(""), F.array().cast("array<string>")).alias("terms"))
+    dealt = _dealt(_orders(spark, sf).select("id", "o_custkey", "o_orderstatus"))
+    rows = dealt.select("id", said.alias("text"), homophones.known_terms(F.lit(""), F.array().cast("array<string>")).alias("terms"))
     found = homophones.corrected(rows, spark.createDataFrame(list(_READINGS), "character string, reading string"))
     return found.select("id", "text", F.size("replacements").alias("n"))
 

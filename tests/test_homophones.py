@@ -71,3 +71,19 @@ def test_terms_of_many_texts_are_not_broadcast(spark):
     assert {r["text"] for r in df.collect()} == {f"同比{i}" for i in range(2000)}
     sent = [n.metrics().apply("numOutputRows").value() for n in nodes(df._jdf.queryExecution().executedPlan()) if n.nodeName() == "BroadcastExchange"]
     assert max(sent, default=0) < 1000
+
+
+def test_texts_are_put_right_where_they_are(spark):
+    """Runs of all texts are not sent through an exchange, which took ten times the table."""
+    rows = spark.range(100).select("id", F.concat(F.lit("同笔"), "id").alias("text"), homophones.known_terms(F.lit(""), F.array(F.lit("西安"))).alias("terms"))
+    df = homophones.corrected(rows, spark.createDataFrame(READINGS, "character string, reading string"))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString() and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["text"] for r in df.collect()} == {f"同比{i}" for i in range(100)}
+
+
+def test_readings_that_run_together(spark):
+    """A run sounds like a term if both read the same on the whole; a character may be silent, or outside the first plane."""
+    readings = [("西", "xi"), ("安", "an"), ("昂", "ang"), ("先", "xian"), ("哥", "g"), ("默", ""), ("𠮷", "ji"), ("吉", "ji")]
+    rows = spark.createDataFrame([(1, "去西昂", ["先哥"]), (2, "去先默", ["西安"]), (3, "去𠮷西", ["吉西"]), (4, "默默先", ["西默安"]), (5, "x先哥", ["先"])], "id int, text string, terms array<string>")
+    got = {r["id"]: r["text"] for r in homophones.corrected(rows, spark.createDataFrame(readings, "character string, reading string")).collect()}
+    assert got == {1: "去先哥", 2: "去西安", 3: "去吉西", 4: "西默安", 5: "x先哥"}
